@@ -4,9 +4,8 @@ The normaliser of the model is applied here, by longest-prefix matches in its co
 for each normalised byte the original byte it came from. Every piece is then projected to a span of original bytes.
 The merges themselves are the sentencepiece library's.
 
-With an identity map and no piece that has a space mark after another character, merges cannot cross the gap before
-a space mark, nor a line feed; texts are then encoded word by word, and words are remembered. Both conditions are
-read off the model, so another model falls back to whole texts.
+With an empty map, normalising only puts a mark of three bytes before the text and for each space, so spans come from
+one table of the original bytes that each piece covers. Other maps are walked prefix by prefix.
 
 Null and empty texts give only the end id. Repeated rows, repeated ids and further columns need no care: the
 operator works row by row. Very long texts are held once, with 4 bytes a token beside them.
@@ -25,8 +24,6 @@ from pyspark.sql import DataFrame
 from .words import slices
 
 MARK = "▁"
-#: Words remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 200_000
 _BYTE, _NORMAL, _USER = 6, 1, 4
 
 
@@ -112,11 +109,10 @@ class Model:
         self.end_id = self.processor.eos_id()
         #: Normalised bytes of each piece; a byte piece stands for one.
         self.sizes = np.array([1 if k == _BYTE else len(p) for p, k in zip(self.pieces, self.kinds, strict=True)], np.int64)
-        mark = MARK.encode()
-        words = [p for p, k in zip(self.pieces, self.kinds, strict=True) if k in (_NORMAL, _USER)]
-        self.by_words = not self.map and self.prefix and not self.squeeze and self.escape and not any(mark in p.lstrip(mark) or b"\n" in p or b" " in p for p in words) and _USER not in self.kinds and _BYTE in self.kinds
-        self.mark_id = self.processor.piece_to_id(MARK)
-        self.known: dict[str, tuple[bytes, str, bytes]] = {}
+        #: Original bytes of each piece under an empty map, where a space mark stands for one space.
+        self.covers = np.array([1 if k == _BYTE else len(p) - 2 * p.count(MARK.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)], np.int64)
+        self.plain = not self.map and self.prefix and not self.squeeze and self.escape
+        self.decimals = [str(i) for i in range(len(self.pieces))]
 
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and the original byte offset of each of them and of the end."""
@@ -184,36 +180,15 @@ class Model:
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         return ids, origin[starts], origin[ends]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        for word, ids in zip(words, self.processor.encode(words), strict=True):
-            if word.startswith("\n"):
-                if ids[0] != self.mark_id:
-                    raise ValueError("a space mark joined a line feed")
-                ids = ids[1:]
-            # original bytes of each piece: a space mark stands for the one space before the word
-            sizes = [int(self.sizes[i]) - (2 if self.pieces[i].startswith(MARK.encode()) else 0) for i in ids]
-            self.known[word] = np.array(ids, "<i4").tobytes(), " ".join(map(str, ids)), np.array(sizes, "<i4").tobytes()
-
-    def pieces_of(self, text: str) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
-        """Ids, their decimals joined by spaces, and the original byte span of each piece."""
-        words = text.replace("\n", " \n").split(" ") if self.by_words and text else []
-        if not words or "" in words or MARK in text:
-            ids, starts, ends = self._whole(text)
-            return ids, " ".join(map(str, ids.tolist())), starts, ends
-        known = self.known
-        if new := set(words).difference(known):
-            self._learn(list(new))
-            if not known.keys() >= set(words):  # the memory started anew
-                self._learn([w for w in set(words) if w not in known])
-        found = [known[w] for w in words]
-        sizes = np.frombuffer(b"".join([x[2] for x in found]), "<i4").astype(np.int64)
-        if words[0][:1] != "\n":
-            sizes = sizes.copy()
-            sizes[0] -= 1  # the mark before the first word is not in the text
-        ends = np.cumsum(sizes)
-        return np.frombuffer(b"".join([x[0] for x in found]), "<i4").astype(np.int64), " ".join([x[1] for x in found]), ends - sizes, ends
+    def pieces_of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the original byte span of each piece."""
+        if not self.plain or not text or MARK in text:
+            return self._whole(text)
+        ids = np.array(self.processor.encode(text), np.int64)
+        ends = np.cumsum(self.covers[ids]) - 1  # the mark before the text is not in it
+        starts = np.empty_like(ends)
+        starts[0], starts[1:] = 0, ends[:-1]
+        return ids, starts, ends
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
@@ -239,8 +214,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 {
                     "doc_id": batch.column("doc_id"),
                     "ids": pa.array([[*r[0].tolist(), m.end_id] for r in rows], pa.list_(pa.int32())),
-                    "starts": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                    "ends": pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+                    "starts": pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+                    "ends": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
                 }
             )
 
@@ -256,8 +231,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in slices(batches):
             out: list[tuple] = []
             for text in batch.column("text").to_pylist():
-                ids, decimals, _, ends = m.pieces_of(text or "")
-                out.append((len(ids) + 1, sha(f"{decimals} {m.end_id}".lstrip()), sha(m.decode([*ids.tolist(), m.end_id])), int(ends[-1]) if len(ends) else 0))
+                ids, _, ends = m.pieces_of(text or "")
+                every = [*ids.tolist(), m.end_id]
+                out.append((len(every), sha(" ".join([m.decimals[i] for i in every])), sha(m.decode(every)), int(ends[-1]) if len(ends) else 0))
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3], pa.int64())],
