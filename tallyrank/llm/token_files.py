@@ -17,6 +17,7 @@ Repeated rows are written as often as they come. The end id follows each documen
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from .words import slices
 MAGIC = b"EFIDS001"
 SAMPLE = 64
 #: Words remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Ids read at once.
 BLOCK = 1 << 20
 
@@ -140,30 +141,67 @@ class Reader:
         return self.tokens(self.bounds.select(i), self.bounds.select(i + 1) if i + 1 < self.n else self.total)
 
 
-class WordEncoder:
-    """The library's ids for whole texts. No match of the tokenizer's pattern has white space in it, so it goes by
-    pieces between spaces or line feeds; pieces are remembered."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else one from 256 on."""
+    printing = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordEncoder(dict):
+    """The library's ids for whole texts, as little-endian unsigned 32-bit integers; a dict of the words seen.
+
+    No match of the tokenizer's pattern has white space in it and its normaliser works on each side of a space alone,
+    so a text goes by the pieces between spaces or line feeds. Those of Latin letters, and perhaps one full stop or
+    comma after them, are lower-cased here and go straight to the library's merge model; all others through the whole
+    tokenizer. Short pieces are remembered, in bounded memory.
+    """
+
+    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+    SHORT = 9
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for word, code in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    known[word] = np.array(code.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        # what the shortcut takes for granted of this vocabulary
+        probe = ["Der", "straße.", "ÉTÉ,", "abc", "Ünder", "ção", "x,"]
+        self.direct = all(self._direct(*self._plain(w).groups()) == self._whole(w) for w in probe)
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(word)])
+
+    def _direct(self, word: str, mark: str) -> bytes:
+        word = word.lower()
+        if (ids := self.words.get(word)) is None:
+            ids = self._ids(word)
+            if len(word) < self.SHORT:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = ids
+        return ids + self._ids(mark) if mark else ids
+
+    def __missing__(self, word: str) -> bytes:
+        found = self._plain(word) if self.direct else None
+        ids = self._direct(*found.groups()) if found else self._whole(word)
+        if len(word) <= self.SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, wide: bool = False) -> DataFrame:
@@ -178,7 +216,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         out, end = None, np.array([end_id], "<u4").tobytes()
         uri = f"{folder}/{part:06d}.efids"
         for batch in slices(batches):
-            codes = [encoder(t or "") + end for t in batch.column("text").to_pylist()]
+            codes = [encoder.encode(t or "") + end for t in batch.column("text").to_pylist()]
             out = out or Writer(uri, wide)
             ids = np.array(batch.column("doc_id").fill_null(-(2**63)))
             out.write(ids, np.array([len(c) // 4 for c in codes]), np.frombuffer(b"".join(codes), "<u4"))
