@@ -8,12 +8,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, licenses, sentence_pieces, token_files
-from .common import table
+from . import decontaminate, exact_topk, language, licenses, quality, sampling, sentence_pieces, token_files, toxicity
+from .common import held_out, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 END_ID = 2
+QUALITY_THRESHOLD, TOXICITY_THRESHOLD = 0.3, 0.7
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Ranking:
+    """Fitted on labelled rows outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).select("doc_id", F.col("quality").alias("label"))
+    found, counts = sampling.labelled(table(spark, sf_dir, "documents"), labels.where("label in (0, 1)"), quality.SAMPLE)
+    return quality.train(found.get(1, []), found.get(0, []), counts.get(0, 0) / max(1, sum(counts.values())), QUALITY_THRESHOLD)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir), keep_text=False)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col(quality.SCORE).alias("score"), (F.col(quality.SCORE) >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on labelled rows outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)).select("doc_id", F.col("toxic").alias("label"))
+    found, _ = sampling.labelled(table(spark, sf_dir, "documents"), labels.where("label in (0, 1)"), toxicity.SAMPLE)
+    return toxicity.train(found.get(1, []), found.get(0, []))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir), keep_text=False)
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), F.col(toxicity.SCORE).alias("score"), (F.col(toxicity.SCORE) >= TOXICITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = docs.where(~held_out("doc_id", 4, 2)).select("doc_id", F.col("lang").alias("label"))
+    found, _ = sampling.labelled(docs, labels, language.SAMPLE, language.SAMPLE_CHARS)
+    predicted = language.identify(docs, language.train(found))
+    return predicted.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +85,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_files, op6_license_scan, op8_decontaminate, op9_sentence_pieces, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op4_language, op5_token_files, op6_license_scan, op8_decontaminate, op9_sentence_pieces, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
