@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, language, licenses, quality, sampling, sentence_pieces, token_files, toxicity
+from . import decontaminate, exact_topk, language, licenses, neardup, quality, sampling, sentence_pieces, substrings, token_files, toxicity
 from .common import held_out, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +41,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), F.col(toxicity.SCORE).alias("score"), (F.col(toxicity.SCORE) >= TOXICITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = docs.where(~held_out("doc_id", 4, 2)).select("doc_id", F.col("lang").alias("label"))
@@ -57,6 +61,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,7 +93,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op4_language, op5_token_files, op6_license_scan, op8_decontaminate, op9_sentence_pieces, op10_exact_topk)}
+    found = (
+        op1_quality, op2_toxicity, op3_near_duplicates, op4_language, op5_token_files, op6_license_scan, op7_repeated_passages, op8_decontaminate, op9_sentence_pieces, op10_exact_topk,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

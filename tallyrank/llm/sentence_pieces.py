@@ -210,16 +210,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         m = model(path)
         for batch in slices(batches):
             rows = [m.pieces_of(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "ids": pa.array([[*r[0].tolist(), m.end_id] for r in rows], pa.list_(pa.int32())),
-                    "starts": pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-                    "ends": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                }
-            )
+            end = np.array([m.end_id])
+            ids, starts, ends = ([end if i % 2 else r[0] for r in rows for i in (0, 1)], [r[1] for r in rows], [r[2] for r in rows])
+            sizes = np.cumsum([0, *[len(r[0]) for r in rows]])
+            lists = lambda parts, cuts: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, sizes + np.arange(len(sizes))), lists(starts, sizes), lists(ends, sizes)], names=["doc_id", "ids", "starts", "ends"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, starts array<bigint>, ends array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, starts array<int>, ends array<int>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
