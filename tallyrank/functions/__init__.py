@@ -1 +1 @@
-
+"""Column functions: text, numbers, arrays and vectors."""
