@@ -70,7 +70,7 @@ def sorted_tags(x: Name) -> Column:
 def description(x: Name, is_list: bool) -> Column:
     """A description given as text or as a list of texts."""
     if is_list:
-        return F.trim(F.array_join(F.filter(F.transform(col(x), F.trim), lambda y: y.isNotNull() & (y != "")), " "))
+        return F.trim(F.array_join(F.filter(F.transform(col(x), lambda x: F.trim(x)), lambda y: y.isNotNull() & (y != "")), " "))
     return F.trim(F.coalesce(col(x), F.lit("")))
 
 

@@ -56,10 +56,9 @@ def relevant(df: DataFrame, column: str, threshold: float, strict: bool) -> Data
 
 def quantile_at(values: DataFrame, column: str, q: float):
     """The value at 0-based rank round((n - 1) q) of the sorted column, as a one-row DataFrame without collecting it."""
-    counts = values.groupBy(column).agg(F.count("*").alias("n"))  # few distinct values: counts of counts
-    upto = Window.orderBy(column)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    return ranked.where(F.col("upto") > F.floor((F.col("all") - 1) * F.lit(q) + 0.5)).agg(F.min(column).alias("v"))
+    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))  # few distinct values: counts of counts
+    ranked = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v"))).withColumn("every", F.sum("c").over(Window.partitionBy()))
+    return ranked.where(F.col("upto") > F.floor((F.col("every") - 1) * F.lit(q) + 0.5)).agg(F.min("v").alias("v"))
 
 
 def activity_between(df: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
@@ -121,7 +120,7 @@ def sampled(df: DataFrame, fraction: float, seed: int, *keys: str) -> DataFrame:
 def categories(df: DataFrame, column: str = "category", least: int = 2, stop: str | None = None, nested: bool = False) -> DataFrame:
     """One row for each cleaned category of a row: trimmed, long enough, not the stop category, each once."""
     found = F.flatten(column) if nested else F.col(column)
-    found = F.filter(F.transform(found, F.trim), lambda c: c.isNotNull() & (F.length(c) >= least) & (F.lower(c) != (stop or "").lower()))
+    found = F.filter(F.transform(found, lambda x: F.trim(x)), lambda c: c.isNotNull() & (F.length(c) >= least) & (F.lower(c) != (stop or "").lower()))
     return df.withColumn("category", F.explode(sorted_tags(found))).where(not_blank("category"))
 
 

@@ -1 +1 @@
-
+"""Plans: data-set builders, registered queries and the experiment runner."""
