@@ -58,7 +58,7 @@ def json_list(x: Name) -> Column:
 
 def split_list(x: Name, by: str = ",") -> Column:
     """Non-empty trimmed parts of a joined list."""
-    return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), by), F.trim), lambda y: y != "")
+    return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), by), lambda x: F.trim(x)), lambda y: y != "")
 
 
 def sorted_tags(x: Name) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import draw, not_blank, sorted_tags
+from .lineage import cut
 
 # Names under which sources call the four columns.
 ALIASES: dict[str, list[str]] = {
@@ -75,7 +76,7 @@ def k_core(df: DataFrame, k: int = 10, rounds: int = 5) -> DataFrame:
         for key in ("item", "user"):
             enough = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= k).select(key)
             df = df.join(enough, key, "left_semi")
-        df = df.checkpoint()  # cuts the lineage of the rounds
+        df = cut(df)  # cuts the lineage of the rounds
         after = df.count()
         if after == before:
             break
@@ -142,7 +143,7 @@ def encoded(df: DataFrame, key: str, name: str) -> DataFrame:
     """Dense 0-based codes in the order of the key, counted by ranges of it rather than in one task."""
     keys = df.select(key).distinct()
     parts = keys.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
-    parts = parts.checkpoint()  # partition ids must not change between the two uses
+    parts = cut(parts)  # partition ids must not change between the two uses
     sizes = parts.groupBy("__part").agg(F.count("*").alias("n")).collect()  # one row for each partition
     base, before = {}, 0
     for row in sorted(sizes, key=lambda r: r["__part"]):

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import model_queries as _models
 from . import queries as _queries
 
 FOUND = _queries.FOUND
@@ -20,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _queries.metrics_long(spark, sf_dir)
+    return _models.bm25_full_eval(spark, sf_dir)
