@@ -184,7 +184,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     shards = max(partitions(spark), cold.count() // SHARD)
     sharded = cold.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
     runs = sharded.groupBy("shard").applyInArrow(_shard, f"anchor bigint, content bigint, runs {RUNS}")
-    single = cut.where("hot").mapInArrow(_exploded, "id bigint, anchor bigint, content bigint, place int, window bigint")
+    # dealt out evenly: the passages of one anchor lie together in few files
+    single = cut.where("hot").repartition(partitions(spark), "content").mapInArrow(_exploded, "id bigint, anchor bigint, content bigint, place int, window bigint")
     single = written(single, "windows")
     first = single.groupBy("anchor", "window").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     hot_runs = single.join(first, ["anchor", "window"]).where("id > first").groupBy("anchor", "content").agg(F.collect_set(F.struct(F.col("place").alias("start"), F.lit(1).alias("size"))).alias("runs"))
