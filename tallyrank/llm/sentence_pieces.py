@@ -171,10 +171,11 @@ class Model:
 
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.array(self.processor.encode(text), np.int64)
+        if not len(ids):
+            return ids, ids, ids
         normal, origin = self.normalize(text)
         ends = np.cumsum(self.sizes[ids])
-        unknown = (ends[-1] if len(ends) else 0) != len(normal)
-        if unknown:  # an unknown piece covers what the library says
+        if ends[-1] != len(normal):  # an unknown piece covers what the library says
             proto = self.processor.encode(text, return_type="proto")
             return ids, np.array([p.begin for p in proto.pieces], np.int64), np.array([p.end for p in proto.pieces], np.int64)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
