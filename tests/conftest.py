@@ -7,7 +7,6 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
