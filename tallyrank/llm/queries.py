@@ -92,6 +92,31 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+wins AS (SELECT doc_id, s, md5(array_to_string(t[s : s + 49], ' ')) AS h FROM (SELECT doc_id, t, unnest(range(1, len(t) - 48)) AS s FROM w WHERE len(t) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS d FROM wins GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM wins JOIN firsts USING (h) WHERE d < doc_id),
+places AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM places x WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = x.doc_id AND g.p = x.p) GROUP BY 1),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT w.doc_id, len(t) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""
+WITH b AS (SELECT item_id, t, least(10, len(t)) AS n FROM (SELECT item_id, {_ALNUM} AS t FROM benchmark) WHERE len(t) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(t[s : s + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS s FROM b)),
+d AS (SELECT doc_id, {_ALNUM} AS t FROM documents),
+dw AS (SELECT doc_id, n, s, array_to_string(t[s : s + n - 1], ' ') AS g FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM b) WHERE len(t) >= n)),
+hits AS (SELECT DISTINCT doc_id, s, n, item_id FROM dw JOIN iw USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY 1)
+SELECT d.doc_id, len(t) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality, op2_toxicity, op3_near_duplicates, op4_language, op5_token_files, op6_license_scan, op7_repeated_passages, op8_decontaminate, op9_sentence_pieces, op10_exact_topk,
@@ -100,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.scan_sql(), "op10_exact_topk": OP10_SQL}
+    return {"op6_license_scan": licenses.scan_sql(), "op7_repeated_passages": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_exact_topk": OP10_SQL}
