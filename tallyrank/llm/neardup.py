@@ -11,13 +11,12 @@ a probability of exactly their similarity.
 Texts with the same words are one class from the start, and only one of them, the one with the least id, goes on.
 ROWS coordinates make a band. In each bucket of a band all are compared with the bucket's least member, on their
 whole texts; a pair at THRESHOLD or more is a link, and links are closed to classes. At similarity 0.8 a pair shares a
-bucket with probability 1 - (1 - 0.8^5)^24 = 0.99993. A bucket that still holds several classes goes on: one of
-up to FEW members is compared whole, each with those of other classes; the members of a larger one are put in finer
-buckets, of two and then three bands together, and there compared in the same way, with the least member of each and
-whole in small ones. So a group costs a bounded number of comparisons a member, however large it is, and no cap drops
-a candidate: a text that is like none of the least members meets, in finer and finer buckets, those most like it. In a
-large group a link can be missed, as in any banding, when two texts share none of the finer buckets that would join
-their classes; tests and the README give the measured recall.
+bucket with probability 1 - (1 - 0.8^5)^24 = 0.99993. A bucket that still holds several classes is then compared
+whole: its members are dealt into blocks of bounded size, and each block is compared with itself and with every other
+block of the bucket, all members of different classes against each other, on their whole texts. So every two texts
+that share a bucket are compared or already in one class, however large the bucket, and only what shares none of the
+24 buckets can be missed. Blocks bound the rows and the memory of a task; the work in a bucket of many texts that are
+not alike grows with the square of their number, as it must where each pair is to be told.
 
 Texts of fewer than five words are one shingle of all their words. Texts without a word, the empty one among them, are
 only grouped with equal texts. Null texts are classes of their own. Repeated rows are in one class; a class is named
@@ -38,11 +37,9 @@ from .words import ALNUM, LOWER, Words, mix, slices, spans, texts, tokenize
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-#: A bucket of up to so many members is compared whole; a larger one is split on more coordinates.
-FEW = 16
-#: Rounds after the first: how many bands make a bucket, and which of them (each with the next, the one after it ...).
-DEEPER = ((1, 0), (2, 1), (2, 2), (2, 5), (3, 1))
-#: Rounds of labelling between the rounds of comparing.
+#: Members and bytes of text in a block of a bucket, about; elements compared at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 4096
+#: Rounds of labelling before buckets are compared whole.
 ROUGH = 2
 U = np.uint64
 _LAST = 2**63 - 1
@@ -200,26 +197,86 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
             return labels
 
 
-def _open(placed: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """band, key and the key's class so far, of buckets of more than `size` members that hold several classes."""
-    named = placed.select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
-    return written(named.join(_mixed(named).where(F.col("size") > size).select("band"), "band"), "placed")
-
-
-def _mixed(placed: DataFrame) -> DataFrame:
-    """The buckets that hold several classes, with their least member."""
-    found = placed.groupBy("band").agg(F.min(F.struct("key", "label")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    return found.where("low != high").select("band", "lead", "size")
-
-
-def _meetings(placed: DataFrame) -> DataFrame:
-    """Pairs to compare: members with the least member of another class, and in buckets of a few all of different classes."""
-    there = placed.join(_mixed(placed), "band")
-    star = there.where("label != lead.label").select("key", F.col("lead.key").alias("other"))
-    few = there.where(F.col("size") <= FEW).select("band", "key", "label")
-    cross = few.join(few.select("band", F.col("key").alias("other"), F.col("label").alias("y")), "band").where("label < y").select("key", "other")
-    both = star.unionByName(cross)
-    return both.select(F.greatest("key", "other").alias("left"), F.least("key", "other").alias("right")).distinct()
+def overlaps(column: pa.Array, n: int | None = None) -> np.ndarray:
+    """Weighted Jaccard indices of the first n texts with the others, or of all with all."""
+    count = len(column)
+    text_of, hashes, weights = shingles(tokenize(*texts(column), ALNUM, LOWER))
+    total = np.bincount(text_of, weights=weights, minlength=count)
+    # a shingle that comes w times is w elements, so that the shared ones are a product of matrices of 0 and 1
+    text_of, hashes = np.repeat(text_of, weights), np.repeat(hashes, weights)
+    turn = np.arange(len(hashes)) - np.repeat(np.cumsum(weights) - weights, weights)
+    order = np.lexsort((turn, hashes))
+    text_of, hashes, turn = text_of[order], hashes[order], turn[order]
+    element = np.cumsum(np.concatenate([[0], (hashes[1:] != hashes[:-1]) | (turn[1:] != turn[:-1])])[: len(hashes)])
+    common = np.bincount(element) > 1
+    text_of, element = text_of[common[element]], (np.cumsum(common) - 1)[element[common[element]]]
+    a, b = (slice(None), slice(None)) if n is None else (slice(0, n), slice(n, None))
+    shared = np.zeros((len(total[a]), len(total[b])))
+    for low in range(0, int(common.sum()), COLUMNS):
+        i, j = np.searchsorted(element, [low, low + COLUMNS])
+        inside = np.zeros((count, min(COLUMNS, int(common.sum()) - low)), np.float32)
+        inside[text_of[i:j], element[i:j] - low] = 1
+        shared += inside[a] @ inside[b].T
+    whole = total[a][:, None] + total[b][None] - shared
+    return np.divide(shared, whole, out=np.zeros_like(shared), where=whole > 0)
+
+
+def _joined(left: pa.StructArray, right: pa.StructArray | None) -> tuple[list[int], list[int]]:
+    """Links of one block, or of two, that join all classes that their similar members join: at most one a member."""
+    both = left if right is None else pa.concat_arrays([left, right])
+    alike = overlaps(both.field("text"), None if right is None else len(left)) >= THRESHOLD
+    label = list(zip(*[both.field("label").field(x).to_pylist() for x in ("doc_id", "text_hash")], strict=True))
+    least: dict = {}
+
+    def find(x):
+        while least.get(x, x) != x:
+            x = least[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
+        j += 0 if right is None else len(left)
+        if i < j and (a := find(label[i])) != (b := find(label[j])):
+            least[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return [i for i, _ in out], [j for _, j in out]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links in each row's block `members`, or between it and the block `others`."""
+    for batch in batches:
+        sides = [batch.column(i) for i, n in enumerate(batch.schema.names) if n in ("members", "others")]
+        for row in range(batch.num_rows):
+            blocks = [x.slice(row, 1).flatten() for x in sides]
+            i, j = _joined(blocks[0], blocks[1] if len(blocks) > 1 else None)
+            keys = pa.concat_arrays([x.field("key") for x in blocks])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(x, pa.int64())) for x in (i, j)], names=["left", "right"])
+
+
+def _blocks(shared: DataFrame, labels: DataFrame, kept: DataFrame) -> DataFrame:
+    """Buckets of three or more that hold several classes, in blocks; of buckets with the same members, one."""
+    named = shared.select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
+    named = written(named.join(kept.select("key", F.octet_length("text").alias("bytes")), "key"), "named")
+    found = named.groupBy("band").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("bytes").alias("bytes"),
+        *[F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"h{i}") for i in range(2)],
+    ).where("low != high and size > 2")
+    one = found.groupBy("size", "bytes", "h0", "h1").agg(F.min("band").alias("band"))
+    sized = one.select("band", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
+    dealt = named.drop("bytes").join(sized, "band").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "key"), "blocks")).join(kept, "key")
+    return dealt.groupBy("band", "blocks", "block").agg(F.collect_list(F.struct("key", "label", "text")).alias("members"))
+
+
+def _whole(shared: DataFrame, labels: DataFrame, kept: DataFrame) -> DataFrame:
+    """Links (left, right) that join the classes of all similar texts that share a bucket."""
+    blocks = written(_blocks(shared, labels, kept), "blocks")
+    kind = blocks.schema["members"].dataType.elementType["key"].dataType.simpleString()
+    schema = f"left {kind}, right {kind}"
+    inner = blocks.select("members").mapInArrow(_linked, schema)
+    large = blocks.where("blocks > 1")
+    turns = large.where("block < blocks - 1").select("band", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), "members")
+    met = turns.join(large.select("band", "block", F.col("members").alias("others")), ["band", "block"])
+    return inner.unionByName(met.select("members", "others").mapInArrow(_linked, schema))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -234,25 +291,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = written(texts_of.join(needed, "key").dropDuplicates(["key"]), "texts")
 
     pairs = shared.where("key != lead").select(F.col("key").alias("left"), F.col("lead").alias("right")).distinct()
-    tested = written(pairs, "pairs")
-    links = written(_compared(tested, kept), "links")
-    # between the rounds, labels need not be final: two labels in one class only cost a comparison
-    labels = components(links, ROUGH)
-    coarse = _open(shared, labels, 1)
-    for joined, step in DEEPER:
-        if not coarse.limit(1).count():
-            break
-        placed = coarse
-        if joined > 1:  # the members of large buckets, in finer ones
-            members = coarse.select("key").distinct()
-            finer = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, *[F.element_at("bands", (i + step * j) % BANDS + 1) for j in range(joined)]))
-            placed = _open(same.where(F.size("bands") > 0).join(members, "key").select("key", F.explode(finer).alias("band")), labels, 1)
-        new = written(_meetings(placed).join(tested, ["left", "right"], "left_anti"), "pairs")
-        if new.limit(1).count():
-            links = written(links.unionByName(_compared(new, kept)), "links")
-            tested = tested.unionByName(new)
-            labels = components(links, ROUGH)
-        coarse = _open(coarse, labels, FEW)
+    links = written(_compared(pairs, kept), "links")
+    # labels need not be final yet: two labels in one class only cost comparisons
+    links = written(links.unionByName(_whole(shared, components(links, ROUGH), kept)), "links")
     labels = components(links)
     named = same.drop("bands").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("label", "key")).drop("label")
     return rows.drop("bands"), written(named, "classes")

@@ -143,6 +143,29 @@ def test_near_duplicates(spark):
     assert neardup.duplicates(docs.limit(0)).count() == 0
 
 
+def crowd(seed, n, planted):
+    """Texts of one template a little below the threshold to each other, and for some a text a little above it to them alone."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(600)]
+
+    def changed(words, k, name):
+        spots = set(rng.sample(range(0, 600, 5), k))
+        return [f"{name}.{i}" if i in spots else w for i, w in enumerate(words)]
+
+    out = [changed(base, 9, f"b{d}") for d in range(n)]
+    return [" ".join(x) for x in out + [changed(out[d], 12, f"c{d}") for d in range(planted)]]
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 20])
+def test_near_duplicates_in_a_crowd(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = crowd(3, 300, 80)
+    rows = list(enumerate(texts))
+    want = classes_by_force(rows)
+    assert len(set(want.values())) > 100
+    assert {k: v[1:] for k, v in by_id(neardup.duplicates(documents(spark, texts))).items()} == want
+
+
 def test_repeated_ids_keep_apart(spark):
     docs = documents(spark, ["one two three four five six"] * 2 + ["quite another text that is here now", None], [1, 1, 1, None])
     assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["class_size"]) for r in neardup.duplicates(docs).collect()) == [(0, 0, 1), (1, 1, 1), (1, 1, 2), (1, 1, 2)]
