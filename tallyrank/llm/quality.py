@@ -2,7 +2,7 @@
 
 A document's strength is linear in features of its whole text. It is learned from preference pairs (a good document
 over a bad one) by logistic loss on the differences of their features. The cut is a quantile of the strengths in the
-training sample: the one at the share of bad documents. Strengths become scores through a logistic curve that puts
+labelled training documents, all of them: the one at the share of bad documents. Strengths become scores through a logistic curve that puts
 the cut at the wanted threshold.
 
 Features are shares of the text's bytes and words: letters, capitals, digits, signs, runs of one sign, words that
@@ -10,7 +10,8 @@ repeat the word before, words and word pairs that came before, mean word length,
 They know no vocabulary, so they carry over to any language with an alphabet.
 
 Null and empty texts get the features of no words: all zero. Repeated rows are scored alike. Only doc_id and text
-are read. Fitting takes at most SAMPLE rows of each label, a documented bound; scoring reads every whole text.
+are read. Weights are fitted on at most SAMPLE rows of each label, a documented bound. Features are those of
+whole texts, in fitting as in scoring, and are taken by the executors.
 """
 
 from __future__ import annotations
@@ -21,12 +22,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from . import sampling
+from .common import written
 from .words import SPACED, grams, slices, texts, tokenize
 
 #: Training rows of each label, and preference pairs, at most.
 SAMPLE, PAIRS = 4_000, 40_000
+#: Strengths that the driver holds while it looks for the cut, and bins of a pass.
+HELD, BINS = 10_000, 2_000
 SEED = 7
 #: Unlikely to clash with a column of the documents.
 SCORE = "__quality_score"
@@ -154,7 +160,60 @@ def train(good: list[str], bad: list[str], share_bad: float, threshold: float) -
     at = int(np.searchsorted(np.cumsum(weights[order]), share_bad))
     at = min(at, len(order) - 2)
     ranking.cut = float(strengths[order][at] + strengths[order][at + 1]) / 2
-    ranking.slope = float(np.clip(4 / max(1e-6, np.median(a) - np.median(b)), 0.05, 20))
+    ranking.slope = _slope(a, b)
+    return ranking
+
+
+def _slope(good: np.ndarray, bad: np.ndarray) -> float:
+    return float(np.clip(4 / max(1e-6, np.median(good) - np.median(bad)), 0.05, 20))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id and the features x of each whole text that is not null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = features(batch.column("text"))
+            at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["doc_id", "x"])
+
+    kind = StructType([docs.schema["doc_id"]]).add("x", ArrayType(DoubleType()))
+    return docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInArrow(run, kind)
+
+
+def nth(values: DataFrame, n: int) -> float:
+    """The nth least (from 0) of the values v, exactly: bins are counted and the right one refined until it is small."""
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    inside = values
+    while low < high and inside.count() > HELD:
+        width = (high - low) / BINS
+        binned = inside.withColumn("bin", F.least(F.floor((F.col("v") - low) / F.lit(width)), F.lit(BINS - 1)))
+        for row in binned.groupBy("bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("bin").collect():
+            if n < row["n"]:
+                break
+            n -= row["n"]
+        low, high = row["low"], row["high"]
+        inside = values.where(F.col("v").between(low, high))
+    return float(low) if low == high else sorted(r["v"] for r in inside.select("v").collect())[n]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, threshold: float) -> Ranking:
+    """The ranking of documents with label 1 over those with label 0: weights from a sample, the cut from all."""
+    taken, _ = sampling.chosen(labels, SAMPLE)
+    known = labels.where("label is not null and doc_id is not null").distinct()
+    rows = written(measured(docs).join(known, "doc_id"), "features")
+    sample = sorted((r["label"], r["doc_id"], r["x"]) for r in rows.join(F.broadcast(taken), ["doc_id", "label"]).collect())
+    good, bad = (np.array([x for label, _, x in sample if label == side]).reshape(-1, FEATURES) for side in (1, 0))
+    ranking = fit(good, bad, threshold)
+    if not len(good) or not len(bad):
+        return ranking
+    ranking.slope = _slope(ranking.strength(good), ranking.strength(bad))
+    factors = ranking.weights / ranking.scale
+    strength = sum((F.col("x")[i] - float(ranking.mean[i])) * float(factors[i]) for i in range(FEATURES))
+    strengths = written(rows.select(strength.alias("v"), "label"), "strengths")
+    counts = {r["label"]: r["n"] for r in strengths.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    below = counts[0]  # as many fall under the cut as are bad
+    ranking.cut = (nth(strengths, below - 1) + nth(strengths, below)) / 2
     return ranking
 
 

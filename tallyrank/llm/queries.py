@@ -20,8 +20,7 @@ QUALITY_THRESHOLD, TOXICITY_THRESHOLD = 0.3, 0.7
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Ranking:
     """Fitted on labelled rows outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).select("doc_id", F.col("quality").alias("label"))
-    found, counts = sampling.labelled(table(spark, sf_dir, "documents"), labels.where("label in (0, 1)"), quality.SAMPLE)
-    return quality.train(found.get(1, []), found.get(0, []), counts.get(0, 0) / max(1, sum(counts.values())), QUALITY_THRESHOLD)
+    return quality.fitted(table(spark, sf_dir, "documents"), labels.where("label in (0, 1)"), QUALITY_THRESHOLD)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Texts are taken up to this many characters in a sample; scoring always reads whole texts.
-SAMPLE_CHARS = 4_000
 
-
-def labelled(docs: DataFrame, labels: DataFrame, limit: int, chars: int = SAMPLE_CHARS) -> tuple[dict, dict]:
-    """Texts of at most `limit` documents of each label, those with the least md5 of their id, and all labels' counts.
+def chosen(labels: DataFrame, limit: int) -> tuple[DataFrame, dict]:
+    """doc_id and label of at most `limit` documents of each label, those with the least md5 of their id, and all labels' counts.
 
     `labels` has doc_id and label. Only ids are ranked; a coarse cut on the hash comes first, so no task ranks all the
     rows of a label.
@@ -27,8 +24,15 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int, chars: int = SAMPLE
         near = near | ((F.col("label") == F.lit(value)) & (F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint") <= F.lit(int(share * 2**32))))
     order = Window.partitionBy("label").orderBy("order", "doc_id")
     taken = keyed.where(near).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return taken.select("doc_id", "label"), counts
+
+
+def labelled(docs: DataFrame, labels: DataFrame, limit: int, chars: int | None = None) -> tuple[dict, dict]:
+    """Texts of the chosen documents, whole or up to so many characters, by label, and all labels' counts."""
+    taken, counts = chosen(labels, limit)
+    text = F.col("text") if chars is None else F.left("text", F.lit(chars))
     # at most `limit` ids for each label
-    found = docs.select("doc_id", F.left("text", F.lit(chars)).alias("text")).join(F.broadcast(taken.select("doc_id", "label")), "doc_id")
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(taken), "doc_id")
     out = defaultdict(list)
     for row in sorted(found.where("text is not null").collect(), key=lambda r: (r["doc_id"], r["text"])):
         out[row["label"]].append(row["text"])

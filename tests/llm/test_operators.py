@@ -49,6 +49,28 @@ def test_ranking_learns_order():
     assert (model.strength(good)[:, None] > model.strength(bad)[None, :]).mean() > 0.9
 
 
+def test_ranking_is_fitted_on_whole_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    plain = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    # good and bad alike begin with plain text of more than 4,000 characters
+    rows = [(i, plain(900) + (" " + plain(600) if i % 3 else " BUY!! NOW!!" * 300), int(i % 3 > 0)) for i in range(90)]
+    docs = documents(spark, [t for _, t, _ in rows])
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, label int")
+    for sample in (quality.SAMPLE, 10):  # the cut is that of all labelled rows, whatever the sample
+        monkeypatch.setattr(quality, "SAMPLE", sample)
+        out = quality.score(docs, quality.fitted(docs, labels, 0.3)).collect()
+        assert all((r[quality.SCORE] >= 0.3) == (r["doc_id"] % 3 > 0) for r in out)
+
+
+def test_nth_least_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HELD", 10)
+    monkeypatch.setattr(quality, "BINS", 4)
+    rng = random.Random(5)
+    values = [rng.choice([0.5, rng.gauss(0, 1), 1e6 * rng.random()]) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in values], "v double")
+    assert [quality.nth(df, n) for n in (0, 7, 150, 299)] == [sorted(values)[n] for n in (0, 7, 150, 299)]
+
+
 def test_classifiers_take_odd_texts(spark):
     docs = documents(spark, ODD)
     plain, junk = ["A quiet day by the sea. It was fine and they went home."] * 5, ["BUY!! NOW!! BUY!! NOW!!"] * 5
