@@ -14,7 +14,7 @@ the fixed cost of a first match is then in both outputs.
 Letters A-Z are lower-cased and ASCII signs and white space become spaces. Windows overlap by more than the longest
 beginning, so none is cut in all windows. Null and empty texts have no window with anything in it and get the score
 of no evidence. Repeated rows are scored alike; only doc_id and text are read. Fitting takes at most SAMPLE rows of
-each label, a documented bound; scoring reads every whole text.
+each label, a documented bound, and like scoring all windows of their whole texts, which the driver holds.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from .words import slices, texts
 SAMPLE = 2_500
 WINDOW, STEP = 64, 50
 SHORTEST, LONGEST = 5, 13
+#: A beginning in so many toxic texts can be telling, however many toxic texts there are.
+LEAST = 4
 #: Ordinary text in both dictionaries, and the windows added in each round, in bytes and in number.
 SHARED, HARD, ROUNDS = 3_000, 80, 2
 HEAD = bytes([1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17])
@@ -65,7 +67,7 @@ def _toxic_parts(toxic: list[bytes], ordinary: list[bytes]) -> tuple[list[bytes]
     own: Counter = Counter()
     for text in toxic:
         own.update(_beginnings(text))
-    likely = {g for g, c in own.items() if c >= max(4, 0.02 * len(toxic))}
+    likely = {g for g, c in own.items() if c >= LEAST}
     other: Counter = Counter()
     for text in ordinary:
         other.update(_beginnings(text) & likely)
@@ -94,7 +96,7 @@ class Model:
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         settings = zstandard.ZstdCompressionParameters(
-            window_log=15, hash_log=14, chain_log=14, search_log=5, min_match=SHORTEST, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
+            window_log=max(15, (len(self.shared) + len(self.toxic) + 256).bit_length()), hash_log=14, chain_log=14, search_log=5, min_match=SHORTEST, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
         )
         out = []
         for own in (bytes(len(self.toxic)), self.toxic):

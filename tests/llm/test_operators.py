@@ -13,7 +13,7 @@ import pytest
 from cases import ODD, documents, passages
 from oracle import SMALL
 
-from tallyrank.llm import decontaminate, exact_topk, language, licenses, neardup, quality, queries, sentence_pieces, substrings, token_files, toxicity
+from tallyrank.llm import decontaminate, exact_topk, language, licenses, neardup, quality, queries, sampling, sentence_pieces, substrings, token_files, toxicity
 from tallyrank.llm.words import LOWER
 
 PIECES, WORDS = (public_tokenizers.path(x) for x in (queries.PIECE_MODEL, queries.WORD_TOKENIZER))
@@ -71,6 +71,22 @@ def test_nth_least_is_exact(spark, monkeypatch):
     assert [quality.nth(df, n) for n in (0, 7, 150, 299)] == [sorted(values)[n] for n in (0, 7, 150, 299)]
 
 
+def test_toxicity_is_fitted_on_whole_texts(spark):
+    rng = random.Random(6)
+    plain = lambda n: " ".join(f"{rng.choice('bcdfgh')}a{rng.choice('lmnprst')}e{rng.choice('kvz')}o" for _ in range(n))
+    rows = [(i, plain(900) + (" you grumblewort" if i % 2 else " you neighbour"), i % 2) for i in range(80)]
+    docs = documents(spark, [t for _, t, _ in rows])
+    found, _ = sampling.labelled(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, label int"), toxicity.SAMPLE)
+    out = toxicity.score(docs, toxicity.train(found[1], found[0])).collect()
+    assert all((r[toxicity.SCORE] >= 0.7) == (r["doc_id"] % 2 == 1) for r in out)
+
+
+def test_rare_toxic_words_are_known():
+    plain = [toxicity.fold(f"quiet day number {i}") for i in range(600)]
+    toxic = [toxicity.fold(f"quiet {'grumblewort' if i < 8 else 'idiot'} number {i}") for i in range(600)]
+    assert any(x.startswith(b" grumb") for x in toxicity._toxic_parts(toxic, plain)[0])
+
+
 def test_classifiers_take_odd_texts(spark):
     docs = documents(spark, ODD)
     plain, junk = ["A quiet day by the sea. It was fine and they went home."] * 5, ["BUY!! NOW!! BUY!! NOW!!"] * 5
