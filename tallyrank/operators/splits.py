@@ -85,20 +85,36 @@ def capped(df: DataFrame, n: int, seed: int, group: str, *keys: str) -> DataFram
     return df.withColumn("__draw", F.row_number().over(order)).where(F.col("__draw") <= n).drop("__draw")
 
 
-def negatives(seen: DataFrame, items: DataFrame, n: int, seed: int, tries: int = 3) -> DataFrame:
-    """n items for each user that the user has no row with, without a product of users and items.
+def negatives(seen: DataFrame, items: DataFrame, n: int | None, seed: int, tries: int = 3) -> DataFrame:
+    """n items for each user that the user has no row with, or all such items where there are fewer or n is None.
 
     Items are coded 0 .. m - 1; for each user tries * n hashed codes are drawn, repeats and seen items dropped, and
-    the first n kept in the order of drawing. The cost is users * n, whatever the number of items.
+    the first n kept in the order of drawing. Users who are then short of n have seen most items, or there are few:
+    theirs are filled up from all their unseen items in hashed order. So the cost is users * n, and for those users a
+    multiple of the rows they have or of n. Only n = None makes the product of users and items.
     """
     m = items.count()
     users = seen.select("user").distinct()
+    known = seen.select("user", "item").distinct()
+    hashed = [draw(seed, "user", "item"), F.col("item")]
+
+    def unseen(of: DataFrame) -> DataFrame:
+        """All items without a row of the user, by codes in runs of bounded length."""
+        runs = of.select("user", F.explode(F.sequence(F.lit(0), F.lit(max(m - 1, 0)), F.lit(4096))).alias("low"))
+        coded = runs.select("user", F.explode(F.sequence("low", F.least(F.col("low") + 4095, F.lit(max(m - 1, 0))))).alias("code"))
+        return coded.join(items.select("code", "item"), "code").join(known, ["user", "item"], "left_anti").select("user", "item")
+
+    if n is None:
+        return unseen(users).withColumn("place", F.row_number().over(Window.partitionBy("user").orderBy(*hashed)))
     order = F.explode(F.sequence(F.lit(0), F.lit(tries * n - 1))).alias("turn")
     drawn = users.select("user", order).withColumn("code", draw_int(seed, "user", "turn") % max(m, 1))
     first = drawn.groupBy("user", "code").agg(F.min("turn").alias("turn"))
-    found = first.join(items.select("code", "item"), "code").join(seen.select("user", "item").distinct(), ["user", "item"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("user").orderBy("turn"))
-    return found.withColumn("place", place).where(F.col("place") <= n).select("user", "item", "place")
+    found = first.join(items.select("code", "item"), "code").join(known, ["user", "item"], "left_anti").select("user", "item", "turn")
+    counted = users.withColumn("one", F.lit(0)).unionByName(found.select("user", F.lit(1).alias("one"))).groupBy("user").agg(F.sum("one").alias("n"))
+    rest = unseen(counted.where(F.col("n") < n))
+    pool = found.unionByName(rest.withColumn("turn", F.lit(tries * n))).groupBy("user", "item").agg(F.min("turn").alias("turn"))
+    place = F.row_number().over(Window.partitionBy("user").orderBy("turn", *hashed))
+    return pool.withColumn("place", place).where(F.col("place") <= n).select("user", "item", "place")
 
 
 def evaluation_rows(test: DataFrame, sampled: DataFrame) -> DataFrame:

@@ -82,6 +82,17 @@ def test_results_do_not_depend_on_partitioning(spark):
     assert [r["code"] for r in items.orderBy("item").collect()] == list(range(30))
 
 
+def test_negatives_are_filled_up(spark):
+    seen = {1: 90, 2: 99, 3: 100, 4: 3, 5: 75}  # the first so many items
+    df = interactions_of(spark, [(u, i, 1.0, 0) for u, own in seen.items() for i in range(own)])
+    items = spark.createDataFrame([(i, i) for i in range(100)], "code long, item long")
+    for n, want in ((20, {1: 10, 2: 1, 3: 0, 4: 20, 5: 20}), (None, {1: 10, 2: 1, 3: 0, 4: 97, 5: 25})):
+        rows = splits.negatives(df, items, n, 1).collect()
+        for u, own in seen.items():
+            assert sorted(r["place"] for r in rows if r["user"] == u) == list(range(1, want[u] + 1))
+            assert len({r["item"] for r in rows if r["user"] == u and r["item"] >= own}) == want[u]
+
+
 def test_k_core_and_counts(spark):
     df = interactions_of(spark, [(u, i, 1.0, 0) for u in range(3) for i in range(3)] + [(9, 0, 1.0, 0)])
     assert interactions.k_core(df, 3).count() == 9
