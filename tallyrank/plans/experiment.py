@@ -223,7 +223,7 @@ def _recs(spark, config: dict, data: DataFrame, number: int, store: Store, contr
 
     tables = _timed("train", say, fitted)
     items = interactions.encoded(interactions.universe(train, test), "item", "code")
-    drawn = splits.negatives(parts, items, unlimited(evaluation.get("negatives", 200)) or 200, number)
+    drawn = splits.negatives(parts, items, unlimited(evaluation.get("negatives", 200)), number)
     pairs = splits.evaluation_rows(test, drawn)
     scored = model.score(pairs, tables, train).select(F.col("user").alias("gid"), "item", "y_true", F.col("score").alias("y_pred"))
     out = metrics.evaluate(scored, evaluation.get("top_ks", [10]), evaluation.get("metrics"), skip_empty=True)

@@ -37,6 +37,17 @@ def test_recs(spark, tmp_path):
     assert sorted(map(key, again.collect())) == sorted(map(key, rows))
 
 
+def test_all_unseen_items_on_request(spark, tmp_path, monkeypatch):
+    drawn = []
+    plain = experiment.splits.negatives
+    monkeypatch.setattr(experiment.splits, "negatives", lambda seen, items, n, seed: drawn.append((seen, items, plain(seen, items, n, seed))) or drawn[-1][-1])
+    config = CONFIG | {"model": [{"name": "popularity"}], "evaluation": {"top_ks": [5], "metrics": ["RECALL"], "negatives": "all"}}
+    assert experiment.run(spark, config, str(tmp_path), lambda s: None).count() > 0
+    seen, items, found = drawn[0]
+    pairs = seen.select("user", "item").distinct().count()
+    assert found.count() == seen.select("user").distinct().count() * items.count() - pairs > 0
+
+
 def test_search(spark, tmp_path):
     rows = [(f"tag{i % 3}", f"doc about tag{i % 3} number {i}", f"tag{i % 3}", f"d{i}") for i in range(40)]
     pairs = spark.createDataFrame(rows, "search_query string, document string, category string, document_id string")
