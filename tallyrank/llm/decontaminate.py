@@ -8,7 +8,8 @@ word for word. Items of fewer than n words are one window of their own length, f
 The items come in blocks of bounded size, each broadcast by itself; every task takes its documents through all of
 them, so neither side is held whole. Documents are not shuffled.
 
-Null and empty texts have no words; an item without words has no window. Repeated rows each get the same result.
+Null and empty texts have no words; an item without words has no window. Windows of an item whose item_id is null count
+as hits; only the number and the list of items leave it out. Repeated rows each get the same result.
 Only doc_id, text, item_id are read, so further columns may have any name.
 """
 
@@ -103,7 +104,9 @@ def index(items: list[tuple[str, str]], n: int = WINDOW, k: int = GRAM) -> Block
             starts = np.arange(b - a - size + 1)
             for start, h in zip(starts.tolist(), spans(own, starts, starts + size).tolist(), strict=True):
                 text = b" ".join([folded[words.starts[j] : words.ends[j]].tobytes() for j in range(a + start, a + start + size)])
-                found[h].setdefault(text, set()).add(str(items[i][0]))
+                names = found[h].setdefault(text, set())
+                if items[i][0] is not None:
+                    names.add(str(items[i][0]))
         keys = sorted(found)
         out.windows.append(Windows(size, gram, np.unique(np.concatenate(prints)), np.array(keys, np.uint64), [[(t, sorted(x)) for t, x in found[h].items()] for h in keys]))
     return out
@@ -113,7 +116,7 @@ def blocks(benchmark: DataFrame) -> list:
     """Broadcast blocks of items. The driver holds one block at a time."""
     context = benchmark.sparkSession.sparkContext
     out, rows, size = [], [], 0
-    for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator():
+    for row in benchmark.select("item_id", "text").where("text is not null").distinct().toLocalIterator():
         rows.append((row[0], row[1]))
         size += len(row[1].encode())
         if size >= BLOCK_BYTES:

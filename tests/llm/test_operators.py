@@ -390,6 +390,16 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_count_as_hits(spark):
+    words = " ".join(f"word{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, words), (7, "other words")], "item_id long, text string")
+    docs = documents(spark, [f"before {words} after", "nothing here", f"other words {words}"])
+    out = {d: x for d, (_, _, *x) in by_id(decontaminate.decontaminate(docs, bench)).items()}
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    assert out == {0: [12, 0, digest(b""), True], 1: [0, 0, digest(b""), False], 2: [14, 1, digest(b"7"), True]}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench, cleaned=True).collect()] == [1]
+
+
 def test_every_shared_span_is_found(spark):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     want = hits_by_force(rows_of(docs), [(r["item_id"], r["text"]) for r in bench.collect()])
