@@ -9,7 +9,9 @@ lower cannot be among the k best overall. So each task sends a few numbers for a
 
 Vectors that are null, or hold a null or a component that is not finite, take no part; vectors of another length than
 the query's are not compared with it. A query is no candidate for itself, by id: rows that repeat a query's id are not
-its candidates either. Repeated candidate ids are each ranked, in the order of score and id. An empty table gives no
+its candidates either. Repeated candidate ids are each ranked, in the order of score and id.
+Rows that ask with one id are one query, as in the SQL: its k places go to the candidates of all its rows, each as often
+as it comes. An empty table gives no
 rows. Scores must fit 64 bits.
 """
 
