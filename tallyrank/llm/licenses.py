@@ -73,17 +73,23 @@ def canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, {quote(r'[\x00-\x2F\x3A-\x60\x7B-\x7F]+')}, ' ', 'g'), ' ')"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, licenses (names, sorted, comma-joined), n_lines (lines that are a known notice), whole_text."""
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, licenses (names, sorted, comma-joined), n_lines (lines that are a known notice), whole_text.
+
+    `known` has license and text, and takes the place of KNOWN; every text and line is then looked up, whatever its words.
+    """
     spark = docs.sparkSession
-    known = spark.createDataFrame(KNOWN, "license string, known_text string").select("license", F.sha2(canonical(F.col("known_text")), 256).alias("digest")).distinct()
+    own = known is None
+    known = spark.createDataFrame(KNOWN, "license string, text string") if own else known.where("license is not null and text is not null")
+    known = known.select("license", canonical(F.col("text")).alias("form")).where("form != ''").select("license", F.sha2("form", 256).alias("digest")).distinct()
+    trigger = (lambda text: F.lower(text).rlike(TRIGGER)) if own else lambda text: text.isNotNull()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    likely = rows.where(F.lower("text").rlike(TRIGGER))
+    likely = rows.where(trigger(F.col("text")))
     # position -1 is the whole text
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("part"))), lambda x: F.lower(x.part).rlike(TRIGGER))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("part"))), lambda x: trigger(x.part))
     parts = likely.select("doc_id", "text_hash", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.col("text").alias("part"))), lines)).alias("p"))
     parts = parts.select("doc_id", "text_hash", F.col("p.at").alias("at"), F.sha2(canonical(F.col("p.part")), 256).alias("digest"))
-    hits = parts.join(F.broadcast(known), "digest")  # a fixed table of a few rows
+    hits = parts.join(F.broadcast(known) if own else known, "digest")  # KNOWN is a fixed table of a few rows
     found = hits.groupBy("doc_id", "text_hash").agg(
         F.concat_ws(",", F.sort_array(F.collect_set("license"))).alias("licenses"), F.countDistinct(F.when(F.col("at") >= 0, F.col("at"))).alias("n_lines"), F.max(F.col("at") == -1).alias("whole_text")
     )

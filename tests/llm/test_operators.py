@@ -308,6 +308,12 @@ def test_licenses(spark):
     assert len(licenses.scan(documents(spark, ["x"] * 2, [1, 1])).collect()) == 2
 
 
+def test_licenses_of_a_given_table(spark):
+    known = spark.createDataFrame([("GPL-2.0", "GNU General Public License,\nversion 2"), ("Own", "Free to use."), ("None", " ")], "license string, text string")
+    texts = ["gnu general public license version 2", "a\nFREE to use\n\nReleased under the MIT License", " ", None]
+    assert [x[1:] for _, x in sorted(by_id(licenses.scan(documents(spark, texts), known)).items())] == [("GPL-2.0", 1, True), ("Own", 1, False), ("", 0, False), ("", 0, False)]
+
+
 # --- 7: repeated passages -------------------------------------------------------------------------------------------
 def removed_by_force(rows):
     window, first, split = substrings.WINDOW, {}, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
