@@ -18,16 +18,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = LOCAL_FOLDER
     return f"{base.rstrip('/')}/tallyrank-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Workspace:
+    """Intermediate tables of one run in the shared folder, deleted once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, shared_folder(spark), {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """The same rows from a Parquet table: cuts the lineage, and lost executors cost nothing."""
+        path = self.paths[name] = f"{self.folder}/{len(self.paths)}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            removed(self.spark, self.paths.pop(name))
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        self.drop(*[name for name in self.paths if name not in names])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: cuts the lineage, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The same rows from a Parquet table of its own in the shared folder."""
+    return Workspace(df.sparkSession).written(df, name)
+
+
+#: A key of more than one row in so many is dealt over several partitions. There are at most as many such keys.
+HEAVY = 1_000
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, deal: str, how: str = "inner") -> DataFrame:
+    """`big` joined with `small`, which has each key once and in `count` the number of its rows in `big`. The rows of
+    frequent keys are dealt by a hash of `deal` over as many partitions as they are worth; their rows of `small` go to
+    all of these. The list of frequent keys is broadcast: it has HEAVY rows at most, as the counts add up to the rows."""
+    spark = big.sparkSession
+    total = small.agg(F.sum(count)).first()[0] or 0
+    parts = F.ceil(F.col(count) * (4 * partitions(spark)) / F.lit(max(total, 1))).cast("int")
+    heavy = F.col(count) * HEAVY > total
+    frequent = small.where(heavy).select(*[F.col(k).alias(f"__{k}") for k in keys], parts.alias("__parts"))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    dealt = big.join(F.broadcast(frequent), same, "left").withColumn("__salt", F.pmod(F.xxhash64(deal), F.coalesce("__parts", F.lit(1))).cast("int"))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(heavy, parts).otherwise(1) - 1)))
+    return dealt.drop("__parts", *[f"__{k}" for k in keys]).join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def release(spark: SparkSession) -> None:

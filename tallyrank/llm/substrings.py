@@ -4,39 +4,47 @@ A window is WINDOW words in a row, words being runs of bytes outside white space
 document but the one with the least id that has it; a word goes if any removed window covers it.
 
 Windows are sorted into shards by content, so that equal windows meet: each window is named by the least hash among
-its GRAM-word grams, its anchor. The windows next to each other with one anchor make a stretch of text, a passage.
-Passages alone under their anchor need no more work. Equal passages are settled by one aggregation: all but those in
-the document with the least id are removed whole. What is left, a passage that differs from others under its anchor,
-is cut out of its document's text and streamed through its shard's FM-index, which holds the passages of the shard's
-anchors: backward search over the wavelet matrix gives matching statistics, and where a match is WINDOW words or
-longer, the least document id among the equal windows decides. An anchor with more than HOT different passages would
-be too much for one shard; its windows are instead compared one by one, by an aggregation over their hashes with
-partial sums before the shuffle. Both ways are exact, up to equal 64-bit hashes of unequal words, twice over.
-
-Windows are judged on the input. A null text has no words; a null doc_id counts as larger than all others. Rows with
-one doc_id do not remove from each other. Only doc_id and text are read; `cleaned` keeps all columns.
+its grams of GRAMS[0] words, its anchor. The windows next to each other with one anchor make a stretch of text, a
+passage. A passage alone under its anchor needs no more work. Of each other passage, the words are taken from the document
+with the least id that has it, once however many have it, and streamed through its shard's FM-index, which holds the
+passages of the shard's anchors: backward search over the wavelet matrix gives matching statistics, and where a match
+is WINDOW words or longer, the least document id among the equal windows is that window's owner. A document loses the
+windows of its passages whose owner is less than its own id. So every removal comes from the index; equal passages are
+only put into it, and asked of it, once.
+
+A shard takes whole anchors, SHARD passages on average. An anchor with more than HOT different passages does not fit
+one shard: those passages, each once, are cut anew by the longer grams of the next of GRAMS, which split them
+further, and what is found for the parts is handed back. The last grams are whole windows, of which no two
+differ under one anchor. So shards are bounded and the work grows with the passages, not with pairs of them.
+
+Hashes only choose shards. Passages are told apart by 128 bits of BLAKE2b over their words, and windows in a shard by
+the words themselves. Windows are judged on the input. A null text has no words; a null doc_id counts as larger than
+all others. Rows with one doc_id do not remove from each other; repeated rows are looked at once and each get the
+result. Only doc_id and text are read; `cleaned` keeps all columns.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import partitions, release, written
+from .common import Workspace, partitions, release, spread_join
 from .fm_index import SEPARATOR, FMIndex
-from .words import SPACED, grams, slices, sliding_argmin, spans, texts, tokenize
+from .words import SPACED, grams, packed, slices, sliding_argmin, texts, tokenize, word_digests
 
-WINDOW, GRAM = 50, 10
+WINDOW = 50
+GRAMS = (10, 25, WINDOW)
 #: Windows in one passage, at most; longer stretches are cut.
 STRETCH = 150
-#: Different passages of one anchor in a shard, and passages in a shard on average, at most.
-HOT, SHARD = 128, 3_000
+#: Different passages of one anchor in a shard at most, and passages in a shard on average, at most.
+HOT, SHARD = 4_000, 3_000
 _LAST = 2**63 - 1
 
 
@@ -44,26 +52,24 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*more, F.coalesce("doc_id", F.lit(_LAST)).alias("__id"), F.xxhash64("text").alias("__hash"))
 
 
-def passages(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """text number, first window (a word's place), windows, anchor and content hash of each passage."""
+def passages(hashes: np.ndarray, first: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
+    """text number, first window (a word's place), windows and anchor of each passage."""
     n = len(hashes) - WINDOW + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
-    values = grams(hashes, GRAM)
-    anchors = values[sliding_argmin(values, WINDOW - GRAM + 1)]
+        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
+    values = grams(hashes, gram)
+    anchors = values[sliding_argmin(values, WINDOW - gram + 1)]
     text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
     inside = np.arange(n) + WINDOW <= first[text_of + 1]
     starts = np.flatnonzero(inside)
     anchors, text_of = anchors[starts], text_of[starts]
     if not len(starts):
-        return starts, starts, starts, anchors, anchors
+        return starts, starts, starts, anchors
     new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (text_of[1:] != text_of[:-1])])
     run = np.flatnonzero(new)
     place = np.arange(len(starts)) - np.repeat(run, np.diff(np.append(run, len(starts))))
     cut = np.flatnonzero(place % STRETCH == 0)
-    size = np.diff(np.append(cut, len(starts)))
-    begin = starts[cut]
-    return text_of[cut], begin, size, anchors[cut], spans(hashes, begin, begin + size + WINDOW - 1)
+    return text_of[cut], starts[cut], np.diff(np.append(cut, len(starts))), anchors[cut]
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -73,133 +79,154 @@ def _scan(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             buf, offsets = texts(batch.column("text"))
             words = tokenize(buf, offsets, SPACED)
-            row, start, size, anchor, content = passages(words.hashes, words.first)
+            row, start, size, anchor = passages(words.hashes, words.first)
+            text, begins, ends = packed(buf, SPACED, words)
+            content = word_digests(text, begins[start], ends[start + size + WINDOW - 2])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").take(pa.array(row)), batch.column("hash").take(pa.array(row)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)),
+                    batch.column("id").take(pa.array(row)), batch.column("hash").take(pa.array(row)), pa.array(anchor.view(np.int64)), pa.array(content, pa.binary()),
                     pa.array(start - words.first[row], pa.int32()), pa.array(size, pa.int32()),
                 ],
                 names=["id", "hash", "anchor", "content", "start", "size"],
             )
 
-    rows = _keyed(docs.where("text is not null"), "text").select(F.col("__id").alias("id"), F.col("__hash").alias("hash"), "text")
-    return rows.mapInArrow(run, "id bigint, hash bigint, anchor bigint, content bigint, start int, size int")
+    return _texts(docs).mapInArrow(run, "id bigint, hash bigint, anchor bigint, content binary, start int, size int")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return _keyed(docs.where("text is not null"), "text").select(F.col("__id").alias("id"), F.col("__hash").alias("hash"), "text")
+
+
+CUT = "anchor bigint, content binary, n bigint, kinds bigint, id bigint, words string"
+_CUT = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the wanted passages, joined by spaces."""
+    names = [x.split()[0] for x in CUT.split(", ")]
     for batch in slices(batches):
         buf, offsets = texts(batch.column("text"))
         words = tokenize(buf, offsets, SPACED)
-        raw = buf.tobytes()
+        text, begins, ends = packed(buf, SPACED, words)
         out: list[tuple] = []
         for i, wanted in enumerate(batch.column("wanted").to_pylist()):
             base, id_ = int(words.first[i]), batch.column("id")[i].as_py()
             for w in wanted:
                 a = base + w["start"]
-                b = a + w["size"] + WINDOW - 1
-                parts = [raw[x:y] for x, y in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)]
-                out.append((id_, w["anchor"], w["content"], w["low"], w["hot"], b" ".join(parts).decode()))
+                b = a + w["size"] + WINDOW - 2
+                out.append((w["anchor"], w["content"], w["n"], w["kinds"], id_, text[begins[a] : ends[b]].decode()))
         for at in range(0, len(out), 10_000):
-            columns = list(zip(*out[at : at + 10_000], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.bool_()), pa.array(columns[5], pa.string())], names=["id", "anchor", "content", "low", "hot", "words"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 10_000], strict=True), _CUT, strict=True)], names=names)
 
 
-def _intervals(flags: np.ndarray) -> list[dict]:
-    """Runs of true flags."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [{"start": int(a), "size": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+def _cut_finer(gram: int) -> Callable:
+    """The same passages in parts, by longer grams."""
 
-
-RUNS = "array<struct<start:int,size:int>>"
-_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
-
-
-def search_shard(ids: np.ndarray, lows: np.ndarray, words: pa.Array) -> list[list[dict]]:
-    """For each passage, the runs of its windows that a passage of a smaller id has too."""
-    buf, offsets = texts(words)
-    found = tokenize(buf, offsets, SPACED)
-    _, symbols = np.unique(found.hashes, return_inverse=True)
-    symbols = symbols.astype(np.int64) + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words"):
+            buf, offsets = texts(batch.column("words"))
+            words = tokenize(buf, offsets, SPACED)
+            row, start, size, anchor = passages(words.hashes, words.first, gram)
+            text, begins, ends = packed(buf, SPACED, words)
+            a, b = begins[start], ends[start + size + WINDOW - 2]
+            for at in range(0, len(row), 10_000):
+                part = slice(at, at + 10_000)
+                own = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("anchor").take(own), batch.column("content").take(own), batch.column("n").take(own), batch.column("id").take(own), pa.array((start - words.first[row])[part], pa.int32()),
+                        pa.array(anchor[part].view(np.int64)), pa.array(word_digests(text, a[part], b[part]), pa.binary()), pa.array([text[x:y].decode() for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)], pa.string()),
+                    ],
+                    names=["of_anchor", "of_content", "n", "id", "at", "anchor", "content", "words"],
+                )
+
+    return run
+
+
+RUNS = "array<struct<start:int,size:int,owner:bigint>>"
+_RUN = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("owner", pa.int64())])
+
+
+def search_shard(ids: np.ndarray, counts: np.ndarray, words: pa.Array) -> pa.ListArray:
+    """For each passage, the runs of its windows with their owners, if it is in several documents; of a passage in one
+    document only the windows that others own."""
+    lists = pc.split_pattern(words, " ")
+    sizes = np.diff(np.array(lists.offsets))
+    symbols = np.array(lists.flatten().dictionary_encode().indices).astype(np.int64) + 1
     sigma, n = int(symbols.max(initial=0)) + 1, len(ids)
-    whole = np.full(len(symbols) + n, SEPARATOR, np.int64)  # a separator after each passage
-    whole[np.arange(len(symbols)) + np.repeat(np.arange(n), found.counts)] = symbols
-    index = FMIndex(whole, sigma)
-    owner = np.append(np.repeat(ids, found.counts + 1), _LAST)[index.suffixes]
-    groups = np.cumsum(index.shared[: index.n] < WINDOW) - 1
-    least = np.minimum.reduceat(owner, np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])))
-    asks = np.flatnonzero(ids > lows)  # the others hold the least id of their anchor
-    sizes = found.counts[asks]
+    passage = np.repeat(np.arange(n), sizes)
+    whole, owners = np.full(len(symbols) + n, SEPARATOR, np.int64), np.zeros(len(symbols) + n, np.int64)  # a separator after each passage
+    whole[np.arange(len(symbols)) + passage] = symbols
+    owners[:] = np.repeat(ids, sizes + 1)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    take = np.repeat(found.first[:-1][asks] - bounds[:-1], sizes) + np.arange(bounds[-1])
-    lengths, places = index.matching_statistics(symbols[take], bounds)
-    known = (lengths >= WINDOW) & (least[groups[places]] < np.repeat(ids[asks], sizes))
-    out: list[list[dict]] = [[] for _ in range(n)]
-    for i, a, b in zip(asks.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        out[i] = _intervals(known[a:b])
-    return out
+    lengths, found = FMIndex(whole, sigma, owners, WINDOW).matching_statistics(symbols, bounds)
+    known = (lengths >= WINDOW) & ((found < ids[passage]) | (counts[passage] > 1))
+    place = np.flatnonzero(known)
+    new = np.concatenate([[True], (place[1:] != place[:-1] + 1) | (found[place[1:]] != found[place[:-1]]) | (passage[place[1:]] != passage[place[:-1]])])[: len(place)]
+    run = np.flatnonzero(new)
+    first = place[run]
+    structs = pa.StructArray.from_arrays(
+        [pa.array(first - bounds[passage[first]], pa.int32()), pa.array(np.diff(np.append(run, len(place))), pa.int32()), pa.array(found[first], pa.int64())], fields=list(_RUN)
+    )
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(passage[first], np.arange(n + 1)), pa.int32()), structs)
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    runs = search_shard(np.array(table.column("id")), np.array(table.column("low")), table.column("words").combine_chunks())
-    keep = np.array([bool(r) for r in runs], bool)
-    out = table.select(["anchor", "content"]).append_column("runs", pa.array(runs, _RUNS))
-    return out.filter(pa.array(keep))
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each window of a passage."""
-    for batch in slices(batches, "words"):
-        buf, offsets = texts(batch.column("words"))
-        words = tokenize(buf, offsets, SPACED)
-        sizes = np.maximum(words.counts - WINDOW + 1, 0)
-        row = np.repeat(np.arange(batch.num_rows), sizes)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        begin = words.first[:-1][row] + place
-        hashes = spans(words.hashes, begin, begin + WINDOW)
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c).take(pa.array(row)) for c in ("id", "anchor", "content")], pa.array(place, pa.int32()), pa.array(hashes.view(np.int64))], names=["id", "anchor", "content", "place", "window"]
-        )
+    runs = search_shard(np.array(table.column("id")), np.array(table.column("n")), table.column("words").combine_chunks())
+    out = table.select(["anchor", "content", "n"]).append_column("runs", runs)
+    return out.filter(pc.greater(pc.list_value_length(runs), 0))
+
+
+def _counted(same: DataFrame) -> DataFrame:
+    """anchor, kinds: the anchors of more than one passage, and how many different ones each has."""
+    return same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
+
+
+def _answers(space: Workspace, cut: DataFrame, level: int) -> DataFrame:
+    """anchor, content, n and runs of the passages in `cut` that have any."""
+    spark, last = cut.sparkSession, level == len(GRAMS) - 1
+    cold = F.lit(True) if last else F.col("kinds") <= HOT
+    some, hot = cut.agg(F.count_if(cold), F.count_if(~cold)).first()
+    shards = max(partitions(spark), some // SHARD)
+    sharded = cut.where(cold).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
+    runs = space.written(sharded.groupBy("shard").applyInArrow(_shard, f"anchor bigint, content binary, n bigint, runs {RUNS}"), f"runs{level}")
+    if not hot:
+        return runs
+    # dealt out evenly: the passages of one anchor lie together in few files
+    finer = cut.where(~cold).repartition(partitions(spark), "content").mapInArrow(_cut_finer(GRAMS[level + 1]), "of_anchor bigint, of_content binary, n bigint, id bigint, at int, anchor bigint, content binary, words string")
+    finer = space.written(finer, f"finer{level}")
+    same = space.written(finer.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.min("id").alias("id"), F.first("words").alias("words")), f"same{level}")
+    kinds = space.written(_counted(same), f"kinds{level}")
+    below = space.written(spread_join(same, kinds, ["anchor"], "kinds", "content").select(*[x.split()[0] for x in CUT.split(", ")], "parts"), f"cut{level}")
+    told = space.written(below.select("anchor", "content", "parts").join(_answers(space, below, level + 1).drop("n"), ["anchor", "content"]), f"told{level}")
+    parts = spread_join(finer.drop("words"), told, ["anchor", "content"], "parts", "of_content")
+    moved = parts.select(F.col("of_anchor").alias("anchor"), F.col("of_content").alias("content"), "n", "id", "at", F.explode("runs").alias("run")).where("n > 1 or run.owner < id")
+    run = F.struct((F.col("at") + F.col("run.start")).alias("start"), F.col("run.size").alias("size"), F.col("run.owner").alias("owner"))
+    whole = moved.groupBy("anchor", "content", "n").agg(F.collect_list(run).alias("runs"))
+    return space.written(runs.unionByName(whole), f"all{level}")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """id, hash and spans (first word, words) of the repeated windows of each document that has some."""
     spark = docs.sparkSession
-    found = written(_scan(docs), "passages")
+    space = Workspace(spark)
+    found = space.written(_scan(docs), "passages")
     least = F.min(F.struct("id", "hash", "start", "size")).alias("least")
-    same = written(found.groupBy("anchor", "content").agg(least, F.count("*").alias("n")), "same")
+    same = space.written(found.groupBy("anchor", "content").agg(least, F.count("*").alias("n")), "same")
     release(spark)
-    varied = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("least.id").alias("low")).where("kinds > 1")
-    several = written(same.join(varied, "anchor").select("anchor", "content", "least", "low", (F.col("kinds") > HOT).alias("hot")), "several")
-    wanted = several.groupBy("least.id", "least.hash").agg(F.collect_list(F.struct("anchor", "content", "low", "hot", "least.start", "least.size")).alias("wanted"))
-    text = _keyed(docs.where("text is not null"), "text").select(F.col("__id").alias("id"), F.col("__hash").alias("hash"), "text")
-    # rows that repeat id and text are one document here
-    cut = text.join(wanted, ["id", "hash"]).mapInArrow(_cut_out, "id bigint, anchor bigint, content bigint, low bigint, hot boolean, words string")
-    cut = written(cut, "cut")
+    kinds = space.written(_counted(same), "kinds")
+    several = spread_join(same, kinds, ["anchor"], "kinds", "content")
+    wanted = several.groupBy("least.id", "least.hash").agg(F.collect_list(F.struct("anchor", "content", "n", "kinds", "least.start", "least.size")).alias("wanted"))
+    text = _texts(docs).dropDuplicates(["id", "hash"])  # rows that repeat id and text are one document here
+    cut = space.written(text.join(wanted, ["id", "hash"]).mapInArrow(_cut_out, CUT), "cut")
+    space.drop("same", "kinds")
     release(spark)
-
-    cold = cut.where("not hot")
-    shards = max(partitions(spark), cold.count() // SHARD)
-    sharded = cold.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    runs = sharded.groupBy("shard").applyInArrow(_shard, f"anchor bigint, content bigint, runs {RUNS}")
-    # dealt out evenly: the passages of one anchor lie together in few files
-    single = cut.where("hot").repartition(partitions(spark), "content").mapInArrow(_exploded, "id bigint, anchor bigint, content bigint, place int, window bigint")
-    single = written(single, "windows")
-    first = single.groupBy("anchor", "window").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hot_runs = single.join(first, ["anchor", "window"]).where("id > first").groupBy("anchor", "content").agg(F.collect_set(F.struct(F.col("place").alias("start"), F.lit(1).alias("size"))).alias("runs"))
-    runs = written(runs.unionByName(hot_runs).dropDuplicates(["anchor", "content"]), "runs")
+    told = _answers(space, cut, 0)
     release(spark)
-
-    told = same.where("n > 1").select("anchor", "content", "least").join(runs, ["anchor", "content"], "full")
-    told = told.select("anchor", "content", F.col("least.id").alias("first"), "runs")
-    hits = found.join(told, ["anchor", "content"])
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("size")))
-    hits = hits.select("id", "hash", "start", F.when(F.col("id") > F.col("first"), whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
-    one = F.transform("runs", lambda r: F.struct((F.col("start") + r.start).alias("start"), (r.size + (WINDOW - 1)).alias("size")))
-    marked = hits.select("id", "hash", F.explode(one).alias("span")).groupBy("id", "hash").agg(F.collect_list("span").alias("spans"))
-    out = written(marked, "spans")
+    hits = spread_join(found, told, ["anchor", "content"], "n", "id").select("id", "hash", F.col("start").alias("at"), F.explode("runs").alias("run")).where("run.owner < id")
+    span = F.struct((F.col("at") + F.col("run.start")).alias("start"), (F.col("run.size") + (WINDOW - 1)).alias("size"))
+    out = space.written(hits.groupBy("id", "hash").agg(F.collect_list(span).alias("spans")), "spans")
+    space.keep("spans")
     release(spark)
     return out
 

@@ -1,11 +1,16 @@
 """Vectorised words, word hashes and winnowing over Arrow text columns.
 
 Texts stay as one UTF-8 byte buffer with offsets: no Python string is made for each word. A word is a maximal run
-of bytes that a 256-entry table marks; each gets a 64-bit hash (polynomial over a random table, then mixed).
+of bytes that a 256-entry table marks. Its 64-bit hash goes through its bytes eight at a time, each step mixed with
+the next (words longer than LONG bytes: keyed BLAKE2b). A span of words is hashed from the hashes of its first and its
+last 2**k words, and those from halves in the same way. No step is linear in what came before, so no pattern of bytes
+or words makes two texts collide. Hashes only say where to look: where equality decides, `word_digests` (128 bits of
+BLAKE2b over the words themselves) or the words are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,9 +23,11 @@ CHUNK = 1 << 17
 #: Bytes of text in one slice of a batch (one text at least).
 SLICE = 1 << 20
 
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE, _GRAM_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Words of more bytes are hashed one by one.
+LONG = 256
+_SEED, _STEP, _JOIN = 0x243F6A8885A308D3, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_KEY = b"words"
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def _fold_table() -> np.ndarray:
@@ -38,24 +45,6 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and their inverses, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            m = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U(pow(self.base, m, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U(pow(self.inverse, m, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _GRAM_POWERS = _Powers(_BASE), _Powers(_GRAM_BASE)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U(30))
@@ -112,7 +101,6 @@ class Words:
 
 
 def tokenize(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: np.ndarray | None = None) -> Words:
-    codes = _BYTE_CODES if fold is None else _BYTE_CODES[fold]
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at, n = 0, len(buf)
     while at < n:
@@ -124,7 +112,7 @@ def tokenize(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: np.n
             to = min(int(edge), to + int(out[0]) if len(out) else stop)
             if to == edge:
                 break
-        parts.append(_chunk(buf, offsets, table, codes, at, to))
+        parts.append(_chunk(buf, offsets, table, fold, at, to))
         at = to
     if parts:
         starts, ends, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -133,7 +121,7 @@ def tokenize(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: np.n
     return Words(starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
-def _chunk(buf, offsets, table, codes, at, to):
+def _chunk(buf, offsets, table, fold, at, to):
     piece = buf[at:to]
     inside = table[piece]
     opens, closes = inside.copy(), inside.copy()
@@ -145,27 +133,73 @@ def _chunk(buf, offsets, table, codes, at, to):
         edges = edges[edges > 0]
         closes[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, down = _BYTE_POWERS.get(len(piece) + 1)
-    sums = np.zeros(len(piece) + 1, np.uint64)
-    np.cumsum(codes[piece] * up[:-1], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
-    return starts + at, ends + at, mix(hashes)
+    return starts + at, ends + at, word_hashes(piece if fold is None else fold[piece], starts, ends)
+
+
+def word_hashes(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word."""
+    sizes = ends - starts
+    padded = np.zeros(len(piece) + 8, np.uint8)
+    padded[: len(piece)] = piece
+    eights = np.ndarray((len(piece) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(sizes.astype(np.uint64) ^ U(_SEED))
+    out = mix((out ^ (eights[starts] & _MASKS[np.minimum(sizes, 8)])) * U(_STEP))
+    rest = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    done = 8
+    while len(rest):
+        left = sizes[rest] - done
+        out[rest] = mix((out[rest] ^ (eights[starts[rest] + done] & _MASKS[np.minimum(left, 8)])) * U(_STEP))
+        done += 8
+        rest = rest[left > 8]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(piece[starts[i] : ends[i]], digest_size=8, key=_KEY).digest(), "little")
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U(_JOIN) + b)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k values from each position on; positions less than k from the end are left out."""
-    n = len(hashes)
-    if n < k:
+    if len(hashes) < k:
         return np.zeros(0, np.uint64)
-    return spans(hashes, np.arange(n - k + 1), np.arange(k, n + 1))
+    whole, n = hashes, 1
+    while 2 * n <= k:
+        whole, n = _joined(whole[:-n], whole[n:]), 2 * n
+    return mix(_joined(whole[: len(hashes) - k + 1], whole[k - n :]) + U(k))
 
 
 def spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of hashes[starts:ends], for many spans."""
-    up, down = _GRAM_POWERS.get(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """Hash of hashes[starts:ends], for many spans: as `grams` where these have one length."""
+    sizes = ends - starts
+    out = np.zeros(len(sizes), np.uint64)
+    whole, n, longest = hashes, 1, int(sizes.max(initial=0))
+    while n <= longest:
+        own = np.flatnonzero((sizes >= n) & (sizes < 2 * n))
+        if len(own):
+            out[own] = mix(_joined(whole[starts[own]], whole[ends[own] - n]) + sizes[own].astype(np.uint64))
+        if 2 * n <= longest:
+            whole = _joined(whole[:-n], whole[n:])
+        n *= 2
+    return out
+
+
+def packed(buf: np.ndarray, table: np.ndarray, words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words alone, each with a space after it, and where each begins and ends (before its space)."""
+    sizes = words.ends - words.starts
+    ends = np.cumsum(sizes + 1)
+    inside = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+    inside[ends - 1] = False
+    out = np.full(len(inside), 32, np.uint8)
+    out[inside] = buf[table[buf]]
+    return out.tobytes(), ends - sizes - 1, ends - 1
+
+
+def word_digests(text: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """128 bits of BLAKE2b over each part of what `packed` gives."""
+    blake, view = hashlib.blake2b, memoryview(text)
+    return [blake(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:

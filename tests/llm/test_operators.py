@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from cases import ODD, documents, passages
 from oracle import SMALL
+from test_words import complements
 
 from tallyrank.llm import decontaminate, exact_topk, language, licenses, neardup, quality, queries, sampling, sentence_pieces, substrings, token_files, toxicity
 from tallyrank.llm.words import LOWER
@@ -335,9 +336,10 @@ def removed_by_force(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT, 3])
-def test_repeated_passages(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,grams", [(substrings.HOT, substrings.GRAMS), (3, substrings.GRAMS), (1, (2, 4, 50))])
+def test_repeated_passages(spark, monkeypatch, hot, grams):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "GRAMS", grams)
     texts = passages(5) + ODD
     texts += [texts[3], texts[3], texts[7]]
     ids = [i if i % 4 else 7 for i in range(len(texts) - 1)] + [None]
@@ -345,6 +347,24 @@ def test_repeated_passages(spark, monkeypatch, hot):
     assert sorted((tuple(r) for r in substrings.digests(docs).collect()), key=str) == removed_by_force(rows_of(docs))
 
 
+def test_words_of_one_pattern_are_not_confused(spark):
+    a, b = (x for x in complements(1024))
+    start = " ".join(f"w{i}" for i in range(49))
+    docs = documents(spark, [f"{start} {a}", f"{start} {b}", " ".join(a), " ".join(b), f"x {start} {a}"])
+    got = [r["n_removed"] for r in sorted(substrings.digests(docs).collect())]
+    assert got == [r[2] for r in sorted(removed_by_force(rows_of(docs)))] and got[:2] == [0, 0]
+    assert {k: v[1:] for k, v in by_id(neardup.duplicates(docs)).items()} == classes_by_force(sorted(rows_of(docs)))
+
+
+def test_passages_of_repeated_rows(spark):
+    rng = random.Random(8)
+    some = lambda k: " ".join(rng.choices([f"w{i}" for i in range(900)], k=k))
+    shared = some(70)
+    texts = [f"{some(20)} {shared} {some(30)}"] * 50 + [f"{some(10)} {shared}"] * 50
+    docs = documents(spark, texts, [4] * 50 + [9] * 50)
+    assert sorted((tuple(r) for r in substrings.digests(docs).collect()), key=str) == removed_by_force(rows_of(docs))
+
+
 def test_cleaned_texts(spark):
     texts = passages(9, 40) + ODD
     docs = documents(spark, texts)

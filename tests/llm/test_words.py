@@ -47,16 +47,51 @@ def test_slices_keep_all_rows():
 
 def test_matching_statistics():
     rng = np.random.default_rng(3)
-    for sigma, n in ((4, 60), (3, 150), (9, 200)):
+    for sigma, n in ((4, 60), (3, 150), (9, 200), (2, 700), (30, 900)):
         text = rng.integers(1, sigma, n)
         text[rng.integers(0, n, 6)] = 0
-        index = FMIndex(text, sigma)
+        owners, window = rng.integers(0, 50, n), int(rng.integers(1, 6))
+        index = FMIndex(text, sigma, owners, window)
         patterns = [np.concatenate([rng.integers(1, sigma, rng.integers(0, 20)), text[i : i + 25][text[i : i + 25] > 0]]) for i in rng.integers(0, n - 25, 8)]
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in patterns])])
-        lengths, places = index.matching_statistics(np.concatenate(patterns), bounds)
+        lengths, least = index.matching_statistics(np.concatenate(patterns), bounds)
         for p, at in zip(patterns, bounds, strict=False):
             for i in range(len(p)):
                 best = max(next((k for k in range(len(p) - i) if j + k >= n or text[j + k] != p[i + k]), len(p) - i) for j in range(n))
                 assert lengths[at + i] == best
-                start = index.suffixes[places[at + i]]
-                assert text[start : start + best].tolist() == p[i : i + best].tolist()
+                having = [owners[j] for j in range(n - window + 1) if text[j : j + window].tolist() == p[i : i + window].tolist()]
+                assert least[at + i] == (min(having) if len(p) - i >= window and having else 2**63 - 1)
+
+
+def complements(n):
+    """A sequence of two letters and its complement that any sum over powers of an odd number modulo 2**64 confuses."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_patterned_words_and_texts_differ(n):
+    a, b = complements(n)
+    found = W.tokenize(*W.texts(pa.array([a, b])), W.SPACED)
+    assert found.hashes[0] != found.hashes[1]
+    for text in (a, b):
+        assert W.tokenize(*W.texts(pa.array([f" {text}\n", text])), W.SPACED).hashes.tolist() in ([found.hashes[0]] * 2, [found.hashes[1]] * 2)
+    rows = [W.tokenize(*W.texts(pa.array([" ".join(x)])), W.SPACED).hashes for x in (a, b)]
+    ends = [W.spans(x, np.array([0, 1]), np.array([n, n])) for x in rows]
+    assert not set(ends[0].tolist()) & set(ends[1].tolist())
+
+
+def test_spans_are_grams():
+    hashes = np.random.default_rng(2).integers(0, 2**63, 90, dtype=np.uint64)
+    for k in (1, 2, 5, 10, 50, 64):
+        at = np.arange(len(hashes) - k + 1)
+        assert W.grams(hashes, k).tolist() == W.spans(hashes, at, at + k).tolist()
+        assert len(set(W.grams(hashes, k).tolist())) == len(at)
+
+
+def test_packed_words():
+    buf, offsets = W.texts(pa.array([*TEXTS, "end", "begin", "a\t \nb"]))
+    found = W.tokenize(buf, offsets, W.SPACED)
+    text, starts, ends = W.packed(buf, W.SPACED, found)
+    assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == [buf[a:b].tobytes() for a, b in zip(found.starts, found.ends, strict=True)]
+    assert W.word_digests(text, starts[:2], ends[:2])[0] != W.word_digests(text, starts[:2], ends[:2])[1]
