@@ -37,17 +37,21 @@ class Workspace:
     """Intermediate tables of one run in the shared folder, deleted once nothing reads them any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.paths = spark, shared_folder(spark), {}
+        self.spark, self.folder, self.made = spark, shared_folder(spark), 0
+        self.paths: dict[str, list[str]] = {}
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """The same rows from a Parquet table: cuts the lineage, and lost executors cost nothing."""
-        path = self.paths[name] = f"{self.folder}/{len(self.paths)}-{name}"
+        path = f"{self.folder}/{self.made}-{name}"
+        self.made += 1
+        self.paths.setdefault(name, []).append(path)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
-            removed(self.spark, self.paths.pop(name))
+            for path in self.paths.pop(name):
+                removed(self.spark, path)
 
     def keep(self, *names: str) -> None:
         """Deletes all tables but these."""
@@ -78,6 +82,19 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, d
     return dealt.drop("__parts", *[f"__{k}" for k in keys]).join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the DataFrame does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

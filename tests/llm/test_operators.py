@@ -401,9 +401,9 @@ def hits_by_force(docs, items, n=decontaminate.WINDOW):
     return out
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 50])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits", [decontaminate.BITS, 1 << 15])
+def test_decontamination(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "BITS", bits)
     rng = random.Random(1)
     some = lambda sizes: " ".join(rng.choices("a b c dé E".split(), k=rng.choice(sizes)))
     docs = documents(spark, [some([0, 1, 5, 12, 40, 300]) for _ in range(60)] + ODD)
