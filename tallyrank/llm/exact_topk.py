@@ -9,10 +9,13 @@ lower cannot be among the k best overall. So each task sends a few numbers for a
 
 Vectors that are null, or hold a null or a component that is not finite, take no part; vectors of another length than
 the query's are not compared with it. A query is no candidate for itself, by id: rows that repeat a query's id are not
-its candidates either. Repeated candidate ids are each ranked, in the order of score and id.
-Rows that ask with one id are one query, as in the SQL: its k places go to the candidates of all its rows, each as often
-as it comes. An empty table gives no
-rows. Scores must fit 64 bits.
+its candidates either. Repeated candidate ids are each ranked, in the order of score and id. Each row that asks is a
+query of its own, with k places of its own, also where rows repeat an id. Equal rows are scored once and counted: k
+copies of a candidate are as good as all of them, and the result of a query is given once for each copy. So no block
+grows with the copies of a row. An empty table gives no rows.
+
+Scores are exact whatever the components: where 64 bits might not hold them, in Python's integers. A score beyond 64
+bits counts as the nearest number of 64 bits, in ranking as in the result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import Workspace
 
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 BINS = 256
@@ -40,60 +43,83 @@ def _lookup(values: dict[int, int]):
 
 
 def _blocks(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """dim, block, ids and vectors in so many blocks for each length, by a hash of the id."""
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), _lookup(counts)).cast("int"))
+    """dim, block, ids, copies and vectors in so many blocks for each length, by a hash of the row."""
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), _lookup(counts)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         vectors = table.column("v").combine_chunks().flatten()
         return pa.table(
             {
                 "dim": table.column("dim").slice(0, 1), "block": table.column("block").slice(0, 1),
-                "ids": pa.array([np.array(table.column("vec_id"), "<i8").tobytes()], pa.binary()), "vectors": pa.array([np.array(vectors, "<i8").tobytes()], pa.binary()),
+                "ids": pa.array([np.array(table.column("vec_id"), "<i8").tobytes()], pa.binary()), "copies": pa.array([np.array(table.column("copies"), "<i8").tobytes()], pa.binary()),
+                "vectors": pa.array([np.array(vectors, "<f8").tobytes()], pa.binary()),
             }
         )
 
-    return keyed.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, ids binary, vectors binary")
+    return keyed.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, ids binary, copies binary, vectors binary")
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """floor(256 * x) as Python's integers."""
+    # a double of 2**53 or more is whole; 256 times it may be beyond the largest double
+    return np.array([int(y) << 8 if abs(y) >= 2.0**53 else math.floor(256 * y) for y in x.ravel().tolist()], object).reshape(x.shape)
+
+
+def _exact(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Products of wide vectors."""
+    q, r = _whole(q), _whole(r)
+    return np.array([[min(max(y, -(2**63)), 2**63 - 1) for y in (r * p).sum(axis=1).tolist()] for p in q], np.int64).reshape(len(q), len(r))
 
 
 def _scores(queries: bytes, rows: bytes, dim: int) -> np.ndarray:
-    q, r = (np.frombuffer(x, "<i8") for x in (queries, rows))
-    top = max(1, int(np.abs(q).max(initial=0))) * max(1, int(np.abs(r).max(initial=0))) * max(1, dim)
-    if top >= 2**63:
-        raise OverflowError("a score might not fit 64 bits")
-    q, r = (x.reshape(-1, dim) for x in (q, r)) if dim else (np.zeros((1, 0), np.int64), np.zeros((1, 0), np.int64))
-    if top < 2**53:  # exact in doubles
-        return (q.astype(np.float64) @ r.astype(np.float64).T).astype(np.int64)
-    return q @ r.T
-
-
-def _pair(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    qids, rids = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+    q, r = (np.frombuffer(x, "<f8").reshape(-1, dim) for x in (queries, rows))
+    with np.errstate(over="ignore"):
+        a, b = (np.abs(x).max(axis=1) * 256 + 1 for x in (q, r))
+    limit = math.sqrt(2**53 / dim)  # below it, products and their sums are exact in doubles
+    plain_q, plain_r = a < limit, b < limit
+    inner = (np.floor(256 * q[plain_q]) @ np.floor(256 * r[plain_r]).T).astype(np.int64)
+    if len(inner) == len(q) and plain_r.all():
+        return inner
+    out = np.empty((len(q), len(r)), np.int64)
+    out[np.ix_(plain_q, plain_r)] = inner
+    out[~plain_q] = _exact(q[~plain_q], r)
+    out[np.ix_(plain_q, ~plain_r)] = _exact(q[plain_q], r[~plain_r])
+    return out
+
+
+def _pair(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    qids, rids, copies = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["copies"], "<i8")
     if row["dim"]:
         scores = _scores(row["queries"], row["vectors"], row["dim"])
     else:
         scores = np.zeros((len(qids), len(rids)), np.int64)
-    return qids, rids, scores
+    return qids, rids, copies, scores
 
 
-def _top(scores: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """The kth highest of the row's own scores, or the least."""
-    s = scores[own]
-    return np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else s.min()
+def _top(scores: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
+    """The kth highest of the scores, or the least; each as often as it has copies."""
+    best = np.argpartition(scores, len(scores) - k)[len(scores) - k :] if len(scores) > k else np.arange(len(scores))
+    best = best[np.argsort(scores[best], kind="stable")[::-1]]
+    return scores[best[min(int(np.searchsorted(np.cumsum(copies[best]), k)), len(best) - 1)]]
 
 
 def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each row that `is_query` marks."""
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
+    space = Workspace(vectors.sparkSession)
     usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    rows = vectors.where(usable).select("vec_id", F.size("embedding").alias("dim"), whole.alias("v"), is_query.alias("asks"))
+    # -0.0 and 0.0 are one number
+    rows = vectors.where(usable).select("vec_id", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v"), is_query.alias("asks"))
+    rows = rows.groupBy("vec_id", "v", "asks").agg(F.count("*").alias("copies")).withColumn("dim", F.size("v"))
+    rows = space.written(rows, "distinct")
     # one row for each length that vectors have
-    lengths = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("m"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm")).collect()
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.abs(x) * 256 + 1, F.lit(2.0)))
+    lengths = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("m"), F.max(norm).alias("norm")).collect()
     count = lambda n, size: max(1, -(-n // size))
     row_blocks = {r.dim: count(r.n, ROW_BLOCK) for r in lengths}
     norms = {r.dim: math.sqrt(r.norm) for r in lengths}
-    asking = _blocks(rows.where("asks").select("vec_id", "dim", "v"), {r.dim: count(r.m, QUERY_BLOCK) for r in lengths})
-    asking = written(asking.select("dim", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")), "queries")
-    there = written(_blocks(rows.select("vec_id", "dim", "v"), row_blocks), "rows")
+    asking = _blocks(rows.where("asks").drop("asks"), {r.dim: count(r.m, QUERY_BLOCK) for r in lengths})
+    asking = space.written(asking.select("dim", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("copies").alias("query_copies"), F.col("vectors").alias("queries")), "queries")
+    there = space.written(_blocks(rows.drop("asks"), row_blocks), "rows")
 
     def pairs(edges: DataFrame) -> DataFrame:
         blocks = edges.join(asking, ["dim", "query_block"]).withColumn("block", F.explode(F.sequence(F.lit(0), _lookup(row_blocks) - 1)))
@@ -103,27 +129,30 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     edges = asking.select("dim", "query_block", F.lit(None).cast("binary").alias("low"), F.lit(None).cast("binary").alias("width"))
     state = None
     while True:
-        bins = pairs(edges).mapInArrow(lambda b: _histograms(b, k, norms), "dim int, query_block int, place int, query_id bigint, low bigint, width bigint, bin int, n bigint")
-        counted = bins.groupBy("dim", "query_block", "place", "query_id", "low", "width", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("dim", "query_block", "place").orderBy(F.desc("bin"))
+        bins = pairs(edges).mapInArrow(lambda b: _histograms(b, k, norms), "dim int, query_block int, place int, query_id bigint, width bigint, edge bigint, n bigint")
+        counted = bins.groupBy("dim", "query_block", "place", "query_id", "width", "edge").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("dim", "query_block", "place").orderBy(F.desc("edge"))
         above = counted.withColumn("upto", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy("dim", "query_block", "place")))
         wanted = F.least(F.lit(k), F.col("all"))
         found = above.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted))
         found = found.select(
-            "dim", "query_block", "place", "upto",
-            (F.col("low") + F.col("bin") * F.col("width")).alias("edge"),
-            F.col("width"), ((F.col("upto") <= ENOUGH * k) | (F.col("width") == 1)).alias("done"),
+            "dim", "query_block", "place", "upto", "edge", "width",
+            ((F.col("upto") <= ENOUGH * k) | (F.col("width") == 1)).alias("done"),
         )
-        state = written(found if state is None else found.unionByName(state.where("done")), "edges")
+        state = space.written(found if state is None else found.unionByName(state.where("done")), "edges")
         open_blocks = state.groupBy("dim", "query_block").agg(F.sort_array(F.collect_list(F.struct("place", "edge", "width", "done"))).alias("e"))
         packed = open_blocks.mapInArrow(_packed, "dim int, query_block int, low binary, width binary, open boolean")
-        packed = written(packed, "packed")
+        packed = space.written(packed, "packed")
         if packed.where("open").limit(1).count() == 0:
             break
         edges = packed.where("open").drop("open")
-    best = pairs(packed.drop("open")).mapInArrow(lambda b: _filtered(b, k), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    key = ["dim", "query_block", "place"]
+    best = pairs(packed.drop("open")).mapInArrow(lambda b: _filtered(b, k), "dim int, query_block int, place int, times bigint, query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy(*key).orderBy(F.desc("score"), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = space.written(ranked.select("query_id", "rank", "vec_id", "score", "times"), "ranked")
+    space.keep("ranked")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("query_id", "rank", "vec_id", "score")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,20 +168,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _histograms(batches: Iterator[pa.RecordBatch], k: int, norms: dict[int, float]) -> Iterator[pa.RecordBatch]:
-    names = ["dim", "query_block", "place", "query_id", "low", "width", "bin", "n"]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["dim", "query_block", "place", "query_id", "width", "edge", "n"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
         for i in range(batch.num_rows):
             row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
-            qids, rids, scores = _pair(row)
+            qids, rids, copies, scores = _pair(row)
             if row["low"] is None:
                 # no score is beyond the product of the lengths; the same interval for all pairs
-                own = np.frombuffer(row["queries"], "<i8").reshape(len(qids), -1).astype(np.float64)
-                reach = (np.sqrt((own**2).sum(axis=1)) * norms[row["dim"]] * (1 + 1e-9)).astype(np.int64) + 2
-                lows, widths = -reach, -(-(2 * reach + 1) // BINS)
+                with np.errstate(over="ignore"):
+                    own = np.abs(np.frombuffer(row["queries"], "<f8").reshape(len(qids), -1)) * 256 + 1
+                    reach = [min(int(min(x, 2.0**63)) + 2, 2**63 - 1) for x in (np.sqrt((own**2).sum(axis=1)) * norms[row["dim"]] * (1 + 1e-9)).tolist()]
+                lows, widths = [-x - (x == 2**63 - 1) for x in reach], [-(-(2 * x + 2) // BINS) for x in reach]
             else:
-                lows, old = np.frombuffer(row["low"], "<i8"), np.frombuffer(row["width"], "<i8")
-                widths = -(-old // BINS)
+                lows = np.frombuffer(row["low"], "<i8").tolist()
+                widths = (-(-np.frombuffer(row["width"], "<i8") // BINS)).tolist()
             out: list[tuple] = []
             for p, q in enumerate(qids.tolist()):
                 if p >= len(widths) or widths[p] == 0:
@@ -160,28 +190,35 @@ def _histograms(batches: Iterator[pa.RecordBatch], k: int, norms: dict[int, floa
                 own = (rids != q) & (scores[p] >= lows[p])
                 if not own.any():
                     continue
-                s = scores[p][own]
-                s = s[s >= _top(s, np.ones(len(s), bool), k)]
-                which, n = np.unique((s - lows[p]) // widths[p], return_counts=True)
-                out += [(row["dim"], row["query_block"], p, q, int(lows[p]), int(widths[p]), int(b), int(c)) for b, c in zip(which.tolist(), n.tolist(), strict=True)]
+                s, c = scores[p][own], copies[own]
+                near = s >= _top(s, c, k)
+                s, c = s[near], np.minimum(c[near], k)
+                # unsigned, as the difference may need all 64 bits
+                which, place = np.unique((s.view(np.uint64) - np.uint64(lows[p] % 2**64)) // np.uint64(widths[p]), return_inverse=True)
+                out += [(row["dim"], row["query_block"], p, q, widths[p], lows[p] + int(b) * widths[p], int(m)) for b, m in zip(which.tolist(), np.bincount(place, weights=c).tolist(), strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
 def _filtered(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    names = ["dim", "query_block", "place", "times", "query_id", "vec_id", "score"]
     for batch in batches:
         for i in range(batch.num_rows):
             row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
-            qids, rids, scores = _pair(row)
-            lows = np.frombuffer(row["low"], "<i8")
+            qids, rids, copies, scores = _pair(row)
+            lows, times = np.frombuffer(row["low"], "<i8"), np.frombuffer(row["query_copies"], "<i8")
             parts = []
             for p, q in enumerate(qids.tolist()):
                 if p >= len(lows):
                     continue
                 own = np.flatnonzero((rids != q) & (scores[p] >= lows[p]))
-                if len(own) > k:  # this pair's own k best
-                    own = own[np.lexsort((rids[own], -scores[p][own]))[:k]]
-                parts.append((np.full(len(own), q), rids[own], scores[p][own]))
+                # this pair's own k best, each as often as it has copies
+                own = own[np.lexsort((rids[own], ~scores[p][own]))[:k]]
+                own = np.repeat(own, np.minimum(copies[own], k))[:k]
+                parts.append((np.full(len(own), p), np.full(len(own), times[p]), np.full(len(own), q), rids[own], scores[p][own]))
             if parts:
                 columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
+                n = len(columns[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, row["dim"]), pa.int32()), pa.array(np.full(n, row["query_block"]), pa.int32()), pa.array(columns[0], pa.int32()), *[pa.array(x, pa.int64()) for x in columns[1:]]], names=names
+                )

@@ -8,25 +8,25 @@ code length of a byte depends on the ORDER bytes before it alone: each worker wo
 ORDER + 1 bytes that it meets and remembers it in a table of fixed size. The shortest code wins.
 
 Letters are lower-cased (A-Z and Latin-1) and other ASCII bytes become spaces. `und` is given to null texts and to
-texts without letters. Ties go to the language first in alphabetical order. Repeated rows are scored alike. Only
-doc_id, text and, for training, lang are read. Training takes at most SAMPLE texts of each language, up to
-SAMPLE_CHARS characters each, a documented bound; scoring reads every whole text.
+texts without letters (Unicode category L: digits and numerals of any script are none). Ties go to the language first in alphabetical order. Repeated rows are scored alike. Only
+doc_id, text and, for training, lang are read. Training takes at most SAMPLE whole texts of
+each language, a documented bound; scoring reads every whole text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .words import mix, slices, texts
 
 ORDER = 4
-SAMPLE, SAMPLE_CHARS = 500, 3_000
+SAMPLE = 500
 #: Slots of the table of remembered code lengths (a power of two).
 SLOTS = 1 << 17
 UNKNOWN = "und"
@@ -34,7 +34,7 @@ U = np.uint64
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123], _FOLD[65:91], _FOLD[128:] = np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def fold(buf: np.ndarray) -> np.ndarray:
@@ -151,7 +151,7 @@ def predict(column: pa.Array, model: Model, lengths: Lengths) -> tuple[list[str]
         return [UNKNOWN] * n, np.zeros(n)
     bits = np.zeros((n, len(model.languages)))
     block = 1 << 18  # bytes at once
-    data = fold(buf)
+    data, lettered = fold(buf), np.zeros(n, bool)
     for at in range(0, len(data), block):
         to, lead = min(len(data), at + block), min(at, ORDER)
         inner = np.clip(offsets, at - lead, to) - (at - lead)
@@ -162,8 +162,9 @@ def predict(column: pa.Array, model: Model, lengths: Lengths) -> tuple[list[str]
         sums = np.zeros((len(cost) + 1, cost.shape[1]))
         np.cumsum(cost, axis=0, out=sums[1:])
         bits[first:last] += sums[cuts[1:]] - sums[cuts[:-1]]
-    letters = np.concatenate([[0], np.cumsum((data >= 97) & (data < 123))])
-    lettered = letters[offsets[1:]] > letters[offsets[:-1]]
+        plain = data[at:to]
+        letters = np.concatenate([[0], np.cumsum((plain >= 97) & (plain < 123))])
+        lettered[first:last] |= letters[cuts[1:]] > letters[cuts[:-1]]
     for i in np.flatnonzero(~lettered & (np.diff(offsets) > 0)):
         lettered[i] = bool(_LETTER.search(buf[offsets[i] : offsets[i + 1]].tobytes().decode()))
     best = bits.argmin(axis=1)

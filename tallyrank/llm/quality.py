@@ -9,8 +9,9 @@ Features are shares of the text's bytes and words: letters, capitals, digits, si
 repeat the word before, words and word pairs that came before, mean word length, and the log of the length.
 They know no vocabulary, so they carry over to any language with an alphabet.
 
-Null and empty texts get the features of no words: all zero. Repeated rows are scored alike. Only doc_id and text
-are read. Weights are fitted on at most SAMPLE rows of each label, a documented bound. Features are those of
+Null and empty texts get the features of no words: all zero. Repeated rows are scored alike. A document as strong as the
+cut is kept; the cut is halfway between the two neighbours in the order of strengths, so where these tie, all that tie
+are kept. Only doc_id and text are read. Weights are fitted on at most SAMPLE rows of each label, a documented bound. Features are those of
 whole texts, in fitting as in scoring, and are taken by the executors.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from . import sampling
-from .common import written
+from .common import Workspace
 from .words import SPACED, grams, slices, texts, tokenize
 
 #: Training rows of each label, and preference pairs, at most.
@@ -201,19 +202,24 @@ def fitted(docs: DataFrame, labels: DataFrame, threshold: float) -> Ranking:
     """The ranking of documents with label 1 over those with label 0: weights from a sample, the cut from all."""
     taken, _ = sampling.chosen(labels, SAMPLE)
     known = labels.where("label is not null and doc_id is not null").distinct()
-    rows = written(measured(docs).join(known, "doc_id"), "features")
-    sample = sorted((r["label"], r["doc_id"], r["x"]) for r in rows.join(F.broadcast(taken), ["doc_id", "label"]).collect())
+    space = Workspace(docs.sparkSession)
+    rows = space.written(measured(docs).join(known, "doc_id"), "features")
+    # an id may be that of many rows; the sample has one for each
+    sample = rows.join(F.broadcast(taken), ["doc_id", "label"]).groupBy("label", "doc_id").agg(F.min("x").alias("x"))
+    sample = sorted((r["label"], r["doc_id"], r["x"]) for r in sample.collect())
     good, bad = (np.array([x for label, _, x in sample if label == side]).reshape(-1, FEATURES) for side in (1, 0))
     ranking = fit(good, bad, threshold)
     if not len(good) or not len(bad):
+        space.keep()
         return ranking
     ranking.slope = _slope(ranking.strength(good), ranking.strength(bad))
     factors = ranking.weights / ranking.scale
     strength = sum((F.col("x")[i] - float(ranking.mean[i])) * float(factors[i]) for i in range(FEATURES))
-    strengths = written(rows.select(strength.alias("v"), "label"), "strengths")
+    strengths = space.written(rows.select(strength.alias("v"), "label"), "strengths")
     counts = {r["label"]: r["n"] for r in strengths.groupBy("label").agg(F.count("*").alias("n")).collect()}
     below = counts[0]  # as many fall under the cut as are bad
     ranking.cut = (nth(strengths, below - 1) + nth(strengths, below)) / 2
+    space.keep()
     return ranking
 
 

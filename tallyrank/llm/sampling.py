@@ -1,4 +1,4 @@
-"""Bounded labelled samples for fitting. Which rows are taken depends on their ids' hashes alone."""
+"""Bounded labelled samples for fitting. Which rows are taken depends on their ids' and texts' hashes alone."""
 
 from __future__ import annotations
 
@@ -8,32 +8,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Different labels that a sample can have; the rest, the rarer ones, are not learned.
+LABELS = 200
+
 
 def chosen(labels: DataFrame, limit: int) -> tuple[DataFrame, dict]:
-    """doc_id and label of at most `limit` documents of each label, those with the least md5 of their id, and all labels' counts.
+    """doc_id and label of at most `limit` documents of each label, those with the least md5 of their id, and the labels' counts.
 
-    `labels` has doc_id and label. Only ids are ranked; a coarse cut on the hash comes first, so no task ranks all the
-    rows of a label.
+    `labels` has doc_id and label. Only ids are ranked, and a coarse cut on the hash comes first. At most LABELS labels
+    are taken, the most frequent ones (of equally frequent ones the first in order).
     """
     known = labels.where("label is not null and doc_id is not null").select("doc_id", "label").distinct()
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()}
     keyed = known.withColumn("order", F.md5(F.col("doc_id").cast("string")))
-    near = F.lit(False)
-    for value, n in counts.items():
-        share = min(1.0, 2.0 * limit / max(n, 1) + 0.001)
-        near = near | ((F.col("label") == F.lit(value)) & (F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint") <= F.lit(int(share * 2**32))))
+    shares = [F.lit(x) for value, n in counts.items() for x in (value, int(min(1.0, 2.0 * limit / max(n, 1) + 20.0 / max(n, 1)) * 2**32))]
+    near = F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint") <= F.element_at(F.create_map(*shares), F.col("label")) if shares else F.lit(False)
     order = Window.partitionBy("label").orderBy("order", "doc_id")
     taken = keyed.where(near).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
     return taken.select("doc_id", "label"), counts
 
 
-def labelled(docs: DataFrame, labels: DataFrame, limit: int, chars: int | None = None) -> tuple[dict, dict]:
-    """Texts of the chosen documents, whole or up to so many characters, by label, and all labels' counts."""
+def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[dict, dict]:
+    """Whole texts of the chosen documents by label, at most `limit` different (doc_id, text) for each, and the labels' counts."""
     taken, counts = chosen(labels, limit)
-    text = F.col("text") if chars is None else F.left("text", F.lit(chars))
     # at most `limit` ids for each label
-    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(taken), "doc_id")
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(taken), "doc_id")
+    # an id may be that of many rows: they count as rows of the sample too
+    ranked = found.select("label", "doc_id", "text", F.md5(F.col("doc_id").cast("string")).alias("order"), F.xxhash64("text").alias("hash"))
+    place = F.dense_rank().over(Window.partitionBy("label").orderBy("order", "doc_id", "hash"))
+    few = ranked.withColumn("place", place).where(F.col("place") <= limit).dropDuplicates(["label", "doc_id", "hash"])
     out = defaultdict(list)
-    for row in sorted(found.where("text is not null").collect(), key=lambda r: (r["doc_id"], r["text"])):
+    for row in sorted(few.collect(), key=lambda r: (r["doc_id"], r["hash"], r["text"])):
         out[row["label"]].append(row["text"])
     return dict(out), counts

@@ -44,7 +44,7 @@ GRAMS = (10, 25, WINDOW)
 #: Windows in one passage, at most; longer stretches are cut.
 STRETCH = 150
 #: Different passages of one anchor in a shard at most, and passages in a shard on average, at most.
-HOT, SHARD = 4_000, 3_000
+HOT, SHARD = 1_000, 3_000
 _LAST = 2**63 - 1
 
 

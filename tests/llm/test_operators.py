@@ -1,7 +1,9 @@
 """The corpus operators against brute force, round trips and held-out labels."""
 
 import collections
+import fractions
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pytest
 from cases import ODD, documents, passages
 from oracle import SMALL
+from pyspark.sql import functions as F
 from test_words import complements
 
 from tallyrank.llm import decontaminate, exact_topk, language, licenses, neardup, quality, queries, sampling, sentence_pieces, substrings, token_files, toxicity
@@ -130,6 +133,43 @@ def test_language_is_exact(spark):
         assert found == pytest.approx(total, rel=1e-5)
 
 
+def test_language_needs_a_letter(spark):
+    model = language.train({"en": ["the cat"] * 3})
+    signs = ["½ ²", "①", "١٢٣", "Ⅷ 四"[:1], "12 3.", "_ __", "\u0301", "日"]
+    got = by_id(language.identify(documents(spark, signs), model))
+    assert [got[i][1] for i in range(len(signs))] == ["und"] * 7 + ["en"]
+    assert language.identify(documents(spark, signs).limit(0), model).count() == 0
+
+
+def test_samples_keep_their_bound(spark):
+    docs = documents(spark, [f"text {i}" for i in range(500)] + ["same"] * 500 + ["other", None], [3] * 500 + [5] * 500 + [7, 9])
+    labels = spark.createDataFrame([(i, "a" if i < 6 else "b") for i in (3, 5, 7, 9)], "doc_id long, label string")
+    found, counts = sampling.labelled(docs, labels, 10)
+    assert counts == {"a": 2, "b": 2} and len(found["a"]) <= 10 and found["b"] == ["other"]
+    again, _ = sampling.labelled(docs.repartition(7), labels, 10)
+    assert again == found
+    model = quality.fitted(docs, labels.select("doc_id", (labels["label"] == "a").cast("int").alias("label")), 0.3)
+    assert quality.score(docs, model).count() == 1002
+    assert sampling.labelled(docs, labels.limit(0), 10) == ({}, {})
+
+
+@pytest.mark.parametrize("name", ["op1_quality", "op2_toxicity", "op4_language", "op9_sentence_pieces", "op6_license_scan", "op5_token_files"])
+def test_empty_tables_and_repeated_rows(spark, tmp_path, name):
+    folder = f"file://{tmp_path}"
+    docs = table(spark, "documents")
+    odd = spark.createDataFrame([(None, "no id"), (10**9, None), (10**9, "")], "doc_id long, text string")
+    for at, (some, marks) in enumerate([(docs.limit(0), table(spark, "labels").limit(0)), (docs.unionByName(docs.limit(20)).unionByName(odd, allowMissingColumns=True), table(spark, "labels"))]):
+        some.withColumn("score", F.lit("clash")).write.parquet(f"{folder}/{at}/documents.parquet")
+        marks.write.parquet(f"{folder}/{at}/labels.parquet")
+        out = queries.queries()[name](spark, f"{folder}/{at}").collect()
+        assert len(out) == some.count()
+    if name != "op5_token_files":  # there a start differs
+        seen = {}
+        for r in out:
+            if r["doc_id"] is not None and r["doc_id"] < 10**9:
+                assert seen.setdefault(r["doc_id"], r) == r
+
+
 # --- 3: near duplicates ---------------------------------------------------------------------------------------------
 def shingled(text):
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", LOWER[np.frombuffer((text or "").encode(), np.uint8)].tobytes())
@@ -434,24 +474,39 @@ def test_every_shared_span_is_found(spark):
 
 # --- 10: search -----------------------------------------------------------------------------------------------------
 def best_by_force(rows, k, every):
-    usable = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(i, [math.floor(fractions.Fraction(float(x)) * 256) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, a in usable:
         if q % every == 0:
-            scored = sorted((-int(a @ b), i) for i, b in usable if i != q and len(a) == len(b))[:k]
+            scored = sorted((-min(max(sum(x * y for x, y in zip(a, b, strict=True)), -(2**63)), 2**63 - 1), i) for i, b in usable if i != q and len(a) == len(b))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
-def test_exact_search(spark, monkeypatch):
-    from pyspark.sql import functions as F
+def searched(spark, rows, every=50):
+    df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, block int")
+    return sorted(map(tuple, exact_topk.search(df, F.col("vec_id") % every == 0, 5).collect()))
+
 
+def test_exact_search(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 4)
     monkeypatch.setattr(exact_topk, "ROW_BLOCK", 64)
     rng = np.random.default_rng(4)
     rows = [(i, [1.0, 1.0, 1.0] if i % 2 else (rng.integers(-3, 4, 3) / 256).tolist()) for i in range(300)]
     rows += [(1000, None), (1001, [float("nan"), 1.0, 2.0]), (1002, [None, 1.0, 1.0]), (1003, [float("inf"), 1.0, 1.0]), (1050, []), (1051, []), (1100, [5.0])]
-    df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, block int")
-    got = sorted(map(tuple, exact_topk.search(df, F.col("vec_id") % 50 == 0, 5).collect()))
-    assert got == best_by_force(rows, 5, 50)
-    assert exact_topk.search(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+    assert searched(spark, rows) == best_by_force(rows, 5, 50)
+    assert searched(spark, []) == []
+
+
+def test_search_of_wide_components(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "ROW_BLOCK", 4)
+    wide = [1e30, -1e30, 1e308, -1e308, 2.0**44, 2.0**53 + 2, 3e9, 0.1, -0.0, 5e-324, 1e17, -1e17]
+    rng = random.Random(3)
+    rows = [(i, [rng.choice(wide), rng.choice(wide)]) for i in range(60)] + [(100 + i, [rng.choice(wide[4:8]), 0.5]) for i in range(20)]
+    assert searched(spark, rows, 10) == best_by_force(rows, 5, 10)
+
+
+def test_search_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "ROW_BLOCK", 4)
+    rows = [(0, [1.0, 0.0])] * 3 + [(0, [0.0, 1.0])] + [(7, [2.0, 1.0])] * 40 + [(8, [2.0, 1.0])] * 2 + [(9, [0.0, 9.0])] * 2 + [(i, [0.1 * i, 1.0]) for i in range(10, 40)]
+    assert searched(spark, rows) == best_by_force(rows, 5, 50)
