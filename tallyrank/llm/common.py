@@ -67,19 +67,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 HEAVY = 1_000
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, deal: str, how: str = "inner") -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, deal: str, total: int | None = None) -> DataFrame:
     """`big` joined with `small`, which has each key once and in `count` the number of its rows in `big`. The rows of
     frequent keys are dealt by a hash of `deal` over as many partitions as they are worth; their rows of `small` go to
-    all of these. The list of frequent keys is broadcast: it has HEAVY rows at most, as the counts add up to the rows."""
+    all of these. The list of frequent keys is broadcast: it has HEAVY rows at most, as the counts add up to the rows (`total`, if that is known)."""
     spark = big.sparkSession
-    total = small.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = small.agg(F.sum(count)).first()[0] or 0
     parts = F.ceil(F.col(count) * (4 * partitions(spark)) / F.lit(max(total, 1))).cast("int")
     heavy = F.col(count) * HEAVY > total
     frequent = small.where(heavy).select(*[F.col(k).alias(f"__{k}") for k in keys], parts.alias("__parts"))
     same = [F.col(k) == F.col(f"__{k}") for k in keys]
     dealt = big.join(F.broadcast(frequent), same, "left").withColumn("__salt", F.pmod(F.xxhash64(deal), F.coalesce("__parts", F.lit(1))).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(heavy, parts).otherwise(1) - 1)))
-    return dealt.drop("__parts", *[f"__{k}" for k in keys]).join(copies, [*keys, "__salt"], how).drop("__salt")
+    return dealt.drop("__parts", *[f"__{k}" for k in keys]).join(copies, [*keys, "__salt"]).drop("__salt")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

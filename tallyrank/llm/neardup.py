@@ -8,7 +8,8 @@ about T (ln T + 3) have come; every dart belongs to a hashed coordinate and the
 The work is the number of shingles plus the number of darts, whatever T. Two texts agree in a coordinate with
 a probability of exactly their similarity.
 
-Texts with the same words are one class from the start, and only one of them, the one with the least id, goes on.
+Texts with the same words (by 128 bits of BLAKE2b over them) are one class from the start, and only one of them, the one
+with the least id, goes on.
 ROWS coordinates make a band. In each bucket of a band all are compared with the bucket's least member, on their
 whole texts; a pair at THRESHOLD or more is a link, and links are closed to classes. At similarity 0.8 a pair shares a
 bucket with probability 1 - (1 - 0.8^5)^24 = 0.99993. A bucket that still holds several classes is then compared
@@ -16,7 +17,8 @@ whole: its members are dealt into blocks of bounded size, and each block is comp
 block of the bucket, all members of different classes against each other, on their whole texts. So every two texts
 that share a bucket are compared or already in one class, however large the bucket, and only what shares none of the
 24 buckets can be missed. Blocks bound the rows and the memory of a task; the work in a bucket of many texts that are
-not alike grows with the square of their number, as it must where each pair is to be told.
+not alike grows with the square of their number, as it must where each pair is to be told. The rows of frequent buckets,
+leads, labels and contents are dealt over several partitions in every join (`spread_join`).
 
 Texts of fewer than five words are one shingle of all their words. Texts without a word, the empty one among them, are
 only grouped with equal texts. Null texts are classes of their own. Repeated rows are in one class; a class is named
@@ -25,6 +27,7 @@ by its least doc_id (rows with a null doc_id count as largest). Columns other th
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .words import ALNUM, LOWER, Words, mix, slices, spans, texts, tokenize
+from .common import Workspace, fresh, spread_join
+from .words import ALNUM, LOWER, Words, mix, packed, slices, spans, texts, tokenize, word_digests
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -140,34 +143,38 @@ def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """key (doc_id and a hash of the text), content (two hashes of the words) and bands of every text."""
+    """key (doc_id and a hash of the text), content (a digest of the words) and bands of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             buf, offsets = texts(batch.column("text"))
             words = tokenize(buf, offsets, ALNUM, LOWER)
             n = batch.num_rows
-            a = spans(words.hashes, words.first[:-1], words.first[1:])
-            b = spans(mix(words.hashes + U(77)), words.first[:-1], words.first[1:])
-            empty = np.flatnonzero(words.counts == 0)  # by the text itself
-            text_hash = np.array(batch.column("text_hash"))
-            a[empty], b[empty] = text_hash[empty].view(np.uint64), U(1)
+            text, begins, ends = packed(LOWER[buf], ALNUM, words)
+            some = np.flatnonzero(words.counts)
+            content = [b""] * n
+            for i, digest in zip(some.tolist(), word_digests(text, begins[words.first[some]], ends[words.first[some + 1] - 1]), strict=True):
+                content[i] = digest
+            for i in np.flatnonzero(words.counts == 0).tolist():  # by the text itself
+                content[i] = hashlib.blake2b(buf[offsets[i] : offsets[i + 1]], digest_size=16, key=b"no words").digest()
             found = bands(signatures(*shingles(words), n, BANDS * ROWS)).view(np.int64)
             at = np.concatenate([[0], np.cumsum(np.where(words.counts > 0, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(found[words.counts > 0].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=["doc_id", "text_hash", "a", "b", "bands"]
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(content, pa.binary()), lists], names=["doc_id", "text_hash", "content", "bands"]
             )
 
     rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    out = rows.mapInArrow(run, "doc_id bigint, text_hash bigint, a bigint, b bigint, bands array<bigint>")
-    return out.select(F.struct("doc_id", "text_hash").alias("key"), "a", "b", "bands")
+    out = rows.mapInArrow(run, "doc_id bigint, text_hash bigint, content binary, bands array<bigint>")
+    return out.select(F.struct("doc_id", "text_hash").alias("key"), "content", "bands")
 
 
-def _compared(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The pairs (left, right) whose texts are similar enough."""
+def _compared(space: Workspace, pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The pairs (left, right) whose texts are similar enough. A right text goes to the partitions of its pairs, not to
+    each pair; a left one has a pair for each band at most."""
     left = kept.select(F.col("key").alias("left"), F.col("text").alias("left_text"))
-    right = kept.select(F.col("key").alias("right"), F.col("text").alias("right_text"))
+    times = pairs.groupBy(F.col("right").alias("key")).agg(F.count("*").alias("times"))
+    right = space.written(kept.join(times, "key").select(F.col("key").alias("right"), F.col("text").alias("right_text"), "times"), "leads")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "left_text"):
@@ -175,26 +182,34 @@ def _compared(pairs: DataFrame, kept: DataFrame) -> DataFrame:
             yield batch.select(["left", "right"]).filter(pa.array(alike))
 
     kind = pairs.schema["left"].dataType.simpleString()
-    return pairs.join(left, "left").join(right, "right").select("left", "right", "left_text", "right_text").mapInArrow(run, f"left {kind}, right {kind}")
+    return spread_join(pairs.join(left, "left"), right, ["right"], "times", "left").select("left", "right", "left_text", "right_text").mapInArrow(run, f"left {kind}, right {kind}")
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(space: Workspace, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, label: the least node that links lead to, for each node of a link (left, right).
 
     With `rounds`, no more than so many: nodes of one component may then still have several labels."""
     ends = links.unionByName(links.select(F.col("right").alias("left"), F.col("left").alias("right")))
-    labels = written(ends.groupBy(F.col("left").alias("node")).agg(F.least(F.min("right"), F.col("left")).alias("label")), "labels")
+    # how many links each node has: those of one with very many are dealt out
+    labels = ends.groupBy(F.col("left").alias("node")).agg(F.least(F.min("right"), F.col("left")).alias("label"), F.count("*").alias("links"))
+    labels = space.written(labels, "labels")
+    total, many = links.count(), labels.count()
     while True:
-        met = links.join(labels.select(F.col("node").alias("left"), F.col("label").alias("x")), "left").join(labels.select(F.col("node").alias("right"), F.col("label").alias("y")), "right")
+        met = links
+        for side, label in (("left", "x"), ("right", "y")):
+            met = spread_join(met, labels.select(F.col("node").alias(side), F.col("label").alias(label), F.col("links").alias("times")), [side], "times", "right" if side == "left" else "left", total).drop("times")
         # a label that a link joins to a lesser one gives way to it; so does a label whose own node has a lesser one
         hooks = met.where("x != y").select(F.greatest("x", "y").alias("label"), F.least("x", "y").alias("to"))
         chains = labels.where("node != label").select(F.col("node").alias("label"), F.col("label").alias("to"))
-        lower = hooks.unionByName(chains).groupBy("label").agg(F.min("to").alias("to"))
-        moved = written(labels.join(lower, "label", "left").select("node", F.coalesce("to", "label").alias("label"), (F.col("to").isNotNull() & (F.col("to") < F.col("label"))).alias("moved")), "labels")
-        labels = moved.drop("moved")
+        lower = hooks.unionByName(chains).groupBy("label").agg(F.min("to").alias("to")).where("to < label")
+        nodes = labels.groupBy("label").agg(F.count("*").alias("times"))
+        lower = space.written(nodes.join(lower, "label", "left"), "lower")  # every label, with what it gives way to
+        moved = lower.where("to is not null").limit(1).count()
+        if moved:
+            labels = space.written(spread_join(labels, lower, ["label"], "times", "node", many).select("node", F.coalesce("to", "label").alias("label"), "links"), "labels")
         rounds = rounds and rounds - 1
-        if rounds == 0 or not moved.where("moved").limit(1).count():
-            return labels
+        if rounds == 0 or not moved:
+            return labels.drop("links")
 
 
 def overlaps(column: pa.Array, n: int | None = None) -> np.ndarray:
@@ -253,23 +268,23 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(x, pa.int64())) for x in (i, j)], names=["left", "right"])
 
 
-def _blocks(shared: DataFrame, labels: DataFrame, kept: DataFrame) -> DataFrame:
+def _blocks(space: Workspace, shared: DataFrame, labels: DataFrame, kept: DataFrame) -> DataFrame:
     """Buckets of three or more that hold several classes, in blocks; of buckets with the same members, one."""
     named = shared.select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
-    named = written(named.join(kept.select("key", F.octet_length("text").alias("bytes")), "key"), "named")
+    named = space.written(named.join(kept.select("key", F.octet_length("text").alias("bytes")), "key"), "named")
     found = named.groupBy("band").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("bytes").alias("bytes"),
         *[F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"h{i}") for i in range(2)],
     ).where("low != high and size > 2")
     one = found.groupBy("size", "bytes", "h0", "h1").agg(F.min("band").alias("band"))
-    sized = one.select("band", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
-    dealt = named.drop("bytes").join(sized, "band").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "key"), "blocks")).join(kept, "key")
+    sized = space.written(one.select("band", "size", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks")), "sized")
+    dealt = spread_join(named.drop("bytes"), sized, ["band"], "size", "key").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "key"), "blocks")).join(kept, "key")
     return dealt.groupBy("band", "blocks", "block").agg(F.collect_list(F.struct("key", "label", "text")).alias("members"))
 
 
-def _whole(shared: DataFrame, labels: DataFrame, kept: DataFrame) -> DataFrame:
+def _whole(space: Workspace, shared: DataFrame, labels: DataFrame, kept: DataFrame) -> DataFrame:
     """Links (left, right) that join the classes of all similar texts that share a bucket."""
-    blocks = written(_blocks(shared, labels, kept), "blocks")
+    blocks = space.written(_blocks(space, shared, labels, kept), "blocks")
     kind = blocks.schema["members"].dataType.elementType["key"].dataType.simpleString()
     schema = f"left {kind}, right {kind}"
     inner = blocks.select("members").mapInArrow(_linked, schema)
@@ -280,32 +295,37 @@ def _whole(shared: DataFrame, labels: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every text's key and content, and every content's class: (signed rows), (a, b, key, n, class)."""
-    rows = written(_signed(docs), "signed")
-    same = written(rows.groupBy("a", "b").agg(F.min(F.struct("key", "bands")).alias("least"), F.count("*").alias("n")).select("a", "b", "least.key", "least.bands", "n"), "same")
+    """Every text's key and content, and every content's class: (signed rows), (content, key, n, class)."""
+    space = Workspace(docs.sparkSession)
+    rows = space.written(_signed(docs), "signed")
+    same = space.written(rows.groupBy("content").agg(F.min(F.struct("key", "bands")).alias("least"), F.count("*").alias("n")).select("content", "least.key", "least.bands", "n"), "same")
     placed = same.select("key", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    shared = written(placed.join(buckets, "band"), "shared")  # every member of a bucket of two or more
+    buckets = space.written(placed.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    shared = space.written(spread_join(placed, buckets, ["band"], "size", "key"), "shared")  # every member of a bucket of two or more
     needed = shared.select("key").distinct()
     texts_of = docs.where("text is not null").select(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("key"), "text")
-    kept = written(texts_of.join(needed, "key").dropDuplicates(["key"]), "texts")
+    kept = space.written(texts_of.join(needed, "key").dropDuplicates(["key"]), "texts")
 
-    pairs = shared.where("key != lead").select(F.col("key").alias("left"), F.col("lead").alias("right")).distinct()
-    links = written(_compared(pairs, kept), "links")
+    pairs = space.written(shared.where("key != lead").select(F.col("key").alias("left"), F.col("lead").alias("right")).distinct(), "pairs")
+    links = space.written(_compared(space, pairs, kept), "links")
     # labels need not be final yet: two labels in one class only cost comparisons
-    links = written(links.unionByName(_whole(shared, components(links, ROUGH), kept)), "links")
-    labels = components(links)
+    links = space.written(links.unionByName(_whole(space, shared, components(space, links, ROUGH), kept)), "links")
+    labels = components(space, links)
     named = same.drop("bands").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("label", "key")).drop("label")
-    return rows.drop("bands"), written(named, "classes")
+    named = space.written(named, "classes")
+    space.keep("signed", "classes")
+    return rows.drop("bands"), named
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and class_size, one row for each row of the documents."""
+    space = Workspace(docs.sparkSession)
     rows, named = classes(docs)
-    sizes = named.groupBy("class").agg(F.sum("n").alias("class_size"))
-    sized = named.join(sizes, "class").select("a", "b", F.col("class.doc_id").alias("class_id"), "class_size")
+    sizes = space.written(named.groupBy("class").agg(F.sum("n").alias("class_size"), F.count("*").alias("kinds")), "sizes")
+    sized = space.written(spread_join(named, sizes, ["class"], "kinds", "key").select("content", "n", F.col("class.doc_id").alias("class_id"), "class_size"), "sized")
+    space.keep("sized")
     back = lambda c: F.when(F.col(c) != _LAST, F.col(c)).alias(c.split(".")[-1])
-    out = rows.join(sized, ["a", "b"]).select(back("key.doc_id"), back("class_id"), "class_size")
+    out = spread_join(rows, sized, ["content"], "n", "key").select(back("key.doc_id"), back("class_id"), "class_size")
     nulls = docs.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
     return out.unionByName(nulls)
 
@@ -313,7 +333,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without those in a class with a lesser one; null texts stay."""
     _, named = classes(docs)
-    keep = named.select(F.col("class.doc_id").alias("__id"), F.col("class.text_hash").alias("__hash")).distinct()
-    marked = docs.where("text is not null").withColumn("__id", F.coalesce("doc_id", F.lit(_LAST))).withColumn("__hash", F.xxhash64("text"))
-    best = marked.join(keep, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    i, h = fresh(docs, "id", "hash")
+    keep = named.select(F.col("class.doc_id").alias(i), F.col("class.text_hash").alias(h)).distinct()
+    marked = docs.where("text is not null").withColumn(i, F.coalesce("doc_id", F.lit(_LAST))).withColumn(h, F.xxhash64("text"))
+    best = marked.join(keep, [i, h], "left_semi").dropDuplicates([i, h]).select(*docs.columns)
     return best.unionByName(docs.where("text is null"))
