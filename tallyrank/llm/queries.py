@@ -31,8 +31,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on labelled rows outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)).select("doc_id", F.col("toxic").alias("label"))
-    found, _ = sampling.labelled(table(spark, sf_dir, "documents"), labels.where("label in (0, 1)"), toxicity.SAMPLE)
-    return toxicity.train(found.get(1, []), found.get(0, []))
+    found, counts = sampling.labelled(table(spark, sf_dir, "documents"), labels.where("label in (0, 1)"), toxicity.SAMPLE)
+    return toxicity.train(found.get(1, []), found.get(0, []), counts.get(1, 0) / max(1, sum(counts.values())), TOXICITY_THRESHOLD)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text, and every window of a text is
-compressed with each. Where the toxic dictionary gives the shorter output, the window is nearer to toxic text. How
-many windows do, and by how many bytes, becomes a probability on the training rows.
-
-The toxic dictionary is made of word beginnings that many toxic and nearly no ordinary texts have, taken as far as
-their occurrences agree. The ordinary one has zeros of the same length in their place, so that all offsets are the
-same. Both then share ordinary text: samples of it, the parts of the toxic beginnings that ordinary text has too, and
-the ordinary windows that were nearer to toxic text with the dictionaries of the round before. So a difference in
-length is due to what is in toxic text alone. Every window has the same short head, which both dictionaries hold:
-the fixed cost of a first match is then in both outputs.
-
-Letters A-Z are lower-cased and ASCII signs and white space become spaces. Windows overlap by more than the longest
-beginning, so none is cut in all windows. Null and empty texts have no window with anything in it and get the score
-of no evidence. Repeated rows are scored alike; only doc_id and text are read. Fitting takes at most SAMPLE rows of
-each label, a documented bound, and like scoring all windows of their whole texts, which the driver holds.
+Two zstandard dictionaries are trained with the library's trainer, one on toxic and one on ordinary text, and every
+window of a text is compressed with each. Where the toxic dictionary gives the shorter output, the window is nearer to
+toxic text. How many windows do, and by how many bytes, becomes a probability on labelled rows that no dictionary was
+trained on.
+
+Both dictionaries end in the same large part, trained on ordinary windows, so that they differ by what comes before it
+only. A toxic text is mostly ordinary: its toxic windows are found by the same distance. The search starts from each
+text's windows that are farthest from the common part. In each of ROUNDS a toxic part is trained on half of the texts and an ordinary part on ordinary windows, and the windows of the other half are
+compared; a text's windows that did best over the rounds that had not seen them are its next samples. The ordinary
+part's next samples are the ordinary windows that came nearest to toxic text, so that the chance matches of the
+toxic part are in it too. One such part seldom has room for all: texts that are not told by it are mined again for
+the next one, up to PARTS. The windows that all parts find are the start of a last search, MEMBERS times over.
+
+Letters A-Z are lower-cased and ASCII signs and white space become spaces. Windows overlap. Null and empty texts have
+no window with anything in it and get the score of no evidence. Texts with equal windows, repeated rows among them, get
+equal scores; a score at the threshold counts as toxic. Only doc_id and text are read. Fitting takes at most SAMPLE rows
+of each label, a documented bound, and like scoring all windows of their whole texts, which the driver holds; which
+windows a dictionary is trained on, of those, follows from a fixed seed.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,18 +35,30 @@ from pyspark.sql.types import DoubleType, StructType
 from .words import slices, texts
 
 #: Training rows of each label, at most.
-SAMPLE = 2_500
-WINDOW, STEP = 64, 50
-SHORTEST, LONGEST = 5, 13
-#: A beginning in so many toxic texts can be telling, however many toxic texts there are.
-LEAST = 4
-#: Ordinary text in both dictionaries, and the windows added in each round, in bytes and in number.
-SHARED, HARD, ROUNDS = 3_000, 80, 2
-HEAD = bytes([1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17])
+SAMPLE = 1_000
+WINDOW, STEP = 40, 24
+#: Bytes of the common part and of each part of the two dictionaries' own; parts and rounds of mining for one, at most.
+COMMON, OWN, WHOLE, PARTS, ROUNDS = 65_536, 1_024, 2_560, 4, 8
+#: Pairs of dictionaries, mined with other halves each; what they save is averaged.
+MEMBERS = 2
+#: Sizes of the part while it is mined; the trainer's segment and match sizes.
+MINED, SEGMENT, MATCH = (4_096, 2_048, 1_024), 10, 8
+#: Samples taken from a toxic text, hard windows, ordinary windows for the common part; texts kept for calibration: one in so many.
+BEST, HARD, PLAIN, APART = 4, 3_000, 40_000, 4
+#: A text with two windows that save so many bytes is told.
+TOLD = 5
+#: The part of a text's windows that the search starts from.
+FAR = 0.1
+#: Bytes of tables that the trainer puts before a dictionary's content, about.
+HEADER, PASSES = 200, 4
+SEED = 1
 SCORE = "__toxicity_score"
 
 FOLD = np.full(256, 32, np.uint8)
 FOLD[48:58], FOLD[97:123], FOLD[65:91], FOLD[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
+SETTINGS = zstandard.ZstdCompressionParameters(
+    window_log=17, hash_log=16, chain_log=16, search_log=6, min_match=6, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False
+)
 
 
 def fold(text: str) -> bytes:
@@ -51,64 +66,49 @@ def fold(text: str) -> bytes:
 
 
 def windows(data: bytes) -> list[bytes]:
-    return [HEAD + data[i : i + WINDOW] for i in range(0, max(1, len(data) - (WINDOW - STEP)), STEP)]
-
-
-def _beginnings(data: bytes) -> set[bytes]:
-    out = set()
-    for word in set(data.split()):
-        word = b" " + word + b" "
-        out.update(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
-    return out
-
-
-def _toxic_parts(toxic: list[bytes], ordinary: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """Word beginnings of toxic text alone, and the parts of them that ordinary text has."""
-    own: Counter = Counter()
-    for text in toxic:
-        own.update(_beginnings(text))
-    likely = {g for g, c in own.items() if c >= LEAST}
-    other: Counter = Counter()
-    for text in ordinary:
-        other.update(_beginnings(text) & likely)
-    telling = {g for g in likely if own[g] / len(toxic) > 50 * (other[g] + 0.1) / max(1, len(ordinary))}
-    parts = []
-    for g in sorted(telling, key=lambda x: (len(x), x)):
-        if any(g[:k] in telling for k in range(SHORTEST, len(g))):
-            continue
-        while longer := [x for x in telling if len(x) == len(g) + 1 and x[:-1] == g and own[x] >= 0.9 * own[g]]:
-            g = longer[0]
-        parts.append(g)
-    joined, shared = b"\n".join(ordinary), []
-    for g in parts:
-        inner = {g[i:j] for i in range(len(g)) for j in range(i + SHORTEST, len(g) + 1)} - {g}
-        for x in sorted(inner, key=lambda x: (-len(x), x)):
-            if not any(x in y for y in shared) and joined.count(x) >= 3:
-                shared.append(x)
-    return parts, shared
+    return [data[i : i + WINDOW] for i in range(0, max(1, len(data) - (WINDOW - STEP)), STEP)]
+
+
+def dictionary(size: int, samples: list[bytes], segment: int = SEGMENT, first: list[bytes] = ()) -> bytes:
+    """Content of a dictionary trained on the samples; nothing but zeros if there are too few to train on.
+
+    The trainer goes over the samples PASSES times, takes the best segment of each stretch of them each time, fills the
+    dictionary from its end, and then cuts as much off the end as its tables of HEADER bytes or so take at the front. So
+    the end has the best segments, which are kept here, and `first` are samples whose segments are the ones cut off.
+    """
+    share, lead, total = min(0.8, 4 * HEADER / (PASSES * size)), [], sum(map(len, samples))
+    for w in first:
+        if WINDOW * len(lead) > share / (1 - share) * total:
+            break
+        lead.append(w)
+    try:
+        out = zstandard.train_dictionary(PASSES * size, lead + samples, k=segment, d=MATCH).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        out = b""
+    return out[-size:].rjust(size, b"\0")
 
 
 @dataclass
 class Model:
-    shared: bytes
-    toxic: bytes
+    pairs: list[tuple[bytes, bytes]]  # toxic and ordinary parts
+    common: bytes
     weights: np.ndarray
 
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-        settings = zstandard.ZstdCompressionParameters(
-            window_log=max(15, (len(self.shared) + len(self.toxic) + 256).bit_length()), hash_log=14, chain_log=14, search_log=5, min_match=SHORTEST, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
-        )
+    def compressors(self) -> list[tuple]:
         out = []
-        for own in (bytes(len(self.toxic)), self.toxic):
-            known = zstandard.ZstdCompressionDict(self.shared + b"\0" + own + b"\0" + HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            known.precompute_compress(compression_params=settings)
-            out.append(zstandard.ZstdCompressor(dict_data=known, compression_params=settings))
-        return tuple(out)
-
-    def evidence(self, pieces: list[bytes], both) -> np.ndarray:
-        """Bytes that the toxic dictionary saves, for each window."""
-        ordinary, toxic = (c.compress for c in both)
-        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in pieces), np.int64, len(pieces))
+        for pair in self.pairs:
+            known = [zstandard.ZstdCompressionDict(own + self.common, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for own in pair]
+            for x in known:
+                x.precompute_compress(compression_params=SETTINGS)
+            out.append(tuple(zstandard.ZstdCompressor(dict_data=x, compression_params=SETTINGS).compress for x in known))
+        return out
+
+    def evidence(self, pieces: list[bytes], compressors) -> np.ndarray:
+        """Bytes that the toxic dictionary saves, for each window; the mean over the pairs of dictionaries."""
+        out = np.zeros(len(pieces))
+        for toxic, ordinary in compressors:
+            out += np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in pieces), np.int64, len(pieces))
+        return out / len(compressors)
 
     def features(self, data: bytes, both) -> np.ndarray:
         return summary(self.evidence(windows(data), both))
@@ -119,48 +119,127 @@ class Model:
 
 def summary(saved: np.ndarray) -> np.ndarray:
     n = len(saved)
-    most = np.sort(saved)[::-1]
-    second = most[1] if n > 1 else 0
-    counts = [(saved >= k).sum() for k in (2, 3, 4)]
-    return np.array([1, *(float(most[0] >= k) for k in (1, 2, 3, 4, 5)), float(second >= 2), float(second >= 3), *(min(c, 8) / 4 for c in counts), *(min(10 * c / n, 3) for c in counts), np.log(n) / 5, min(max(most[0], 0), 12) / 4])
+    most = np.zeros(3)
+    most[: min(n, 3)] = np.sort(saved)[::-1][:3]
+    counts = np.array([(saved >= k).sum() for k in (2, 3, 4, 5, 6, 8)])
+    return np.array([1, *np.clip(most, 0, 12) / 4, *np.minimum(counts, 6) / 3, *np.minimum(20 * counts[[0, 2, 4]] / n, 3), np.log(n) / 3])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2e-3) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    w, sizes, ridge = np.zeros(x.shape[1]), sizes / sizes.sum(), 1 / len(y)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w)), x.T @ (y - p) / len(y) - ridge * w)
+        step = np.linalg.solve((x * (sizes * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (sizes * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    toxic_texts, ordinary_texts = [fold(t) for t in toxic], [fold(t) for t in ordinary]
-    if not toxic_texts or not ordinary_texts:
+class _Mine:
+    """The windows of the training texts, and the search for toxic ones."""
+
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
+        self.random = random.Random(SEED)
+        self.toxic = [list(dict.fromkeys(windows(t))) for t in toxic]
+        self.plain = list(dict.fromkeys(w for t in ordinary for w in windows(t)))
+        self.random.shuffle(self.plain)
+        self.common = dictionary(COMMON, self.plain[:PLAIN])
+        self.first = self.plain[::-1]
+        # each text's windows farthest from ordinary text
+        ordinary = Model([(b"", b"")], self.common, np.zeros(0)).compressors()[0][1]
+        self.far = []
+        for own in self.toxic:
+            sizes = np.fromiter((len(ordinary(w)) - len(w) for w in own), np.int64, len(own))
+            self.far.append([own[i] for i in np.argsort(-sizes, kind="stable")[: max(BEST, int(len(own) * FAR))]])
+
+    def model(self, toxic: bytes, ordinary: bytes) -> tuple[Model, tuple]:
+        out = Model([(toxic, ordinary)], self.common, np.zeros(0))
+        return out, out.compressors()
+
+    def hard(self, size: int, near: np.ndarray, segment: int = SEGMENT) -> bytes:
+        return dictionary(size, [self.plain[i] for i in np.argsort(-near, kind="stable")[:HARD]], segment, self.first)
+
+    def samples(self, rows: list[int], first: Model | None = None) -> tuple[list[bytes], np.ndarray]:
+        """The likely toxic windows of these texts, and how near each ordinary window came to toxic text. `first`, if
+        given, is where the search starts."""
+        saved, seen = {i: np.zeros(len(self.toxic[i])) for i in rows}, dict.fromkeys(rows, 0.0)
+        near, sizes = np.zeros(len(self.plain)), MINED
+        if first:
+            both, sizes = first.compressors(), (WHOLE,)
+            saved, seen = {i: first.evidence(self.toxic[i], both).astype(float) for i in rows}, dict.fromkeys(rows, 1.0)
+            near = first.evidence(self.plain, both).astype(float)
+
+        def best(own: list[int]) -> list[bytes]:
+            out = []
+            for i in own:
+                s = saved[i] / max(1.0, seen[i])
+                out += [self.toxic[i][j] for j in np.argsort(-s, kind="stable")[:BEST] if s[j] >= 1]
+            return out
+
+        ordinary = self.hard(WHOLE, near) if first else dictionary(sizes[0], self.plain[PLAIN : PLAIN + HARD] or self.plain[:HARD])
+        for turn in range(ROUNDS):
+            size, after = (sizes[min(t, len(sizes) - 1)] for t in (turn, turn + 1))
+            half = sorted(self.random.sample(rows, len(rows) // 2))
+            toxic = dictionary(size, best(half) if turn or first else [w for i in half for w in self.far[i]], first=self.first)
+            model, both = self.model(toxic, ordinary)
+            for i in set(rows) - set(half):
+                saved[i] = saved[i] * 0.7 + model.evidence(self.toxic[i], both)
+                seen[i] = seen[i] * 0.7 + 1
+            near = near * 0.5 + model.evidence(self.plain, both)
+            ordinary = self.hard(after, near)
+        return best(rows), near
+
+    def trained(self) -> Model:
+        toxic = ordinary = b""
+        left, near = list(range(len(self.toxic))), np.zeros(len(self.plain))
+        for _ in range(PARTS):
+            samples, own_near = self.samples(left)
+            near = near + own_near
+            toxic += dictionary(OWN, samples, 14, self.first)
+            ordinary += self.hard(OWN, near, 14)
+            model, both = self.model(toxic, ordinary)
+            near = near * 0.5 + model.evidence(self.plain, both)
+            ordinary = ordinary[:-OWN] + self.hard(OWN, near, 14)
+            model, both = self.model(toxic, ordinary)
+            left = [i for i in left if (model.evidence(self.toxic[i], both) >= TOLD).sum() < 2]
+            if len(left) < 20:
+                break
+        pairs = []
+        for _ in range(MEMBERS):
+            samples, near = self.samples(list(range(len(self.toxic))), model)
+            toxic, ordinary = dictionary(WHOLE, samples, 14, self.first), self.hard(WHOLE, near, 14)
+            for _ in range(3):
+                own, both = self.model(toxic, ordinary)
+                near = near * 0.5 + own.evidence(self.plain, both)
+                ordinary = self.hard(WHOLE, near, 14)
+            pairs.append((toxic, ordinary))
+        return Model(pairs, self.common, np.zeros(0))
+
+
+def train(toxic: list[str], ordinary: list[str], share: float | None = None, threshold: float = 0.7) -> Model:
+    """share: the part of toxic rows among all labelled ones, if the sample's is another. threshold: the score from
+    which on a text counts as toxic."""
+    rows = [[fold(t) for t in x] for x in (toxic, ordinary)]
+    if not toxic or not ordinary:
         weights = np.zeros(len(summary(np.zeros(1, np.int64))))
-        weights[0] = -5.0 if not toxic_texts else 5.0
-        return Model(b" ", b"\0", weights)
-    # half of the sample makes the dictionaries, all of it the weights: what was seen would look better than it is
-    half = lambda rows: rows[: max(1, 2 * len(rows) // 3)]
-    parts, common = _toxic_parts(half(toxic_texts), half(ordinary_texts))
-    own = b"\0".join(parts) + b"\0"
-    shared = b" ".join(t[:200] for t in ordinary_texts[:60])[:SHARED] + b"\0" + b"\0".join(common)
-    model = Model(shared, own, np.zeros(0))
-    for _ in range(ROUNDS):
-        both, hard = model.compressors(), {}
-        for text in half(ordinary_texts):
-            pieces = windows(text)
-            for piece, saved in zip(pieces, model.evidence(pieces, both).tolist(), strict=True):
-                if saved >= 1:
-                    hard[piece[len(HEAD) :]] = saved
-        worst = sorted(hard, key=lambda x: (-hard[x], x))[:HARD]
-        model.shared = b"\0".join([*worst, model.shared])
+        weights[0] = -5.0 if not toxic else 5.0
+        return Model([(b"\0", b"\0")], b" ", weights)
+    apart = [[t for i, t in enumerate(x) if i % APART == 0] for x in rows]
+    model = _Mine(*[[t for i, t in enumerate(x) if i % APART] or x for x in rows]).trained()
     both = model.compressors()
-    x = np.array([model.features(t, both) for t in toxic_texts + ordinary_texts])
-    y = np.array([1.0] * len(toxic_texts) + [0.0] * len(ordinary_texts))
-    model.weights = _logistic(x, y)
+    x = np.array([model.features(t, both) for side in apart for t in side])
+    y = np.array([1.0] * len(apart[0]) + [0.0] * len(apart[1]))
+    share = len(toxic) / (len(toxic) + len(ordinary)) if share is None else share
+    sizes = np.where(y == 1, share / len(apart[0]), (1 - share) / len(apart[1]))
+    model.weights = _logistic(x, y, sizes)
+    # the cut that does best on the texts kept apart gets the wanted score; a wrong alarm counts for two misses
+    order = np.argsort(-(x @ model.weights), kind="stable")
+    hit, all_ = np.cumsum((sizes * y)[order]), np.cumsum(sizes[order])
+    best = int(np.argmax(hit / (all_ + 0.5 * share)))
+    z = (x @ model.weights)[order]
+    cut = (z[best] + z[min(best + 1, len(z) - 1)]) / 2
+    model.weights[0] += np.log(threshold / (1 - threshold)) - cut
     return model
 
 

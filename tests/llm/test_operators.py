@@ -85,10 +85,18 @@ def test_toxicity_is_fitted_on_whole_texts(spark):
     assert all((r[toxicity.SCORE] >= 0.7) == (r["doc_id"] % 2 == 1) for r in out)
 
 
-def test_rare_toxic_words_are_known():
-    plain = [toxicity.fold(f"quiet day number {i}") for i in range(600)]
-    toxic = [toxicity.fold(f"quiet {'grumblewort' if i < 8 else 'idiot'} number {i}") for i in range(600)]
-    assert any(x.startswith(b" grumb") for x in toxicity._toxic_parts(toxic, plain)[0])
+def test_toxic_dictionaries_are_trained_and_told_apart():
+    rng = random.Random(7)
+    plain = lambda n: " ".join(f"{rng.choice('bcdfgh')}a{rng.choice('lmnprst')}e{rng.choice('kvz')}o" for _ in range(n))
+    insults = ["you grumblewort", "what a snivelcrank", "such flabberscum"]
+    toxic = [" ".join(f"{plain(30)} {rng.choice(insults)}" for _ in range(3)) + " " + plain(20) for _ in range(150)]
+    ordinary = [plain(rng.choice([5, 100, 150])) for _ in range(300)]
+    model = toxicity.train(toxic[:100], ordinary[:200])
+    own = b"".join(x for x, _ in model.pairs)
+    assert all(w in own for w in (b"grumblewort", b"snivelcrank", b"flabberscum")) and b"grumblewort" not in model.common
+    both = model.compressors()
+    caught = [model.probability(model.features(toxicity.fold(t), both)) >= 0.7 for t in toxic[100:] + ordinary[200:]]
+    assert sum(caught[:50]) >= 45 and sum(caught[50:]) <= 5
 
 
 def test_classifiers_take_odd_texts(spark):
