@@ -4,20 +4,22 @@ A file holds documents in ascending id order: the ids of all documents, one afte
 the vocabulary needs them), then the document ids, then the boundaries (number of token ids before each document) in
 Elias-Fano form. For n boundaries up to u, the low floor(log2(u / n)) bits of each are stored as they are, and the
 high parts in unary; every 64th one of the unary bits is sampled, so select(i) reads one short run of bits.
-That is about 2 + log2(u / n) bits a document, where a plain table takes 64.
+That is about 2 + log2(u / n) bits a document, where a plain table takes 64. Readers get offsets by select alone: one at
+a time, or those of documents next to each other from the sample before the first to the sample after the last.
 
 Layout (little-endian): magic, token ids, document ids (int64), low bits, high bits, select samples (int64), trailer
-of eight int64 (documents, tokens, id width, low bits, sizes of the four later sections), magic.
+of nine int64 (documents, of which without id, tokens, id width, low bits, sizes of the four later sections), magic.
 
-Tasks write under a name of their own and rename, so a task that runs again leaves the same file. A null text is
-empty; a null doc_id comes first, as Spark sorts; equal doc_ids keep the order of their texts' hashes.
-Repeated rows are written as often as they come. The end id follows each document, so no document is empty.
+A task starts a new file when one has FILE_BYTES of ids or FILE_DOCS documents, so what a writer or a reader holds is
+bounded, and many readers share a large table. Tasks write under a name of their own and rename, so a task that runs
+again leaves the same files. A null text is empty; a null doc_id comes first, as Spark sorts; equal doc_ids keep the
+order of their texts' hashes. Repeated rows are written as often as they come. The end id follows each document, so no
+document is empty.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,12 +34,18 @@ from pyspark.sql import functions as F
 from .common import partitions, shared_folder
 from .words import slices
 
-MAGIC = b"EFIDS001"
+MAGIC = b"EFIDS002"
 SAMPLE = 64
 #: Words remembered by a worker; beyond it the memory starts anew.
 REMEMBERED = 400_000
 #: Ids read at once.
 BLOCK = 1 << 20
+#: Documents whose offsets are read at once.
+RUN = 1 << 12
+#: Bytes of token ids and documents from which on a file is full.
+FILE_BYTES, FILE_DOCS = 64 << 20, 1 << 20
+#: Letters of a text that are encoded at once, about.
+CHUNK = 1 << 19
 
 
 class EliasFano:
@@ -51,7 +59,10 @@ class EliasFano:
         values, n = values.astype(np.int64), len(values)
         u = int(values[-1]) + 1 if n else 1
         bits = max(0, (u // max(n, 1)).bit_length() - 1)
-        low = np.packbits((values[:, None] >> np.arange(bits) & 1).astype(np.uint8).ravel(), bitorder="little")
+        parts = np.empty(n * bits, np.uint8)
+        for j in range(bits):
+            parts[j::bits] = values >> j & 1
+        low = np.packbits(parts, bitorder="little")
         ones = (values >> bits) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         unary[ones] = 1
@@ -78,10 +89,19 @@ class EliasFano:
             value |= (int(self.low[(first + j) >> 3]) >> ((first + j) & 7) & 1) << j
         return (place - i) << self.bits | value
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, count=self.n * self.bits, bitorder="little").reshape(self.n, self.bits).astype(np.int64)
-        return (ones - np.arange(self.n)) << self.bits | (low << np.arange(self.bits)).sum(axis=1)
+    def range(self, first: int, last: int) -> np.ndarray:
+        """The values from the first-th up to the one before the last-th: selects that share their run of bits."""
+        if first >= last:
+            return np.zeros(0, np.int64)
+        sample, after = first // SAMPLE, (last - 1) // SAMPLE + 1
+        at = int(self.samples[sample]) >> 3
+        stop = (int(self.samples[after]) >> 3) + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at:stop], bitorder="little")) + at * 8
+        ones = ones[np.searchsorted(ones, int(self.samples[sample])) :][first - sample * SAMPLE : last - sample * SAMPLE]
+        begin, end = first * self.bits, last * self.bits
+        bits = np.unpackbits(self.low[begin >> 3 : (end + 7) >> 3], bitorder="little")[begin & 7 :][: end - begin]
+        low = (bits.reshape(last - first, self.bits).astype(np.int64) << np.arange(self.bits)).sum(axis=1)
+        return (ones - np.arange(first, last)) << self.bits | low
 
 
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -94,27 +114,35 @@ class Writer:
         self.kind = "<u4" if wide else "<u2"
         self.ids: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
+        self.docs = self.bytes = self.nameless = 0
         self.temporary = f"{self.path}.{uuid.uuid4().hex}"
         self.out = self.store.open_output_stream(self.temporary)
         self.out.write(MAGIC)
 
-    def write(self, doc_ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> None:
-        self.ids.append(doc_ids.astype("<i8"))
+    def write(self, doc_ids: pa.Array, sizes: np.ndarray, tokens: np.ndarray) -> None:
+        """Documents in ascending order, those without an id first."""
+        self.ids.append(np.array(doc_ids.fill_null(0), "<i8"))
+        self.nameless += doc_ids.null_count
         self.sizes.append(sizes.astype(np.int64))
-        self.out.write(tokens.astype(self.kind).tobytes())
+        data = tokens.astype(self.kind).tobytes()
+        self.docs, self.bytes = self.docs + len(sizes), self.bytes + len(data)
+        self.out.write(data)
+
+    @property
+    def full(self) -> bool:
+        return self.bytes >= FILE_BYTES or self.docs >= FILE_DOCS
 
     def close(self) -> tuple[int, int]:
-        ids = np.concatenate(self.ids) if self.ids else np.zeros(0, "<i8")
-        ends = np.cumsum(np.concatenate(self.sizes)) if self.sizes else np.zeros(0, np.int64)
-        total = int(ends[-1]) if len(ends) else 0
+        ends = np.cumsum(np.concatenate(self.sizes))
+        total = int(ends[-1])
         code = EliasFano.of(np.concatenate([[0], ends])[: len(ends)])
-        parts = [ids.tobytes(), code.low.tobytes(), code.high.tobytes(), code.samples.astype("<i8").tobytes()]
+        parts = [np.concatenate(self.ids).tobytes(), code.low.tobytes(), code.high.tobytes(), code.samples.astype("<i8").tobytes()]
         for part in parts:
             self.out.write(part)
-        self.out.write(np.array([len(ids), total, int(self.kind[-1]), code.bits, *map(len, parts)], "<i8").tobytes() + MAGIC)
+        self.out.write(np.array([self.docs, self.nameless, total, int(self.kind[-1]), code.bits, *map(len, parts)], "<i8").tobytes() + MAGIC)
         self.out.close()
         self.store.move(self.temporary, self.path)
-        return len(ids), total
+        return self.docs, total
 
 
 class Reader:
@@ -122,16 +150,21 @@ class Reader:
         store, path = open_store(uri)
         self.file = store.open_input_file(path)
         size = self.file.size()
-        self.file.seek(size - 72)
-        tail = self.file.read(72)
-        if tail[64:] != MAGIC:
+        self.file.seek(size - 80)
+        tail = self.file.read(80)
+        if tail[72:] != MAGIC:
             raise ValueError(f"{uri} is no token file")
-        self.n, self.total, self.width, bits, *sizes = np.frombuffer(tail, "<i8", 8).tolist()
-        self.file.seek(size - 72 - sum(sizes))
+        self.n, self.nameless, self.total, self.width, bits, *sizes = np.frombuffer(tail, "<i8", 9).tolist()
+        self.file.seek(size - 80 - sum(sizes))
         parts = [self.file.read(x) for x in sizes]
         self.doc_ids = np.frombuffer(parts[0], "<i8")
         self.bounds = EliasFano(self.n, bits, np.frombuffer(parts[1], np.uint8), np.frombuffer(parts[2], np.uint8), np.frombuffer(parts[3], "<i8"))
 
+    def offsets(self, first: int, last: int) -> np.ndarray:
+        """Where the documents from first to last - 1 begin, and where the last of them ends."""
+        out = self.bounds.range(first, min(last + 1, self.n))
+        return out if last < self.n else np.append(out, self.total)
+
     def tokens(self, start: int, end: int) -> np.ndarray:
         self.file.seek(8 + start * self.width)
         return np.frombuffer(self.file.read((end - start) * self.width), f"<u{self.width}")
@@ -141,71 +174,72 @@ class Reader:
         return self.tokens(self.bounds.select(i), self.bounds.select(i + 1) if i + 1 < self.n else self.total)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else one from 256 on."""
-    printing = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in printing]
-    return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-class WordEncoder(dict):
-    """The library's ids for whole texts, as little-endian unsigned 32-bit integers; a dict of the words seen.
+class WordEncoder:
+    """The library's ids for whole texts, as little-endian unsigned 32-bit integers.
 
     No match of the tokenizer's pattern has white space in it and its normaliser works on each side of a space alone,
-    so a text goes by the pieces between spaces or line feeds. Those of Latin letters, and perhaps one full stop or
-    comma after them, are lower-cased here and go straight to the library's merge model; all others through the whole
-    tokenizer. Short pieces are remembered, in bounded memory.
+    so a text goes by the pieces between spaces or line feeds. All pieces go through the whole tokenizer; those met for
+    the first time, many at once: joined by its special end token, which the library takes out before anything else. Short
+    pieces are remembered, in bounded memory.
     """
 
-    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
     SHORT = 9
+    MARK = "<|endoftext|>"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
-        self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        # what the shortcut takes for granted of this vocabulary
-        probe = ["Der", "straße.", "ÉTÉ,", "abc", "Ünder", "ção", "x,"]
-        self.direct = all(self._direct(*self._plain(w).groups()) == self._whole(w) for w in probe)
-
-    def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _ids(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(word)])
-
-    def _direct(self, word: str, mark: str) -> bytes:
-        word = word.lower()
-        if (ids := self.words.get(word)) is None:
-            ids = self._ids(word)
-            if len(word) < self.SHORT:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids + self._ids(mark) if mark else ids
-
-    def __missing__(self, word: str) -> bytes:
-        found = self._plain(word) if self.direct else None
-        ids = self._direct(*found.groups()) if found else self._whole(word)
-        if len(word) <= self.SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        self.known: dict[str, bytes] = {}
+        self.mark = self.tokenizer.token_to_id(self.MARK)
+        if self._ids(f"a{self.MARK}b")[len(self._ids("a")) :][:1] != [self.mark]:
+            self.mark = None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        together = [w for w in words if "<" not in w] if self.mark is not None else []
+        out = {w: np.array(self._ids(w), "<u4").tobytes() for w in words if self.mark is None or "<" in w}
+        if together:
+            ids = np.array(self._ids(self.MARK.join(together)), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
+            data = ids.tobytes()
+            out |= {w: data[a:b] for w, a, b in zip(together, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)}
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*pieces).difference(self.known)
+        learned = self._learn(sorted(new))
+        short = {w: x for w, x in learned.items() if len(w) <= self.SHORT}
+        if len(self.known) + len(short) > REMEMBERED:
+            old, self.known = self.known, short
+            ids = old | learned
+        else:
+            self.known |= short
+            ids = {w: x for w, x in learned.items() if len(w) > self.SHORT}
+            known = self.known
+            return [b"".join([known[w] if w in known else ids[w] for w in p]) for p in pieces]
+        return [b"".join(map(ids.__getitem__, p)) for p in pieces]
+
+    def whole(self, text: str) -> bytes:
+        """One text of any length, in parts that end at a space."""
+        out, at = [], 0
+        while at < len(text):
+            to = text.find(" ", at + CHUNK)
+            to = len(text) if to < 0 else to
+            out += self.encode([text[at:to]])
+            at = to
+        return b"".join(out)
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        return self.encode(texts) if sum(map(len, texts)) <= 4 * CHUNK else list(map(self.whole, texts))
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, wide: bool = False) -> DataFrame:
-    """Writes one file for each range of doc_id and returns their list: part, uri, n_docs, n_tokens."""
+    """Writes files for each range of doc_id and returns their list: part, file, uri, n_docs, n_tokens."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
     store, path = open_store(folder)
@@ -213,23 +247,30 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
-        out, end = None, np.array([end_id], "<u4").tobytes()
-        uri = f"{folder}/{part:06d}.efids"
-        for batch in slices(batches):
-            codes = [encoder.encode(t or "") + end for t in batch.column("text").to_pylist()]
-            out = out or Writer(uri, wide)
-            ids = np.array(batch.column("doc_id").fill_null(-(2**63)))
-            out.write(ids, np.array([len(c) // 4 for c in codes]), np.frombuffer(b"".join(codes), "<u4"))
-        if out:
+        out, made, end = None, 0, np.array([end_id], "<u4").tobytes()
+
+        def done() -> pa.RecordBatch:
             n, total = out.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "n_docs": [n], "n_tokens": [total]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([made], pa.int32()), "uri": [uri], "n_docs": [n], "n_tokens": [total]})
+
+        for batch in slices(batches):
+            codes = [c + end for c in encoder.batch([t or "" for t in batch.column("text").to_pylist()])]
+            if out is None:
+                uri = f"{folder}/{part:06d}-{made:04d}.efids"
+                out = Writer(uri, wide)
+            out.write(batch.column("doc_id"), np.array([len(c) // 4 for c in codes]), np.frombuffer(b"".join(codes), "<u4"))
+            if out.full:
+                yield done()
+                out, made = None, made + 1
+        if out is not None:
+            yield done()
 
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return (
         ordered.repartitionByRange(partitions(spark), "doc_id", "text_hash")
         .sortWithinPartitions("doc_id", "text_hash")
         .select("doc_id", "text")
-        .mapInArrow(run, "part int, uri string, n_docs bigint, n_tokens bigint")
+        .mapInArrow(run, "part int, file int, uri string, n_docs bigint, n_tokens bigint")
     )
 
 
@@ -240,18 +281,17 @@ def read(spark, files: list[tuple[str, int]]) -> DataFrame:
         for batch in batches:
             for uri, base in zip(batch.column("uri").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 file = Reader(uri)
-                bounds = np.append(file.bounds.all(), file.total)
-                at = 0
-                while at < file.n:
-                    to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK, "right")) - 1)
-                    tokens = file.tokens(int(bounds[at]), int(bounds[to])).astype("<u4")
-                    own = bounds[at : to + 1] - bounds[at]
-                    crcs = [zlib.crc32(tokens[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-                    ids = file.doc_ids[at:to]
-                    yield pa.RecordBatch.from_pydict(
-                        {"doc_id": pa.array(ids, mask=ids == -(2**63)), "start": pa.array(bounds[at:to] + base), "n_tokens": pa.array(np.diff(own)), "ids_crc32": pa.array(crcs, pa.int64())}
-                    )
-                    at = to
+                for first in range(0, file.n, RUN):
+                    last = min(file.n, first + RUN)
+                    bounds, at = file.offsets(first, last), 0
+                    while at < last - first:
+                        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK, "right")) - 1)
+                        tokens = file.tokens(int(bounds[at]), int(bounds[to])).astype("<u4")
+                        own = bounds[at : to + 1] - bounds[at]
+                        crcs = [zlib.crc32(tokens[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+                        ids = pa.array(file.doc_ids[first + at : first + to], mask=np.arange(first + at, first + to) < file.nameless)
+                        yield pa.RecordBatch.from_pydict({"doc_id": ids, "start": pa.array(bounds[at:to] + base), "n_tokens": pa.array(np.diff(own)), "ids_crc32": pa.array(crcs, pa.int64())})
+                        at = to
 
     listed = spark.createDataFrame(files, "uri string, base bigint").repartition(max(1, len(files)))
     return listed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
@@ -260,7 +300,7 @@ def read(spark, files: list[tuple[str, int]]) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Writes all documents and reads the files back. The driver holds one row for each file, no more."""
     files, base = [], 0
-    for row in sorted(write(docs, tokenizer, end_id).collect(), key=lambda r: r.part):
+    for row in sorted(write(docs, tokenizer, end_id).collect(), key=lambda r: (r.part, r.file)):
         files.append((row.uri, base))
         base += row.n_tokens
     return read(docs.sparkSession, files)

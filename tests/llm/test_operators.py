@@ -282,11 +282,35 @@ def test_token_files(spark):
     assert token_files.round_trip(docs.limit(0), WORDS, 2).count() == 0
 
 
+def test_token_files_of_a_whole_table(spark, monkeypatch):
+    """The registered query over all documents, against the library text by text; small files, no shortcuts."""
+    from tokenizers import Tokenizer
+
+    for name, value in (("FILE_DOCS", 7), ("RUN", 3), ("CHUNK", 50), ("REMEMBERED", 100)):
+        monkeypatch.setattr(token_files, name, value)
+    tokenizer, base = Tokenizer.from_file(WORDS), 0
+    got = by_id(queries.op5_token_files(spark, SMALL))
+    for i, text in sorted(rows_of(table(spark, "documents"))):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert got[i] == (i, base, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        base += len(ids)
+
+
+def test_token_files_of_odd_ids(spark):
+    docs = documents(spark, ["one two", None, "three <|endoftext|> a<b", "x"], [None, -(2**63), 2**63 - 1, -(2**63)])
+    got = sorted(map(tuple, token_files.round_trip(docs, WORDS, 2).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, -(2**63), -(2**63), 2**63 - 1]
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(5)
     for values in (np.cumsum(rng.integers(0, 900, 1000)), np.zeros(10, np.int64), np.array([0]), np.array([0, 10**12]), np.cumsum(rng.integers(0, 2, 500))):
         code = token_files.EliasFano.of(values)
-        assert code.all().tolist() == values.tolist() == [code.select(i) for i in range(len(values))]
+        n = len(values)
+        assert code.range(0, n).tolist() == values.tolist() == [code.select(i) for i in range(n)]
+        for a, b in ((0, 0), (0, 1), (n // 3, n // 2), (63, 65), (64, 128), (n - 1, n)):
+            assert code.range(min(a, n), min(b, n)).tolist() == values[a:b].tolist()
     dense = token_files.EliasFano.of(np.cumsum(rng.integers(200, 400, 10_000)))
     assert (len(dense.low) + len(dense.high)) * 8 / 10_000 < 2 + np.log2(400) + 1
 
