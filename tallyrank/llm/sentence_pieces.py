@@ -1,14 +1,14 @@
 """SentencePiece encoding and decoding that keeps byte offsets.
 
-The normaliser of the model is applied here, by longest-prefix matches in its compiled character map, and records
-for each normalised byte the original byte it came from. Every piece is then projected to a span of original bytes.
-The merges themselves are the sentencepiece library's.
-
-With an empty map, normalising only puts a mark of three bytes before the text and for each space, so spans come from
-one table of the original bytes that each piece covers. Other maps are walked prefix by prefix.
+Every text goes through the model's normaliser here: the compiled character map, a double-array trie of prefixes, is
+walked from all characters at once, the longest match at each place the normaliser stops at is replaced, spaces become
+marks, and each normalised byte records the original byte it came from. The merges are the sentencepiece library's; the
+pieces, laid along the normalised bytes, are projected through that record to spans of original bytes. With an empty
+map each byte is its own source, and only the marks are added. An alignment that does not come out at the end of the
+normalised bytes (a piece outside the vocabulary) takes the library's own.
 
 Null and empty texts give only the end id. Repeated rows, repeated ids and further columns need no care: the
-operator works row by row. Very long texts are held once, with 4 bytes a token beside them.
+operator works row by row. Very long texts are held whole, with some 40 bytes a byte beside them.
 """
 
 from __future__ import annotations
@@ -58,32 +58,43 @@ class CharacterMap:
 
     def __init__(self, blob: bytes):
         size = struct.unpack_from("<I", blob)[0] if blob else 0
-        self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
+        self.units = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64) if blob else np.zeros(0, np.int64)
         self.replacements = blob[4 + size :]
 
     def __bool__(self) -> bool:
-        return bool(self.units)
+        return len(self.units) > 0
+
+    def matches(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length of the longest known prefix of raw[start:] for each start, and where its replacement begins."""
+        lengths, found = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+        units = self.units
+        own, at = np.arange(len(starts)), starts
+        node = np.full(len(starts), self._down(units[:1])[0], np.int64)
+        while len(own):
+            byte = raw[at].astype(np.int64)
+            node = node ^ byte
+            inside = node < len(units)
+            unit = units[np.where(inside, node, 0)]
+            inside &= (unit & ((1 << 31) | 0xFF)) == byte
+            own, at, node, unit = own[inside], at[inside] + 1, node[inside], unit[inside]
+            node = node ^ self._down(unit)
+            leaf = np.flatnonzero(unit >> 8 & 1)
+            lengths[own[leaf]], found[own[leaf]] = at[leaf] - starts[own[leaf]], units[node[leaf]] & 0x7FFFFFFF
+            on = at < len(raw)
+            own, at, node = own[on], at[on], node[on]
+        return lengths, found
 
     def longest(self, text: bytes, at: int) -> tuple[int, bytes]:
         """Length and replacement of the longest known prefix of text[at:]; (0, b"") if none."""
-        units, found = self.units, (0, -1)
-        node = 0
-        unit = units[0]
-        node ^= (unit >> 10) << ((unit & (1 << 9)) >> 6)
-        for i in range(at, len(text)):
-            node ^= text[i]
-            if node >= len(units):
-                break
-            unit = units[node]
-            if unit & ((1 << 31) | 0xFF) != text[i]:
-                break
-            node ^= (unit >> 10) << ((unit & (1 << 9)) >> 6)
-            if unit >> 8 & 1:
-                found = i - at + 1, units[node] & 0x7FFFFFFF
-        if found[1] < 0:
-            return 0, b""
-        end = self.replacements.index(b"\0", found[1])
-        return found[0], self.replacements[found[1] : end]
+        lengths, found = self.matches(np.frombuffer(text, np.uint8), np.array([at]))
+        return (int(lengths[0]), self.replacement(int(found[0]))) if lengths[0] else (0, b"")
+
+    @staticmethod
+    def _down(unit: np.ndarray) -> np.ndarray:
+        return (unit >> 10) << ((unit & (1 << 9)) >> 6)
+
+    def replacement(self, at: int) -> bytes:
+        return self.replacements[at : self.replacements.index(b"\0", at)]
 
 
 class Model:
@@ -109,88 +120,77 @@ class Model:
         self.end_id = self.processor.eos_id()
         #: Normalised bytes of each piece; a byte piece stands for one.
         self.sizes = np.array([1 if k == _BYTE else len(p) for p, k in zip(self.pieces, self.kinds, strict=True)], np.int64)
-        #: Original bytes of each piece under an empty map, where a space mark stands for one space.
-        self.covers = np.array([1 if k == _BYTE else len(p) - 2 * p.count(MARK.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)], np.int64)
-        self.plain = not self.map and self.prefix and not self.squeeze and self.escape
         self.decimals = [str(i) for i in range(len(self.pieces))]
 
+    def _replaced(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Bytes after the character map, the original byte of each (that of a replacement is its match's first), and
+        where the text begins after what becomes single spaces."""
+        every = np.arange(len(raw))
+        if not self.map:
+            text = np.flatnonzero(raw != 0x20)
+            return raw, every, int(text[0]) if len(text) else len(raw)
+        starts = np.flatnonzero((raw & 0xC0) != 0x80)
+        lengths, found = self.map.matches(raw, starts)
+        begin = 0
+        for start, n, at in zip(starts.tolist(), lengths.tolist(), found.tolist(), strict=True):
+            if start == begin and (self.map.replacement(at) if n else raw[start : start + 1].tobytes()) == b" ":
+                begin += n or 1
+            elif start >= begin:
+                break
+        values, sources, done = [], [], 0
+        for i in np.flatnonzero(lengths).tolist():
+            at = int(starts[i])
+            if at < done:  # inside the match before
+                continue
+            new = self.map.replacement(int(found[i]))
+            values += [raw[done:at], np.frombuffer(new, np.uint8)]
+            sources += [every[done:at], np.full(len(new), at)]
+            done = at + int(lengths[i])
+        return np.concatenate([*values, raw[done:]]), np.concatenate([*sources, every[done:]]), begin
+
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and the original byte offset of each of them and of the end."""
-        raw, mark = text.encode(), MARK.encode() if self.escape else b" "
-        out, origin, at = bytearray(), [], 0
-        size = lambda b: 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-        steps: list[tuple[int, int, bytes]] = []
-        while at < len(raw):
-            n, new = self.map.longest(raw, at) if self.map else (0, b"")
-            if not n:
-                n = size(raw[at])
-                new = raw[at : at + n]
-            steps.append((at, n, new))
-            at += n
-        if self.squeeze:
-            while steps and steps[0][2] in (b" ", b""):
-                steps.pop(0)
-        if not steps:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        value, source, begin = self._replaced(raw)
+        end = len(raw)
+        space = value == 0x20
+        if self.squeeze:  # one of several spaces, and none before the text
+            keep = ~space
+            keep[1:] |= ~space[:-1]
+            inner = np.flatnonzero(~space)
+            keep[: inner[0] if len(inner) else len(keep)] = False
+            value, source, space = value[keep], source[keep], space[keep]
+        if begin == len(raw) if self.squeeze else not len(raw):
             return b"", np.zeros(1, np.int64)
+        mark = np.frombuffer(MARK.encode() if self.escape else b" ", np.uint8)
+        sizes = np.where(space, len(mark), 1)
+        at = np.cumsum(sizes) - sizes
+        out, origin = np.empty(int(sizes.sum()), np.uint8), np.repeat(source, sizes)
+        out[at[~space]] = value[~space]
+        for i, byte in enumerate(mark.tolist()):
+            out[at[space] + i] = byte
         if self.prefix:
-            out += mark
-            origin += [steps[0][0]] * len(mark)
-        spaced = self.squeeze
-        for start, _, new in steps:
-            for byte in new:
-                if byte == 0x20:
-                    if spaced and self.squeeze:
-                        continue
-                    out += mark
-                    origin += [start] * len(mark)
-                else:
-                    out.append(byte)
-                    origin.append(start)
-                spaced = byte == 0x20
-        if self.squeeze:
-            while out.endswith(mark) and len(out) > len(mark) * self.prefix:
-                del out[-len(mark) :], origin[-len(mark) :]
-        # bytes copied from one character keep their own offsets
-        origin.append(steps[-1][0] + steps[-1][1])
-        spread = np.array(origin, np.int64)
-        if not self.map:
-            plain = np.flatnonzero((np.frombuffer(bytes(out), np.uint8) & 0xC0) == 0x80)
-            marks = self._marks(bytes(out), mark)
-            plain = plain[~np.isin(plain, marks)]
-            for i in plain:
-                spread[i] = spread[i - 1] + 1
-        return bytes(out), spread
+            out, origin = np.concatenate([mark, out]), np.concatenate([np.full(len(mark), begin if self.squeeze else 0), origin])
+        size = len(out)
+        if self.squeeze:  # nor marks after it: the first of them is where the text ends
+            while size >= len(mark) and (out[size - len(mark) : size] == mark).all():
+                size -= len(mark)
+                end = int(origin[size])
+        return out[:size].tobytes(), np.append(origin[:size], end)
 
-    @staticmethod
-    def _marks(out: bytes, mark: bytes) -> np.ndarray:
-        at, found = out.find(mark), []
-        while at >= 0:
-            found += range(at, at + len(mark))
-            at = out.find(mark, at + len(mark))
-        return np.array(found, np.int64)
-
-    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pieces_of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the original byte span of each piece."""
         ids = np.array(self.processor.encode(text), np.int64)
         if not len(ids):
             return ids, ids, ids
         normal, origin = self.normalize(text)
         ends = np.cumsum(self.sizes[ids])
-        if ends[-1] != len(normal):  # an unknown piece covers what the library says
+        if ends[-1] != len(normal):
             proto = self.processor.encode(text, return_type="proto")
             return ids, np.array([p.begin for p in proto.pieces], np.int64), np.array([p.end for p in proto.pieces], np.int64)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         return ids, origin[starts], origin[ends]
 
-    def pieces_of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the original byte span of each piece."""
-        if not self.plain or not text or MARK in text:
-            return self._whole(text)
-        ids = np.array(self.processor.encode(text), np.int64)
-        ends = np.cumsum(self.covers[ids]) - 1  # the mark before the text is not in it
-        starts = np.empty_like(ends)
-        starts[0], starts[1:] = 0, ends[:-1]
-        return ids, starts, ends
-
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
 
