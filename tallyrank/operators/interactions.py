@@ -9,21 +9,22 @@ from pyspark.sql.window import Window
 from ..functions.scalars import draw, not_blank, sorted_tags
 from .lineage import cut
 
-# Names under which sources call the four columns.
+# Names under which sources call the four columns, in the order in which they are looked for.
 ALIASES: dict[str, list[str]] = {
-    "user": ["user", "user_id", "userid", "uid", "customer", "custkey", "o_custkey"],
-    "item": ["item", "item_id", "itemid", "movieid", "asin", "artist", "artist_id", "partkey", "l_partkey"],
-    "label": ["label", "rating", "score", "plays", "value", "relevance"],
-    "time": ["time", "timestamp", "ts", "unixreviewtime"],
+    "user": ["user", "userId", "uid", "user_id"],
+    "item": ["item", "itemId", "movieId", "iid", "item_id"],
+    "label": ["label", "rating", "stars", "score"],
+    "time": ["time", "timestamp", "ts", "datetime"],
 }
 
 
-def canonical(df: DataFrame, mapping: dict[str, str] | None = None, keep_extras: bool = False) -> DataFrame:
-    """user, item, label, time by given names or known aliases. A missing time is 0; any other missing column is an error."""
+def canonical(df: DataFrame, mapping: dict[str, str | list[str]] | None = None, keep_extras: bool = False) -> DataFrame:
+    """user, item, label, time by given names (one, or several to choose from) or known aliases. A missing time is 0; any other missing column is an error."""
     there = {c.lower(): c for c in df.columns}
     picked: dict[str, str | None] = {}
     for name, aliases in ALIASES.items():
-        wanted = [mapping[name]] if mapping and name in mapping else aliases
+        wanted = mapping[name] if mapping and name in mapping else aliases
+        wanted = [wanted] if isinstance(wanted, str) else wanted
         picked[name] = next((there[a.lower()] for a in wanted if a.lower() in there), None)
     if missing := [n for n in ("user", "item", "label") if picked[n] is None]:
         raise ValueError(f"no column for {', '.join(missing)} among {df.columns}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import clean_name, draw_int, joined_text, not_blank, sorted_tags
+from ..functions.scalars import clean_name, draw, draw_int, joined_text, not_blank, sorted_tags
 from ..operators import bm25, history, interactions, splits
 
 
@@ -36,7 +36,7 @@ def category_users(items: DataFrame, max_items: int = 200_000, label: float = 0.
 
 
 def artist_plays(plays: DataFrame, profiles: DataFrame | None = None, ascending: bool = True) -> DataFrame:
-    rows = interactions.activity_between(interactions.canonical(plays))
+    rows = interactions.activity_between(interactions.canonical(plays, {"label": "plays"}))
     out = interactions.pseudo_time(rows, ascending)
     return out if profiles is None else out.join(profiles, "user", "left")
 
@@ -95,6 +95,16 @@ def hybrid(df: DataFrame, items: DataFrame, share: float = 0.6, last: int = 40,
     return history.next_item_pairs(train, seed=seed), history.candidate_rows(queries, splits.negatives(df, items, sampled, seed))
 
 
+def artist_hybrid(plays: DataFrame, artists: DataFrame, tagged: DataFrame, tags: DataFrame, share: float = 0.6, last: int = 40, sampled: int = 200, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The hybrid of plays (user, item, label, time), and catalogue rows: every artist's name and its tags as a
+    document, which the scorers index besides what was played."""
+    items = interactions.encoded(interactions.universe(plays, artists.select(F.col("id").cast("string").alias("item"))), "item", "code")
+    pairs, candidates = hybrid(plays, items, share, last, sampled, seed)
+    named = tagged.join(tags, "tagID").groupBy(F.col("artistID").cast("string").alias("item")).agg(F.array_join(F.array_sort(F.collect_set("tagValue")), " ").alias("t"))
+    catalogue = artists.select(F.col("id").cast("string").alias("item"), "name").join(named, "item", "left").select("item", joined_text("name", "t").alias("text"))
+    return pairs, candidates, catalogue
+
+
 def three_parts(df: DataFrame, least: int = 5, truth: int = 20) -> DataFrame:
     """60 / 20 / 20 of each user's rows by time as train, query and truth; the truth capped."""
     rows = splits.by_ratio(interactions.min_count(df, "user", least), ("train", 0.6), ("query", 0.2), ("truth", 0.2))
@@ -111,28 +121,42 @@ def sampled_search(pairs: DataFrame, docs: DataFrame, positives: int = 50, negat
 
 
 # --- retrieval as user ----------------------------------------------------------------------------------------------
-def retrieval_by_tag(docs: DataFrame, tags: DataFrame, k: int = 100, per_doc: int = 30, dense_label: bool = False) -> DataFrame:
+def limited(asked: DataFrame, limit: int | None, seed: int = 42) -> DataFrame:
+    """At most so many of the queries, by a seeded draw of their names: a draw, not the first of the table."""
+    if limit is None:
+        return asked
+    return asked.orderBy(draw(seed, "query"), "query").limit(limit)
+
+
+def retrieval_by_tag(docs: DataFrame, tags: DataFrame, k: int = 100, per_doc: int = 30, dense_label: bool = False, query_limit: int | None = None, max_docs: int | None = None, seed: int = 42) -> DataFrame:
     """Documents (item, text) get their heaviest tags as text; each tag is a query; hits become the tag's interactions."""
     best = interactions.top_per(tags, "item", per_doc, F.desc("weight"), "tag").groupBy("item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "tag"))), lambda s: s["tag"]), " ").alias("t"))
+    docs = docs if max_docs is None else docs.orderBy("item").limit(max_docs)
     enriched = docs.join(best, "item", "left").select(F.col("item").alias("doc_id"), F.concat_ws(" ", "text", "t").alias("text"))
-    asked = tags.select(F.col("tag").alias("query")).distinct()
+    asked = limited(tags.select(F.col("tag").alias("query")).distinct(), query_limit, seed)
     return bm25.retrieval_as_user(bm25.scores(bm25.build(enriched), asked, "query", "query"), k, "query", dense_label)
 
 
-def retrieval_by_profile(df: DataFrame, docs: DataFrame, k: int = 100, items: int = 50, dense_label: bool = False) -> DataFrame:
+def retrieval_by_profile(df: DataFrame, docs: DataFrame, k: int = 100, items: int = 50, dense_label: bool = False, query_limit: int | None = None, seed: int = 42) -> DataFrame:
     """Each user's last items' texts are the query."""
-    profiles = history.profile_text(df, docs, items).select(F.col("user").alias("query"), "search_query")
+    profiles = limited(history.profile_text(df, docs, items).select(F.col("user").alias("query"), "search_query"), query_limit, seed)
     index = bm25.build(docs.select(F.col("item").alias("doc_id"), "text"))
     return bm25.retrieval_as_user(bm25.scores(index, profiles, "query", "search_query"), k, "query", dense_label)
 
 
-def retrieval_by_category(docs: DataFrame, categories: DataFrame, k: int = 100, least: int = 10, dense_label: bool = False) -> DataFrame:
+def retrieval_by_category(docs: DataFrame, categories: DataFrame, k: int = 100, least: int = 10, dense_label: bool = False, query_limit: int | None = None, seed: int = 42) -> DataFrame:
     """Categories with enough documents are the queries. `docs` has item and text, `categories` item and category."""
-    asked = interactions.min_count(categories, "category", least, distinct="item").select(F.col("category").alias("query")).distinct()
+    asked = limited(interactions.min_count(categories, "category", least, distinct="item").select(F.col("category").alias("query")).distinct(), query_limit, seed)
     index = bm25.build(docs.select(F.col("item").alias("doc_id"), "text"))
     return bm25.retrieval_as_user(bm25.scores(index, asked, "query", "query"), k, "query", dense_label)
 
 
+def retrieval_by_relative_tag(docs: DataFrame, weights: DataFrame, least: float = 0.8, k: int = 100, per_doc: int = 30, min_items: int = 1, query_limit: int | None = None, seed: int = 42) -> DataFrame:
+    """Tag weights relative to each item's greatest, those of `least` or more, tags of enough items; then as by tag."""
+    rows = interactions.relative_weight(weights, "item", "weight").where(F.col("relevance") >= least).select("item", "tag", F.col("relevance").alias("weight"))
+    return retrieval_by_tag(docs, interactions.min_count(rows, "tag", min_items), k, per_doc, query_limit=query_limit, seed=seed)
+
+
 def tags_of(items: DataFrame, column: str = "category") -> DataFrame:
     """item, tag, weight 1 from a list of tags."""
     return items.select("item", F.explode(sorted_tags(column)).alias("tag")).withColumn("weight", F.lit(1.0))

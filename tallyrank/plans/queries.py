@@ -183,9 +183,12 @@ def half_split_query_truth(spark, d):
 
 
 N, SEED = 20, 42
-NEGATIVES = f"""codes AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS code, count(*) OVER () AS m FROM part),
-drawn AS (SELECT u."user", {draw_int(SEED, 'u."user"', 't.turn')} % (SELECT max(m) FROM codes) AS code, min(t.turn) AS turn FROM (SELECT DISTINCT "user" FROM i) u, (SELECT unnest(range({3 * N})) AS turn) t GROUP BY 1, 2),
-fresh AS (SELECT d."user", c.item, row_number() OVER (PARTITION BY d."user" ORDER BY turn) AS place FROM drawn d JOIN codes c USING (code) WHERE NOT EXISTS (SELECT 1 FROM i WHERE i."user" = d."user" AND i.item = c.item)),
+# All unseen items of each user: those that the 3 n hashed codes hit in their order, then the rest by hash; the first n.
+UNSEEN = """codes AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS code FROM part),
+unseen AS (SELECT u."user", c.item, c.code FROM (SELECT DISTINCT "user" FROM i) u CROSS JOIN codes c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i."user" = u."user" AND i.item = c.item))"""
+NEGATIVES = f"""{UNSEEN},
+drawn AS (SELECT u."user", {draw_int(SEED, 'u."user"', 't.turn')} % (SELECT count(*) FROM codes) AS code, min(t.turn) AS turn FROM (SELECT DISTINCT "user" FROM i) u, (SELECT unnest(range({3 * N})) AS turn) t GROUP BY 1, 2),
+fresh AS (SELECT u."user", u.item, row_number() OVER (PARTITION BY u."user" ORDER BY coalesce(d.turn, {3 * N}), {draw(SEED, 'u."user"', 'u.item')}, u.item) AS place FROM unseen u LEFT JOIN drawn d ON d."user" = u."user" AND d.code = u.code),
 negatives AS (SELECT * FROM fresh WHERE place <= {N})"""
 
 
@@ -199,6 +202,12 @@ def negatives_per_user(spark, d):
     return _negatives(spark, d, rows_of(spark, d))
 
 
+@query(f"""{W}, {UNSEEN} SELECT "user", count(*) AS n, sum(item)::BIGINT AS items FROM unseen GROUP BY 1""")
+def negatives_all(spark, d):
+    items = interactions.encoded(table(spark, d, "part").select(F.col("p_partkey").alias("item")), "item", "code")
+    return splits.negatives(rows_of(spark, d), items, None, SEED).groupBy("user").agg(F.count("*").alias("n"), F.sum("item").alias("items"))
+
+
 @query(f"""{W}, {HALF}, {NEGATIVES}, n AS (SELECT "user", list(item) AS items FROM negatives GROUP BY 1)
 SELECT "user", array_to_string(query_ids, ',') AS search_query, array_to_string(ground_truth_ids, ',') AS ground_truth_ids, array_to_string(list_sort(list_distinct(list_concat(ground_truth_ids, coalesce(items, [])))), ',') AS candidate_ids
 FROM half LEFT JOIN n USING ("user")""")

@@ -17,7 +17,7 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' parts: label 1 to 5 from the quantity, time from the order's date."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.ceil(F.col("l_quantity") / 10).alias("rating"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", epoch_seconds("o_orderdate").alias("timestamp"))
-    return canonical(lines.join(orders, lines.l_orderkey == orders.o_orderkey))
+    return canonical(lines.join(orders, lines.l_orderkey == orders.o_orderkey), {"user": "o_custkey", "item": "l_partkey"})
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import glob
 import importlib
 import os
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,17 +54,29 @@ def with_profiles(df: DataFrame, spark: SparkSession, path: str) -> DataFrame:
 
 
 def tsv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "ISO-8859-1") -> DataFrame:
-    """With header; rows that do not parse are dropped."""
+    """With header; rows that do not parse are dropped (`malformed` lists them)."""
     reader = spark.read.options(header=True, sep="\t", encoding=encoding, mode="DROPMALFORMED")
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
-    """JSON lines, gzipped or not; lines that do not parse are dropped, a truncated archive gives what it holds."""
-    reader = spark.read.options(mode="DROPMALFORMED", ignoreCorruptFiles="true")
+    """JSON lines, gzipped or not; lines that do not parse are dropped (`malformed` lists them). An archive that cannot
+    be read to its end is an error: `ignoreCorruptFiles` of the session would drop the rest of it without a word."""
+    reader = spark.read.options(mode="DROPMALFORMED")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def malformed(spark: SparkSession, path: str, kind: str = "json", schema: str | None = None, **options) -> DataFrame:
+    """The lines that do not parse, to be counted or looked at."""
+    lines = {"json": spark.read.options(**options).json, "csv": spark.read.options(**options).csv}[kind]
+    known = StructType.fromDDL(schema) if schema else lines(path).schema
+    fields = StructType([f for f in known.fields if f.name != "_corrupt_record"]).add("_corrupt_record", StringType())
+    reader = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **options).schema(fields)
+    # a scan of the marker alone would parse nothing: all fields are asked for
+    rows = (reader.json if kind == "json" else reader.csv)(path)
+    return rows.withColumn("__all", F.struct(*rows.columns)).where("_corrupt_record is not null and __all is not null").select(F.col("_corrupt_record").alias("line"))
+
+
 def flattened(df: DataFrame) -> DataFrame:
     """Struct columns made columns of their own, named parent.child."""
     out = []
@@ -140,34 +154,59 @@ def first_existing(folder: str, names: list[str]) -> str | None:
 
 
 # Where interactions and items are looked for, in this order.
-INTERACTION_FILES = ["interactions.parquet", "interactions.csv", "ratings.parquet", "ratings.csv", "train.parquet", "train.csv"]
-ITEM_FILES = ["items.parquet", "items.csv", "movies.csv", "metadata.jsonl", "metadata.json"]
+INTERACTION_FILES = ["interactions.csv", "interactions.parquet", "ratings.csv", "ratings.parquet", "user_item.csv", "user_item.parquet"]
+ITEM_FILES = ["items.csv", "items.parquet", "products.csv", "products.parquet", "metadata.csv", "metadata.parquet"]
 
-#: Files that a data set must have, by its name; other spellings of the name lead to the same entry.
+# Data sets by folder, the files each must have, and the names it goes by.
 DATASETS: dict[str, list[str]] = {
-    "movies": ["ratings.csv", "movies.csv", "genome-scores.csv", "genome-tags.csv"],
-    "products": ["ratings.csv"],
-    "artists": ["artists.dat", "tags.dat", "user_taggedartists.dat"],
+    "ml-25m": ["ratings.csv", "movies.csv", "genome-scores.csv", "genome-tags.csv", "tags.csv", "links.csv"],
+    "amazonElectronics": ["ratings.csv", "meta_Electronics.json.gz"],
+    "lastfm-dataset-360K": ["usersha1-artmbid-artname-plays.tsv", "usersha1-profile.tsv"],
+    "lastfm-hybrid": ["artists.dat", "tags.dat", "user_taggedartists.dat", "user_artists.dat"],
+}
+DATASET_NAMES: dict[str, list[str]] = {
+    "ml-25m": ["movielens", "movielens25m", "ml25m", "ml-25m"],
+    "amazonElectronics": ["amazon", "amazonelectronics", "amazonElectronics", "amazonEletronics", "amazoneletronics"],
+    "lastfm-dataset-360K": ["lastfm360k", "lastfm-360k", "lastfm_360k", "lastfm-dataset-360K"],
+    "lastfm-hybrid": ["lastfm-hybrid", "lastfm_hetrec", "lastfmhetrec", "hetrec-lastfm"],
 }
-NICKNAMES = {"movielens": "movies", "ml25m": "movies", "amazonelectronics": "products", "amazon": "products", "lastfm": "artists"}
 
 
 def plain_name(name: str) -> str:
     return "".join(c for c in name.lower() if c.isalnum())
 
 
-def dataset_path(name: str, roots: list[str]) -> str:
-    """The folder of a data set: the first root that has all of its files. Nothing is downloaded."""
-    key = NICKNAMES.get(plain_name(name), plain_name(name))
-    if key not in DATASETS:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that Spark knows is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def dataset_path(name: str, roots: list[str], spark: SparkSession | None = None) -> str:
+    """The folder of a data set: the first root that has all of its files, as they are or in a zip archive that is
+    unpacked beside it (local roots only). Nothing is downloaded."""
+    key = next((k for k, names in DATASET_NAMES.items() if plain_name(name) in map(plain_name, [k, *names])), None)
+    if key is None:
         raise KeyError(f"unknown data set {name}")
+    there = (lambda f: exists(spark, f)) if spark else os.path.exists
     for root in roots:
-        for folder in (os.path.join(root, key), os.path.join(root, name), root):
-            if all(os.path.exists(os.path.join(folder, f)) for f in DATASETS[key]):
+        for folder in (f"{root}/{key}", f"{root}/{name}", root):
+            if all(there(f"{folder}/{f}") for f in DATASETS[key]):
                 return folder
+        for archive in sorted(glob.glob(f"{root}/**/{key}.zip", recursive=True)):
+            with zipfile.ZipFile(archive) as z:
+                if found := _inside(z.namelist(), DATASETS[key]):
+                    z.extractall(root)
+                    return os.path.join(root, found) if found != "." else root
     raise FileNotFoundError(f"{name}: {', '.join(DATASETS[key])} in none of {roots}")
 
 
+def _inside(names: list[str], files: list[str]) -> str | None:
+    """The folder of an archive that has all the files."""
+    folders = {os.path.dirname(n) for n in names if not n.startswith("/") and ".." not in n.split("/")}
+    return next((f or "." for f in sorted(folders) if all((f"{f}/{x}" if f else x) in names for x in files)), None)
+
+
 LOADERS: dict[str, Callable[..., DataFrame]] = {}
 
 
