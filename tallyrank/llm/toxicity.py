@@ -40,7 +40,7 @@ WINDOW, STEP = 40, 24
 #: Bytes of the common part and of each part of the two dictionaries' own; parts and rounds of mining for one, at most.
 COMMON, OWN, WHOLE, PARTS, ROUNDS = 65_536, 1_024, 2_560, 4, 8
 #: Pairs of dictionaries, mined with other halves each; what they save is averaged.
-MEMBERS = 2
+MEMBERS = 3
 #: Sizes of the part while it is mined; the trainer's segment and match sizes.
 MINED, SEGMENT, MATCH = (4_096, 2_048, 1_024), 10, 8
 #: Samples taken from a toxic text, hard windows, ordinary windows for the common part; texts kept for calibration: one in so many.
@@ -104,11 +104,14 @@ class Model:
         return out
 
     def evidence(self, pieces: list[bytes], compressors) -> np.ndarray:
-        """Bytes that the toxic dictionary saves, for each window; the mean over the pairs of dictionaries."""
-        out = np.zeros(len(pieces))
-        for toxic, ordinary in compressors:
-            out += np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in pieces), np.int64, len(pieces))
-        return out / len(compressors)
+        """Bytes that the toxic dictionary saves, for each window. Where the first pair of dictionaries saves any, it is
+        the mean over all pairs: they are fitted apart, so that chance matches of one are seldom those of the others."""
+        (toxic, ordinary), *others = compressors
+        out = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in pieces), np.float64, len(pieces))
+        for i in np.flatnonzero(out > 0).tolist() if others else ():
+            w = pieces[i]
+            out[i] = (out[i] + sum(len(ordinary(w)) - len(toxic(w)) for toxic, ordinary in others)) / len(compressors)
+        return out
 
     def features(self, data: bytes, both) -> np.ndarray:
         return summary(self.evidence(windows(data), both))
