@@ -17,8 +17,8 @@ one shard: those passages, each once, are cut anew by the longer grams of the ne
 further, and what is found for the parts is handed back. The last grams are whole windows, of which no two
 differ under one anchor. So shards are bounded and the work grows with the passages, not with pairs of them.
 
-Hashes only choose shards. Passages are told apart by 128 bits of BLAKE2b over their words, and windows in a shard by
-the words themselves. Windows are judged on the input. A null text has no words; a null doc_id counts as larger than
+Hashes only choose shards. Passages of one anchor are told apart by 64 bits of BLAKE2b over their words, and windows in a
+shard by the words themselves. Windows are judged on the input. A null text has no words; a null doc_id counts as larger than
 all others. Rows with one doc_id do not remove from each other; repeated rows are looked at once and each get the
 result. Only doc_id and text are read; `cleaned` keeps all columns.
 """
@@ -72,6 +72,11 @@ def passages(hashes: np.ndarray, first: np.ndarray, gram: int = GRAMS[0]) -> tup
     return text_of[cut], starts[cut], np.diff(np.append(cut, len(starts))), anchors[cut]
 
 
+def contents(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b over each passage's words."""
+    return np.frombuffer(b"".join(word_digests(text, starts, ends, 8)), "<i8")
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     """id, hash, anchor, content, start and size of every passage; start counts the document's words."""
 
@@ -81,24 +86,24 @@ def _scan(docs: DataFrame) -> DataFrame:
             words = tokenize(buf, offsets, SPACED)
             row, start, size, anchor = passages(words.hashes, words.first)
             text, begins, ends = packed(buf, SPACED, words)
-            content = word_digests(text, begins[start], ends[start + size + WINDOW - 2])
+            content = contents(text, begins[start], ends[start + size + WINDOW - 2])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").take(pa.array(row)), batch.column("hash").take(pa.array(row)), pa.array(anchor.view(np.int64)), pa.array(content, pa.binary()),
+                    batch.column("id").take(pa.array(row)), batch.column("hash").take(pa.array(row)), pa.array(anchor.view(np.int64)), pa.array(content),
                     pa.array(start - words.first[row], pa.int32()), pa.array(size, pa.int32()),
                 ],
                 names=["id", "hash", "anchor", "content", "start", "size"],
             )
 
-    return _texts(docs).mapInArrow(run, "id bigint, hash bigint, anchor bigint, content binary, start int, size int")
+    return _texts(docs).mapInArrow(run, "id bigint, hash bigint, anchor bigint, content bigint, start int, size int")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return _keyed(docs.where("text is not null"), "text").select(F.col("__id").alias("id"), F.col("__hash").alias("hash"), "text")
 
 
-CUT = "anchor bigint, content binary, n bigint, kinds bigint, id bigint, words string"
-_CUT = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+CUT = "anchor bigint, content bigint, n bigint, kinds bigint, id bigint, words string"
+_CUT = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +140,7 @@ def _cut_finer(gram: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("anchor").take(own), batch.column("content").take(own), batch.column("n").take(own), batch.column("id").take(own), pa.array((start - words.first[row])[part], pa.int32()),
-                        pa.array(anchor[part].view(np.int64)), pa.array(word_digests(text, a[part], b[part]), pa.binary()), pa.array([text[x:y].decode() for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)], pa.string()),
+                        pa.array(anchor[part].view(np.int64)), pa.array(contents(text, a[part], b[part])), pa.array([text[x:y].decode() for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)], pa.string()),
                     ],
                     names=["of_anchor", "of_content", "n", "id", "at", "anchor", "content", "words"],
                 )
@@ -189,11 +194,11 @@ def _answers(space: Workspace, cut: DataFrame, level: int) -> DataFrame:
     some, hot = cut.agg(F.count_if(cold), F.count_if(~cold)).first()
     shards = max(partitions(spark), some // SHARD)
     sharded = cut.where(cold).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    runs = space.written(sharded.groupBy("shard").applyInArrow(_shard, f"anchor bigint, content binary, n bigint, runs {RUNS}"), f"runs{level}")
+    runs = space.written(sharded.groupBy("shard").applyInArrow(_shard, f"anchor bigint, content bigint, n bigint, runs {RUNS}"), f"runs{level}")
     if not hot:
         return runs
     # dealt out evenly: the passages of one anchor lie together in few files
-    finer = cut.where(~cold).repartition(partitions(spark), "content").mapInArrow(_cut_finer(GRAMS[level + 1]), "of_anchor bigint, of_content binary, n bigint, id bigint, at int, anchor bigint, content binary, words string")
+    finer = cut.where(~cold).repartition(partitions(spark), "content").mapInArrow(_cut_finer(GRAMS[level + 1]), "of_anchor bigint, of_content bigint, n bigint, id bigint, at int, anchor bigint, content bigint, words string")
     finer = space.written(finer, f"finer{level}")
     same = space.written(finer.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.min("id").alias("id"), F.first("words").alias("words")), f"same{level}")
     kinds = space.written(_counted(same), f"kinds{level}")
@@ -210,7 +215,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     """id, hash and spans (first word, words) of the repeated windows of each document that has some."""
     spark = docs.sparkSession
     space = Workspace(spark)
-    found = space.written(_scan(docs), "passages")
+    every = space.written(_scan(docs), "every")
+    anchors = space.written(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    found = space.written(spread_join(every, anchors, ["anchor"], "n", "id").drop("n"), "passages")
+    space.drop("every", "anchors")
+    release(spark)
     least = F.min(F.struct("id", "hash", "start", "size")).alias("least")
     same = space.written(found.groupBy("anchor", "content").agg(least, F.count("*").alias("n")), "same")
     release(spark)

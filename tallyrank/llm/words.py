@@ -4,8 +4,8 @@ Texts stay as one UTF-8 byte buffer with offsets: no Python string is made for e
 of bytes that a 256-entry table marks. Its 64-bit hash goes through its bytes eight at a time, each step mixed with
 the next (words longer than LONG bytes: keyed BLAKE2b). A span of words is hashed from the hashes of its first and its
 last 2**k words, and those from halves in the same way. No step is linear in what came before, so no pattern of bytes
-or words makes two texts collide. Hashes only say where to look: where equality decides, `word_digests` (128 bits of
-BLAKE2b over the words themselves) or the words are compared.
+or words makes two texts collide. Hashes only say where to look: where equality decides, `word_digests` (BLAKE2b over
+the words themselves) or the words are compared.
 """
 
 from __future__ import annotations
@@ -196,10 +196,10 @@ def packed(buf: np.ndarray, table: np.ndarray, words: Words) -> tuple[bytes, np.
     return out.tobytes(), ends - sizes - 1, ends - 1
 
 
-def word_digests(text: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """128 bits of BLAKE2b over each part of what `packed` gives."""
+def word_digests(text: bytes, starts: np.ndarray, ends: np.ndarray, size: int = 16) -> list[bytes]:
+    """`size` bytes of BLAKE2b over each part of what `packed` gives."""
     blake, view = hashlib.blake2b, memoryview(text)
-    return [blake(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [blake(view[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
