@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import decimals
@@ -45,23 +45,39 @@ def slug(text: str) -> str:
 
 def latex(df: DataFrame, title: str, bold: dict[tuple[int, str], bool] | None = None, digits: int = 4) -> str:
     """A table of a report of a few rows."""
-    rows, names = df.collect(), df.columns
+    rows, names = few(df), df.columns
     cell = lambda i, n, v: "" if v is None else (rf"\textbf{{{v:.{digits}f}}}" if bold and bold.get((i, n)) else f"{v:.{digits}f}") if isinstance(v, float) else escape_latex(str(v))
     lines = [" & ".join(escape_latex(n) for n in names) + r" \\ \hline", *[" & ".join(cell(i, n, r[n]) for n in names) + r" \\" for i, r in enumerate(rows)]]
     body = "\n".join(lines)
     return f"\\begin{{table}}\n\\caption{{{escape_latex(title)}}}\n\\label{{tab:{slug(title)}}}\n\\begin{{tabular}}{{{'l' * len(names)}}}\n{body}\n\\end{{tabular}}\n\\end{{table}}\n"
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A report of a few rows as CSV with 12 decimals; a missing value is empty."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(df.columns)
-        out.writerows([["" if v is None else f"{v:.12f}" if isinstance(v, float) else v for v in row] for row in df.collect()])
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text file on any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
-def write_json(value: object, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        json.dump(value, f, indent=1, sort_keys=True)
+def write_report(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A report of a few rows (an error beyond `most`) as CSV with 12 decimals; a missing value is empty."""
+    held = io.StringIO()
+    out = csv.writer(held, lineterminator="\n")
+    out.writerow(df.columns)
+    out.writerows([["" if v is None else f"{v:.12f}" if isinstance(v, float) else v for v in row] for row in few(df, most)])
+    write_text(df.sparkSession, held.getvalue(), path)
+
+
+def few(df: DataFrame, most: int = 100_000) -> list:
+    """The rows of a report; an error if there are more than a report has."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    return rows
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    write_text(spark, json.dumps(value, indent=1, sort_keys=True, default=str), path)
