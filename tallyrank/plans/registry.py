@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import model_queries as _models
 from . import queries as _queries
+from . import source_queries as _sources  # noqa: F401  (registers its queries)
 
 FOUND = _queries.FOUND
 

@@ -66,15 +66,12 @@ def json_lines(spark: SparkSession, path: str, schema: str | StructType | None =
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def malformed(spark: SparkSession, path: str, kind: str = "json", schema: str | None = None, **options) -> DataFrame:
+def malformed(spark: SparkSession, path: str, schema: str, kind: str = "json", **options) -> DataFrame:
     """The lines that do not parse, to be counted or looked at."""
-    lines = {"json": spark.read.options(**options).json, "csv": spark.read.options(**options).csv}[kind]
-    known = StructType.fromDDL(schema) if schema else lines(path).schema
-    fields = StructType([f for f in known.fields if f.name != "_corrupt_record"]).add("_corrupt_record", StringType())
-    reader = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **options).schema(fields)
-    # a scan of the marker alone would parse nothing: all fields are asked for
-    rows = (reader.json if kind == "json" else reader.csv)(path)
-    return rows.withColumn("__all", F.struct(*rows.columns)).where("_corrupt_record is not null and __all is not null").select(F.col("_corrupt_record").alias("line"))
+    fields = f"{schema}, _corrupt_record string"
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", **{k: str(v) for k, v in options.items()}}
+    parsed = {"json": F.from_json, "csv": F.from_csv}[kind]("value", fields, how)
+    return spark.read.text(path).select(F.col("value").alias("line"), parsed.alias("p")).where("p._corrupt_record is not null").select("line")
 
 
 def flattened(df: DataFrame) -> DataFrame:
