@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from ..operators import bm25, dense, history, interactions, metrics, significance, splits
 from ..sources import sinks
-from ..sources.readers import exists, get_loader, plain_name
-from . import builders
+from ..sources.readers import LOADERS, exists, get_loader, plain_name
+from . import (
+    builders,
+    loaders,  # noqa: F401  (registers its loaders)
+)
 from .configs import resolved, strategy
 from .models import MODELS, Model, register_model
 from .scorers import SCORERS, register_scorer
@@ -202,7 +205,9 @@ def _timed(stage: str, say: Callable[[str], None], work: Callable):
 
 def _data(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     """What the loader gives: one table of rows, or several by name (rows, docs, tags, vectors)."""
-    load, params = get_loader(config["dataset"]["name"]), config["dataset"].get("params", {})
+    name, params = config["dataset"]["name"], config["dataset"].get("params", {})
+    own = f"{name}_search"  # a data set may be read in another way for search
+    load = get_loader(own if config.get("task_type") == "search" and not strategy(config) and plain_name(own) in LOADERS else name)
     taken = inspect.signature(load).parameters
     if not any(p.kind is inspect.Parameter.VAR_KEYWORD for p in taken.values()):
         params = {k: v for k, v in params.items() if k in taken}  # the others are the runner's

@@ -122,3 +122,44 @@ def test_bridged_interactions(spark):
     assert out.count() == 60 and out.where(F.col("label") == 1).count() == 60
     hits = experiment.bridged({"task_type": "recs", "hybrid": True, "hybridStrategy": "retrieval-as-user", "dataset": {"params": {"top_k": 4, "query_limit": 2}}}, data)
     assert hits.count() == 8 and hits.select("user").distinct().count() == 2
+
+
+@pytest.fixture(scope="module")
+def movies(tmp_path_factory):
+    """A small folder of the movie data set's layout."""
+    folder, rng = tmp_path_factory.mktemp("ml-25m"), random.Random(2)
+    lines = {
+        "ratings.csv": ["userId,movieId,rating,timestamp", *[f"{u},{m},{rng.randint(1, 5)},{t}" for u in range(30) for t, m in enumerate(rng.sample(range(40), 8 + u % 9))]],
+        "movies.csv": ["movieId,title,genres", *[f'{m},"Title {m}, the movie",{"Drama|Sea" if m % 2 else "Comedy"}' for m in range(40)]],
+        "genome-scores.csv": ["movieId,tagId,relevance", *[f"{m},{t},{0.95 if m % 4 == t else 0.1}" for m in range(40) for t in range(4)]],
+        "genome-tags.csv": ["tagId,tag", *[f"{t},tag {w}" for t, w in enumerate(["calm", "loud", "sea", "joy"])]], "tags.csv": ["x"], "links.csv": ["x"],
+    }
+    for name, content in lines.items():
+        (folder / name).write_text("\n".join(content) + "\n")
+    return str(folder)
+
+
+@pytest.mark.parametrize("task,name,model,more", [
+    ("recs", "MovieLens", "popularity", {}), ("search", "movielens", "bm25", {}), ("search", "movielens", "bm25", {"hybrid": True, "hybridStrategy": "tag-query"}),
+    ("recs", "retrieval_as_user", "popularity", {"hybrid": True, "hybridStrategy": "retrieval-as-user"}),
+])
+def test_data_set_folders(spark, tmp_path, movies, task, name, model, more):
+    settings = config(task, name, {"name": model}, **more)
+    settings["dataset"]["params"] = {"path": movies, "mode": "movielens_genome" if name == "retrieval_as_user" else "normal", "top_k": 10}
+    out = values(experiment.run(spark, settings, str(tmp_path), lambda s: None))
+    assert out and all(0 <= v <= 1 for v in out.values())
+
+
+def test_found_and_unpacked(spark, movies, tmp_path):
+    import shutil
+
+    from tallyrank.sources import readers
+
+    assert readers.dataset_path("MovieLens 25m", [str(tmp_path), movies], spark) == movies
+    shutil.make_archive(str(tmp_path / "ml-25m"), "zip", os.path.dirname(movies), os.path.basename(movies))
+    found = readers.dataset_path("ml25m", [str(tmp_path)])
+    assert os.path.exists(f"{found}/movies.csv")
+    with pytest.raises(KeyError):
+        readers.dataset_path("nothing", [])
+    with pytest.raises(FileNotFoundError):
+        readers.dataset_path("lastfm360k", [str(tmp_path)])
