@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +14,7 @@ from ..functions.scalars import quantised
 from ..functions.vectors import cosine, dot, max_sim, unit
 
 #: Queries in one block: each block of queries meets each document once, so a document row is copied once per block.
-QUERY_BLOCK = 256
+QUERY_BLOCK, DOC_BLOCK = 256, 2048
 
 
 def _blocked(queries: DataFrame, docs: DataFrame, qid: str, columns: list[str]) -> DataFrame:
@@ -22,19 +26,65 @@ def _blocked(queries: DataFrame, docs: DataFrame, qid: str, columns: list[str])
     return spread.join(packed, "block")
 
 
+def _packed(df: DataFrame, key: str, size: int, names: tuple[str, str, str]) -> DataFrame:
+    """Blocks of about `size` rows: number, ids, vectors."""
+    blocks = max(1, -(-df.count() // size))
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(names[0])).agg(F.collect_list(F.struct(F.col(key).alias("k"), "v")).alias("r")).select(names[0], F.col("r.k").alias(names[1]), F.col("r.v").alias(names[2]))
+
+
+def _matrix(column: pa.ListArray, deep: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of one block, and for token vectors where each row's begin."""
+    rows = column.flatten()
+    starts = np.array(rows.offsets) - rows.offsets[0].as_py() if deep else np.arange(len(rows) + 1)
+    vectors = rows.flatten() if deep else rows
+    flat = np.array(vectors.flatten(), np.float64)
+    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1), starts
+
+
+def _products(k: int, deep: bool, exclude_self: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best of each block of documents for each query of a block: all pairs scored, few sent on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {n: batch.column(j).slice(i, 1) for j, n in enumerate(batch.schema.names)}
+                qids, dids = one["qids"].flatten(), one["dids"].flatten()
+                (q, q_at), (d, d_at) = _matrix(one["qs"], deep), _matrix(one["ds"], deep)
+                scores = q @ d.T
+                if deep:  # the best document token for each query token, at least 0; their sum
+                    scores = np.add.reduceat(np.maximum(np.maximum.reduceat(scores, d_at[:-1], axis=1), 0.0), q_at[:-1], axis=0)
+                scores = np.floor(scores * 1e6 + 0.5) / 1e6  # as functions.scalars.quantised
+                order = np.argsort(np.argsort(np.array(dids.to_pylist(), object if pa.types.is_string(dids.type) else None), kind="stable"), kind="stable")
+                names, parts = np.array(dids.to_pylist()), []
+                for p, own in enumerate(qids.to_pylist()):
+                    there = np.flatnonzero(names != own) if exclude_self else np.arange(len(names))
+                    if len(there) > 4 * k:
+                        least = np.partition(scores[p][there], len(there) - k)[len(there) - k]
+                        there = there[scores[p][there] >= least]
+                    there = there[np.lexsort((order[there], -scores[p][there]))[:k]]
+                    parts.append((np.full(len(there), p), there, scores[p][there]))
+                at = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(at[0])), dids.take(pa.array(at[1])), pa.array(at[2], pa.float64())], names=["qid", "doc_id", "score"])
+
+    return run
+
+
 def search(queries: DataFrame, docs: DataFrame, k: int, score: str = "cosine", qid: str = "qid", vector: str = "vector", exclude_self: bool = False) -> DataFrame:
     """The k best documents of each query: exact scores of all rows, quantised; ties to the lesser doc_id.
 
-    Normalised vectors are multiplied when `score` is cosine; `max_sim` takes arrays of token vectors."""
+    Blocks of queries meet blocks of documents in one matrix product, which sends on its own k best for each query.
+    Normalised vectors are multiplied when `score` is cosine; `max_sim` takes arrays of token vectors. All vectors have one
+    length; rows without a vector take no part."""
     prepare = (lambda c: unit(c)) if score == "cosine" else F.col
-    q = queries.select(F.col(qid).alias("qid"), prepare(vector).alias("qv"))
-    d = docs.select("doc_id", prepare(vector).alias("dv"))
-    met = _blocked(q, d, "qid", ["qv"]).select("doc_id", "dv", F.explode("asked").alias("a"))
-    value = max_sim("a.qv", "dv") if score == "max_sim" else dot("a.qv", "dv")
-    scored = met.select(F.col("a.qid").alias("qid"), "doc_id", quantised(value).alias("score"))
-    if exclude_self:
-        scored = scored.where("qid != doc_id")
-    return best(scored, k)
+    deep = score == "max_sim"
+    cast = (lambda c: F.transform(c, lambda t: t.cast("array<double>"))) if deep else lambda c: c.cast("array<double>")
+    some = (F.col("v").isNotNull()) & (F.size("v") > 0)
+    q = _packed(queries.select(F.col(qid).alias("qid"), cast(prepare(vector)).alias("v")).where(some), "qid", QUERY_BLOCK, ("qb", "qids", "qs"))
+    d = _packed(docs.select("doc_id", cast(prepare(vector)).alias("v")).where(some), "doc_id", DOC_BLOCK, ("db", "dids", "ds"))
+    blocks = q.agg(F.max("qb")).first()[0]
+    met = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks or 0)))).join(q, "qb").select("qids", "qs", "dids", "ds")
+    kinds = [queries.schema[qid].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()]
+    return best(met.mapInArrow(_products(k, deep, exclude_self), f"qid {kinds[0]}, doc_id {kinds[1]}, score double"), k)
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
