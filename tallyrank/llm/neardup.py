@@ -44,6 +44,8 @@ BANDS, ROWS = 24, 5
 BLOCK, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 4096
 #: Rounds of labelling before buckets are compared whole.
 ROUGH = 2
+#: Elements that darts are thrown at at once.
+HELD = 1 << 18
 U = np.uint64
 _LAST = 2**63 - 1
 
@@ -83,6 +85,30 @@ def signatures(text_of: np.ndarray, elements: np.ndarray, weights: np.ndarray, n
     return out
 
 
+def _thrown(s, e, w, reach, size, level) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slot, rank and number of the darts that hit these elements in a region of weights."""
+    parts = []
+    rank, throw = np.zeros(len(e)), 0
+    limit = reach[s]
+    while len(e):  # as many throws at once as keep the arrays small
+        many = min(64, max(1, 1 + 50_000 // len(e)))
+        h = mix(e[:, None] ^ mix(np.arange(throw, throw + many, dtype=np.uint64) + U(level * 1_000_003 + 1)))
+        gaps = np.empty((len(e), many + 1))
+        gaps[:, 0], gaps[:, 1:] = rank, np.log(_uniform(h)) / -(2.0**level)
+        ranks = np.cumsum(gaps, axis=1)[:, 1:]
+        near = ranks <= limit[:, None]
+        row, turn = np.nonzero(near)
+        own = h[row, turn]
+        g = mix(own + U(0x9E3779B97F4A7C15))
+        under = np.flatnonzero(2.0**level * (1 + _uniform(g)) - 1 < w[row])
+        coordinate = (mix(g[under]) >> U(33)).astype(np.int64) % size
+        parts.append((s[row[under]] * size + coordinate, ranks[row[under], turn[under]], own[under]))
+        on = near[:, -1]
+        e, s, w, rank, limit = e[on], s[on], w[on], ranks[on, -1], limit[on]
+        throw += many
+    return parts
+
+
 def _throw(text_of, elements, weights, reach, n, size):
     """All darts up to each set's reach in rank, and of them the earliest of each coordinate."""
     parts = []
@@ -91,25 +117,9 @@ def _throw(text_of, elements, weights, reach, n, size):
         inside = np.flatnonzero(weights > 2.0**level - 1)
         if not len(inside):
             break
-        e, s, w = elements[inside], text_of[inside], weights[inside]
-        rank, throw = np.zeros(len(e)), 0
-        limit = reach[s]
-        while len(e):  # as many throws at once as keep the arrays small
-            many = min(64, max(1, 1 + 50_000 // len(e)))
-            h = mix(e[:, None] ^ mix(np.arange(throw, throw + many, dtype=np.uint64) + U(level * 1_000_003 + 1)))
-            gaps = np.empty((len(e), many + 1))
-            gaps[:, 0], gaps[:, 1:] = rank, np.log(_uniform(h)) / -(2.0**level)
-            ranks = np.cumsum(gaps, axis=1)[:, 1:]
-            near = ranks <= limit[:, None]
-            row, turn = np.nonzero(near)
-            own = h[row, turn]
-            g = mix(own + U(0x9E3779B97F4A7C15))
-            under = np.flatnonzero(2.0**level * (1 + _uniform(g)) - 1 < w[row])
-            coordinate = (mix(g[under]) >> U(33)).astype(np.int64) % size
-            parts.append((s[row[under]] * size + coordinate, ranks[row[under], turn[under]], own[under]))
-            on = near[:, -1]
-            e, s, w, rank, limit = e[on], s[on], w[on], ranks[on, -1], limit[on]
-            throw += many
+        for first in range(0, len(inside), HELD):  # so many elements at once: a text may be very long
+            own = inside[first : first + HELD]
+            parts += _thrown(text_of[own], elements[own], weights[own], reach, size, level)
         level += 1
     slots, ranks, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((ids, ranks, slots))

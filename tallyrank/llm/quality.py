@@ -43,7 +43,7 @@ _CLASS[65:91, 0] = _CLASS[97:123, 1] = _CLASS[48:58, 2] = 1
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)], 3] = 1
 _CLASS[10, 4] = 1
 _CLASS[128:, 5] = 1
-_KIND = np.argmax(_CLASS, axis=1).astype(np.int64)
+_KIND = np.argmax(_CLASS, axis=1).astype(np.uint8)
 _KIND[_CLASS.sum(axis=1) == 0] = 6
 FEATURES = 18
 
@@ -59,6 +59,8 @@ def features(column: pa.Array) -> np.ndarray:
     kinds = _KIND[buf]
 
     def per_text(mask: np.ndarray) -> np.ndarray:
+        if n == 1:  # perhaps a very long one: no array of places
+            return np.array([np.count_nonzero(mask)])
         at = np.flatnonzero(mask)
         return np.searchsorted(at, offsets[1:]) - np.searchsorted(at, offsets[:-1])
 
@@ -223,14 +225,14 @@ def fitted(docs: DataFrame, labels: DataFrame, threshold: float) -> Ranking:
     return ranking
 
 
-def score(docs: DataFrame, model: Ranking, keep_text: bool = True) -> DataFrame:
-    """All columns of the documents (or all but the text), and a score."""
+def score(docs: DataFrame, model: Ranking, keep_text: bool = True, name: str = SCORE) -> DataFrame:
+    """All columns of the documents (or all but the text), and a score under a name that they do not have."""
     fields = docs.schema.fields
     kept = [i for i, x in enumerate(fields) if keep_text or x.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             scores = model.score(features(batch.column(batch.schema.get_field_index("text"))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(scores, pa.float64())], names=[*[batch.schema.names[i] for i in kept], SCORE])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(scores, pa.float64())], names=[*[batch.schema.names[i] for i in kept], name])
 
-    return docs.mapInArrow(run, StructType([fields[i] for i in kept]).add(SCORE, DoubleType()))
+    return docs.mapInArrow(run, StructType([fields[i] for i in kept]).add(name, DoubleType()))

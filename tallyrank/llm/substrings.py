@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Workspace, partitions, release, spread_join
+from .common import Workspace, fresh, partitions, release, spread_join
 from .fm_index import SEPARATOR, FMIndex
 from .words import SPACED, grams, packed, slices, sliding_argmin, texts, tokenize, word_digests
 
@@ -249,9 +249,12 @@ def _kept(words, row: int, wanted: list[dict] | None) -> np.ndarray:
     return np.cumsum(cover[:n]) == 0
 
 
-def _with_spans(docs: DataFrame, *columns: str) -> DataFrame:
-    own = repeated(docs).select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans"))
-    return _keyed(docs, *columns).join(own, ["__id", "__hash"], "left")
+def _with_spans(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """These columns and the spans to remove, and the name of the column that has them."""
+    i, h, spans = fresh(docs, "id", "hash", "spans")
+    own = repeated(docs).select(F.col("id").alias(i), F.col("hash").alias(h), F.col("spans").alias(spans))
+    keyed = docs.select(*columns, F.coalesce("doc_id", F.lit(_LAST)).alias(i), F.xxhash64("text").alias(h))
+    return keyed.join(own, [i, h], "left").select(*columns, spans), spans
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -263,14 +266,14 @@ def digests(docs: DataFrame) -> DataFrame:
             words = tokenize(buf, offsets, SPACED)
             raw, removed, sums = buf.tobytes(), [], []
             starts, ends = words.starts.tolist(), words.ends.tolist()
-            for i, wanted in enumerate(batch.column("__spans").to_pylist()):
+            for i, wanted in enumerate(batch.column(spans).to_pylist()):
                 keep = _kept(words, i, wanted)
                 at = (np.flatnonzero(keep) + int(words.first[i])).tolist()
                 removed.append(len(keep) - len(at))
                 sums.append(hashlib.sha256(b" ".join([raw[starts[j] : ends[j]] for j in at])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.counts), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = _with_spans(docs, "doc_id", "text").select("doc_id", "text", "__spans")
+    joined, spans = _with_spans(docs, "doc_id", "text")
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
@@ -282,7 +285,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             place = batch.schema.get_field_index("text")
-            spans_ = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
+            spans_ = batch.column(batch.schema.get_field_index(spans)).to_pylist()
             new, stays = batch.column(place).to_pylist(), [True] * batch.num_rows
             own = [i for i, s in enumerate(spans_) if s]
             if own:
@@ -296,7 +299,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
             columns[names.index("text")] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
 
-    out = _with_spans(docs, *names).select(*names, "__spans").mapInArrow(run, schema)
+    joined, spans = _with_spans(docs, *names)
+    out = joined.mapInArrow(run, schema)
     if "n_chars" in names and isinstance(schema["n_chars"].dataType, LongType):
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*names)
     return out

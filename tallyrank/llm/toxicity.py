@@ -51,6 +51,8 @@ TOLD = 5
 FAR = 0.1
 #: Bytes of tables that the trainer puts before a dictionary's content, about.
 HEADER, PASSES = 200, 4
+#: Bytes of a text whose windows are held at once (a multiple of STEP).
+TURN = STEP << 14
 SEED = 1
 SCORE = "__toxicity_score"
 
@@ -114,7 +116,9 @@ class Model:
         return out
 
     def features(self, data: bytes, both) -> np.ndarray:
-        return summary(self.evidence(windows(data), both))
+        """Of a whole text; the windows of a long one are looked at in turns of bounded size."""
+        saved = [self.evidence(windows(data[at : at + TURN + WINDOW - STEP]), both) for at in range(0, max(1, len(data) - (WINDOW - STEP)), TURN)]
+        return summary(np.concatenate(saved))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
@@ -246,8 +250,8 @@ def train(toxic: list[str], ordinary: list[str], share: float | None = None, thr
     return model
 
 
-def score(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
-    """All columns of the documents (or all but the text), and a score."""
+def score(docs: DataFrame, model: Model, keep_text: bool = True, name: str = SCORE) -> DataFrame:
+    """All columns of the documents (or all but the text), and a score under a name that they do not have."""
     fields = docs.schema.fields
     kept = [i for i, x in enumerate(fields) if keep_text or x.name != "text"]
 
@@ -257,6 +261,6 @@ def score(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
             buf, offsets = texts(batch.column(batch.schema.get_field_index("text")))
             data, bounds = FOLD[buf].tobytes(), offsets.tolist()
             x = np.array([model.features(b" " + data[a:b] + b" ", both) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(model.probability(x), pa.float64())], names=[*[batch.schema.names[i] for i in kept], SCORE])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(model.probability(x), pa.float64())], names=[*[batch.schema.names[i] for i in kept], name])
 
-    return docs.mapInArrow(run, StructType([fields[i] for i in kept]).add(SCORE, DoubleType()))
+    return docs.mapInArrow(run, StructType([fields[i] for i in kept]).add(name, DoubleType()))

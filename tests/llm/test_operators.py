@@ -610,3 +610,34 @@ def test_search_of_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "ROW_BLOCK", 4)
     rows = [(0, [1.0, 0.0])] * 3 + [(0, [0.0, 1.0])] + [(7, [2.0, 1.0])] * 40 + [(8, [2.0, 1.0])] * 2 + [(9, [0.0, 9.0])] * 2 + [(i, [0.1 * i, 1.0]) for i in range(10, 40)]
     assert searched(spark, rows) == best_by_force(rows, 5, 50)
+
+
+# --- very long texts ------------------------------------------------------------------------------------------------
+def test_a_very_long_text():
+    """16 MB in one row: work in pieces gives what work at once gives, and no operator is quadratic."""
+    rng = random.Random(12)
+    line = " ".join(rng.choices([f"word{i}" for i in range(5000)] + ["idiot", "BUY!!", "das", "the"], k=4000)) + "\n"
+    text = line * (16_000_000 // len(line))
+    column = pa.array([text])
+    words = substrings.tokenize(*substrings.texts(column), substrings.SPACED)
+    assert words.counts[0] == len(text.split())
+    assert np.isfinite(quality.features(column)).all()
+    model = toxicity.Model([(b"idiot", b"other")], b"word", np.zeros(14))
+    both = model.compressors()
+    data = toxicity.fold(line * 200)
+    assert model.features(data, both).tolist() == toxicity.summary(model.evidence(toxicity.windows(data), both)).tolist()
+    trees = language.train({"en": ["the word"], "de": ["das Wort"]})
+    assert language.predict(column, trees, language.Lengths(trees.trees))[0][0] in ("en", "de")
+    alnum = neardup.tokenize(*neardup.texts(column), neardup.ALNUM, LOWER)
+    shingles = neardup.shingles(alnum)
+    found = neardup.signatures(*shingles, 1, 120)
+    assert (found != 0).all()
+    starts, _ = decontaminate.windows(alnum, 10, 5)
+    assert len(starts) == alnum.counts[0] - 9
+
+
+def test_darts_in_pieces_are_the_same(monkeypatch):
+    words = neardup.tokenize(*neardup.texts(pa.array([*edited(4, 5), "p q r s t " * 90])), neardup.ALNUM, LOWER)
+    whole = neardup.signatures(*neardup.shingles(words), 6, 120)
+    monkeypatch.setattr(neardup, "HELD", 7)
+    assert (neardup.signatures(*neardup.shingles(words), 6, 120) == whole).all()

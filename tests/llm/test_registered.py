@@ -2,6 +2,7 @@
 
 import pytest
 from oracle import SMALL, connect, same
+from pyspark.sql import functions as F
 from test_operators import by_id, classes_by_force, hits_by_force, removed_by_force, rows_of, table
 
 import corpus_pipeline
@@ -42,3 +43,28 @@ def test_pipeline(spark):
             docs = out
     assert out.count() == docs.count()
     assert corpus_pipeline.run(spark, SMALL).count() == docs.count()
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_on_odd_tables(spark, tmp_path, kind):
+    """Nulls in any column, empty texts, repeated rows and ids, clashing columns, no benchmark or no documents at all."""
+    docs, labels, bench = (table(spark, x) for x in ("documents", "labels", "benchmark"))
+    rows = [(None, "no id at all", None, None, None), (10**9, None, None, "s", 1), (10**9, "", "en", None, None), (10**9 + 1, " \\n", "en", "s", 2)] + [(10**9 + 2, "the same row again", "en", "s", None)] * 5
+    odd = spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    whole = docs.limit(60).unionByName(odd, allowMissingColumns=True)
+    for name in ("id", "hash", "score", "__id", "__hash", "spans", "label", "content"):
+        whole = whole.withColumn(name, F.lit(1))
+    if kind == "empty":
+        whole, labels, bench = whole.limit(0), labels.limit(0), bench.limit(0)
+    folder = f"file://{tmp_path}"
+    for name, df in (("documents", whole), ("labels", labels), ("benchmark", bench.withColumn("n", F.lit(2)).withColumn("print", F.lit("x")))):
+        df.write.parquet(f"{folder}/{name}.parquet")
+    read = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, read, folder)
+        assert out.columns == read.columns, name
+        read = spark.createDataFrame(out.collect(), read.schema)
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert len(out) == read.count() and (kind == "odd") == bool(out)
+    if kind == "odd":
+        assert sum(r["doc_id"] == 10**9 + 2 for r in out) <= 1  # copies of one row are one document
