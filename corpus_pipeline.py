@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrank.llm import decontaminate, neardup, quality, queries, sentence_pieces, substrings
-from tallyrank.llm.common import table, written
+from tallyrank.llm.common import fresh, table, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality ranking puts below its cut."""
-    scored = quality.score(docs, queries.quality_model(spark, sf_dir))
-    return scored.where(F.col("text").isNull() | (F.col(quality.SCORE) >= queries.QUALITY_THRESHOLD)).select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    scored = quality.score(docs, queries.quality_model(spark, sf_dir), name=score)
+    return scored.where(F.col("text").isNull() | (F.col(score) >= queries.QUALITY_THRESHOLD)).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
