@@ -37,7 +37,7 @@ from .words import slices
 MAGIC = b"EFIDS002"
 SAMPLE = 64
 #: Words remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Ids read at once.
 BLOCK = 1 << 20
 #: Documents whose offsets are read at once.
@@ -174,36 +174,73 @@ class Reader:
         return self.tokens(self.bounds.select(i), self.bounds.select(i + 1) if i + 1 < self.n else self.total)
 
 
+class _Words(dict):
+    """Ids of words; those of `rest`, which are not kept, where a word is not among them."""
+
+    rest: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.rest[word]
+
+
 class WordEncoder:
     """The library's ids for whole texts, as little-endian unsigned 32-bit integers.
 
     No match of the tokenizer's pattern has white space in it and its normaliser works on each side of a space alone,
-    so a text goes by the pieces between spaces or line feeds. All pieces go through the whole tokenizer; those met for
-    the first time, many at once: joined by its special end token, which the library takes out before anything else. Short
-    pieces are remembered, in bounded memory.
+    so a text goes by the pieces between spaces or line feeds. All pieces go through the whole tokenizer, those met for
+    the first time many at once. Pieces of letters, and such with one sign at their end, are joined by spaces: the
+    vocabulary marks the last token of each match, and if there are as many matches as such pieces must have at least,
+    each has its own. All others are joined by the special end token, which the library takes out before anything
+    else. Short pieces are remembered, in bounded memory.
     """
 
-    SHORT = 9
-    MARK = "<|endoftext|>"
+    SHORT = 14
+    MARK, LAST = "<|endoftext|>", "</w>"
+    #: Pieces in one text for the library.
+    TOGETHER = 200
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = _Words()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(self.LAST)]] = True
         self.mark = self.tokenizer.token_to_id(self.MARK)
-        if self._ids(f"a{self.MARK}b")[len(self._ids("a")) :][:1] != [self.mark]:
+        if self.mark is not None and self._ids([f"a{self.MARK}b"])[0][len(self._ids(["a"])[0]) :][:1] != [self.mark]:
             self.mark = None
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        together = [w for w in words if "<" not in w] if self.mark is not None else []
-        out = {w: np.array(self._ids(w), "<u4").tobytes() for w in words if self.mark is None or "<" in w}
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str], matches: int) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of words that have so many matches at least, and the words that may have more."""
+        out, others = {}, []
+        groups = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            ids = np.array(ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != matches * len(group) or (len(ends) and ends[-1] != len(ids)):
+                others += group
+                continue
+            data, at = ids.tobytes(), (ends[matches - 1 :: matches] * 4).tolist()
+            out |= {w: data[x:y] for w, x, y in zip(group, [0, *at[:-1]], at, strict=True)}
+        return out, others
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w.isalpha()]
+        closed = [w for w in words if w[:-1].isalpha() and w[-1] in ".,;:!?"]
+        out, others = self._spaced(sorted(plain), 1)
+        more, odd = self._spaced(sorted(closed), 2)
+        out |= more
+        others += [*odd, *sorted(words.difference(plain, closed))]
+        together = [w for w in others if "<" not in w] if self.mark is not None else []
+        alone = [w for w in others if "<" in w or self.mark is None]
+        out |= {w: np.array(x, "<u4").tobytes() for w, x in zip(alone, self._ids(alone), strict=True)}
         if together:
-            ids = np.array(self._ids(self.MARK.join(together)), "<u4")
+            ids = np.array(self._ids([self.MARK.join(together)])[0], "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
             data = ids.tobytes()
             out |= {w: data[a:b] for w, a, b in zip(together, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)}
@@ -212,17 +249,18 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*pieces).difference(self.known)
-        learned = self._learn(sorted(new))
+        learned = self._learn(new)
         short = {w: x for w, x in learned.items() if len(w) <= self.SHORT}
-        if len(self.known) + len(short) > REMEMBERED:
-            old, self.known = self.known, short
-            ids = old | learned
-        else:
-            self.known |= short
-            ids = {w: x for w, x in learned.items() if len(w) > self.SHORT}
+        known, old = self.known, {}
+        if len(known) + len(short) > REMEMBERED:  # the memory starts anew
+            old, self.known = known, _Words(short)
             known = self.known
-            return [b"".join([known[w] if w in known else ids[w] for w in p]) for p in pieces]
-        return [b"".join(map(ids.__getitem__, p)) for p in pieces]
+        else:
+            known.update(short)
+        known.rest = {w: x for w, x in learned.items() if len(w) > self.SHORT} | (dict(old) if old else {})
+        out = [b"".join(map(known.__getitem__, p)) for p in pieces]
+        known.rest = {}
+        return out
 
     def whole(self, text: str) -> bytes:
         """One text of any length, in parts that end at a space."""
