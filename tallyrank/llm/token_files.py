@@ -46,6 +46,8 @@ RUN = 1 << 12
 FILE_BYTES, FILE_DOCS = 64 << 20, 1 << 20
 #: Letters of a text that are encoded at once, about.
 CHUNK = 1 << 19
+#: Bytes of text that are encoded together: words that come again in them are looked up once.
+BYTES = 8 << 20
 
 
 class EliasFano:
@@ -198,6 +200,7 @@ class WordEncoder:
     MARK, LAST = "<|endoftext|>", "</w>"
     #: Pieces in one text for the library.
     TOGETHER = 200
+    SIGNS = frozenset(".,;:!?")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -230,12 +233,14 @@ class WordEncoder:
         return out, others
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        plain = [w for w in words if w.isalpha()]
-        closed = [w for w in words if w[:-1].isalpha() and w[-1] in ".,;:!?"]
-        out, others = self._spaced(sorted(plain), 1)
-        more, odd = self._spaced(sorted(closed), 2)
-        out |= more
-        others += [*odd, *sorted(words.difference(plain, closed))]
+        plain, closed, others = [], [], []
+        for w in words:
+            (plain if w.isalpha() else closed if w[-1:] in self.SIGNS and w[:-1].isalpha() else others).append(w)
+        out, more = self._spaced(plain, 1)
+        others += more
+        found, more = self._spaced(closed, 2)
+        out |= found
+        others += more
         together = [w for w in others if "<" not in w] if self.mark is not None else []
         alone = [w for w in others if "<" in w or self.mark is None]
         out |= {w: np.array(x, "<u4").tobytes() for w, x in zip(alone, self._ids(alone), strict=True)}
@@ -273,7 +278,7 @@ class WordEncoder:
         return b"".join(out)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        return self.encode(texts) if sum(map(len, texts)) <= 4 * CHUNK else list(map(self.whole, texts))
+        return self.encode(texts) if sum(map(len, texts)) <= 16 * CHUNK else list(map(self.whole, texts))
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, wide: bool = False) -> DataFrame:
@@ -291,7 +296,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
             n, total = out.close()
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([made], pa.int32()), "uri": [uri], "n_docs": [n], "n_tokens": [total]})
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BYTES):
             codes = [c + end for c in encoder.batch([t or "" for t in batch.column("text").to_pylist()])]
             if out is None:
                 uri = f"{folder}/{part:06d}-{made:04d}.efids"
