@@ -151,17 +151,22 @@ class FMIndex:
         return new_low, new_high, length
 
     def matching_statistics(self, patterns: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each position of the patterns patterns[bounds[i]:bounds[i + 1]]: length of the longest match from there
-        on (up to DEPTH - 2), and the least owner of the matches of `window` symbols (the largest number if there is
-        none). All patterns go on in step."""
+        """For each position of the patterns patterns[bounds[i]:bounds[i + 1]]: the length of the longest match from
+        there on, DEPTH - 2 standing for any longer one, and the least owner of the matches of `window` symbols (the
+        largest number if there is none). All patterns go on in step."""
         lengths, places = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
         at, end = bounds[1:] - 1, bounds[:-1]
         keep = at >= end
         at, end = at[keep], end[keep]
         low, high, length = np.zeros(len(at), np.int64), np.full(len(at), self.n), np.zeros(len(at), np.int64)
         while len(at):
+            # at the depth that the order of suffixes reaches, the match is cut by its last symbol, and goes on
+            full = np.flatnonzero(length == DEPTH - 2)
+            if len(full):
+                length[full] -= 1
+                low[full], high[full] = self._smaller(low[full], length[full], -1), np.minimum(self._smaller(high[full], length[full], 1), self.n)
             new_low, new_high = self.extend(low, high, patterns[at])
-            found = (new_low < new_high) & (length < DEPTH - 2)
+            found = new_low < new_high
             low, high = np.where(found, new_low, low), np.where(found, new_high, high)
             length = length + found
             done = found | (length == 0)

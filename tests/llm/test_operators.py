@@ -487,6 +487,28 @@ def test_repeated_passages(spark, monkeypatch, hot, grams):
     assert sorted((tuple(r) for r in substrings.digests(docs).collect()), key=str) == removed_by_force(rows_of(docs))
 
 
+@pytest.mark.parametrize("n", [126, 127, 130, 150, 199])
+def test_a_shard_finds_long_passages_whole(n):
+    shared = " ".join(f"w{i}" for i in range(n))
+    words = pa.array([shared, f"x {shared} y", f"z {shared}"])
+    runs = substrings.search_shard(np.array([4, 2, 9]), np.array([1, 1, 1]), words).to_pylist()
+    assert runs[0] == [{"start": 0, "size": n - 49, "owner": 2}] and runs[1] == [] and runs[2] == [{"start": 1, "size": n - 49, "owner": 2}]
+
+
+def test_passages_beyond_the_order_of_suffixes(spark):
+    """Lines that come again every 40 words keep one anchor over long stretches, which documents share."""
+    rng = random.Random(12)
+    line = [f"line{i}" for i in range(12)]
+
+    def stretch(k):
+        return [w for _ in range(k) for w in [*line, *(f"v{rng.randrange(10**6)}" for _ in range(28))]]
+
+    shared = [stretch(k) for k in (4, 5, 12)] + [[f"u{i}" for i in range(199)]]
+    texts = [" ".join([*stretch(rng.randrange(3)), *rng.choice(shared), *(f"t{rng.randrange(9)}" for _ in range(rng.randrange(60)))]) for _ in range(40)]
+    docs = documents(spark, texts)
+    assert sorted((tuple(r) for r in substrings.digests(docs).collect()), key=str) == removed_by_force(rows_of(docs))
+
+
 def test_words_of_one_pattern_are_not_confused(spark):
     a, b = (x for x in complements(1024))
     start = " ".join(f"w{i}" for i in range(49))

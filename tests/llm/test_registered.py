@@ -1,5 +1,7 @@
 """The registered corpus queries against their SQL or brute force, and the pipeline stage by stage."""
 
+import hashlib
+
 import pytest
 from oracle import SMALL, connect, same
 from pyspark.sql import functions as F
@@ -20,6 +22,20 @@ def test_whole_tables_by_force(spark):
     assert sorted((tuple(r) for r in queries.op7_repeated_passages(spark, SMALL).collect()), key=str) == removed_by_force(rows)
 
 
+def test_repeated_passages_of_a_larger_table(spark):
+    """The query, and the texts that the pipeline's stage leaves, at a size with long passages under repeated lines."""
+    folder = SMALL.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    expected = removed_by_force(rows_of(docs))
+    assert sorted((tuple(r) for r in queries.op7_repeated_passages(spark, folder).collect()), key=str) == expected
+    left = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["repeated_passages"](spark, docs, folder).collect()}
+    whole = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(left) == {d for d, n, gone, _ in expected if not gone or gone < n}
+    for d, _, gone, digest in expected:
+        if d in left:
+            assert (hashlib.sha256(left[d].encode()).hexdigest() == digest) if gone else (left[d] == whole[d])
+
+
 def test_language_held_out(spark):
     folder = SMALL.replace("0.001", "0.01")
     out = queries.op4_language(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tallyrank.llm import words as W
-from tallyrank.llm.fm_index import FMIndex
+from tallyrank.llm.fm_index import DEPTH, FMIndex
 
 TEXTS = ["a b  c", "", None, "héllo\nwörld x", "  ", "ABC-def 9", "x" * 50, "ab c" * 300, "\x00\x7f日本 é"]
 
@@ -63,6 +63,23 @@ def test_matching_statistics():
                 assert least[at + i] == (min(having) if len(p) - i >= window and having else 2**63 - 1)
 
 
+def test_matches_longer_than_the_order_of_suffixes():
+    rng = np.random.default_rng(4)
+    for sigma, n in ((900, 400), (3, 500)):
+        text = rng.integers(1, sigma, n)
+        text[n // 2] = 0
+        owners = np.repeat([3, 5], [n // 2, n - n // 2])
+        index = FMIndex(text, sigma, owners, 50)
+        for k in (125, 126, 127, 128, 130, 150, 199):
+            pattern = np.concatenate([rng.integers(1, sigma, 9), text[:k], text[n // 2 + 1 :][:k]])
+            lengths, least = index.matching_statistics(pattern, np.array([0, len(pattern)]))
+            for i in range(len(pattern)):
+                best = max(next((m for m in range(len(pattern) - i) if j + m >= n or text[j + m] != pattern[i + m]), len(pattern) - i) for j in range(n))
+                assert lengths[i] == min(best, DEPTH - 2)
+                having = [owners[j] for j in range(n - 49) if text[j : j + 50].tolist() == pattern[i : i + 50].tolist()]
+                assert least[i] == (min(having) if having else 2**63 - 1)
+
+
 def complements(n):
     """A sequence of two letters and its complement that any sum over powers of an odd number modulo 2**64 confuses."""
     bits = [bin(i).count("1") & 1 for i in range(n)]
