@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_FOLDER = "/tmp/checkpoints"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one on this machine only where all of Spark runs here."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return LOCAL_FOLDER
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the folder of spark.checkpoint.dir, which survives lost executors."""
+    """The same rows, kept in the shared folder, which survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.text import tokens as tokens_of
 from ..functions.vectors import chunks, unit
-from ..operators import bm25, dense, factors, graph, history, metrics, neighbours, significance
+from ..operators import bm25, dense, factors, graph, history, metrics, neighbours, pairwise, significance
+from ..operators.lineage import cut
 from . import builders
 from .queries import query
-from .tables import INTERACTIONS, PART_DOCS, PART_TAGS, corpus, part_docs, part_tags, passages, q, table, tokens, vectors
+from .tables import INTERACTIONS, PART_DOCS, PART_TAGS, corpus, draw_int, part_docs, part_tags, passages, q, table, tokens, vectors
 from .tables import interactions as rows_of
 
 W = f"WITH {INTERACTIONS}"
@@ -314,10 +315,93 @@ def nmf_train(spark, d):
     return users.select("user", F.size("factors").alias("rank"), (F.array_min("factors") >= 0).alias("nonnegative"))
 
 
+# users' and items' codes, and an item that the user does not have for each pair
+CODED = """ip AS (SELECT DISTINCT "user", item FROM i), uc AS (SELECT "user", row_number() OVER (ORDER BY "user") - 1 AS u FROM (SELECT DISTINCT "user" FROM ip)), ic AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS i FROM (SELECT DISTINCT item FROM ip)),
+c AS MATERIALIZED (SELECT u, i FROM ip JOIN uc USING ("user") JOIN ic USING (item)), m AS (SELECT count(*) AS m FROM ic)"""
+
+
+def _turn(turn: str) -> str:
+    return f"{draw_int(42, '0', 'u', 'i', turn)} % (SELECT m FROM m)"
+
+
+DRAWN = f"""d0 AS (SELECT u, i, turn, {_turn('turn')} AS j FROM c, (SELECT unnest(range(0, 8)) AS turn)), f0 AS (SELECT u, i, arg_min(j, turn) AS j FROM d0 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.u = d0.u AND c.i = d0.j) GROUP BY 1, 2),
+r0 AS (SELECT u, i FROM c WHERE NOT EXISTS (SELECT 1 FROM f0 WHERE f0.u = c.u AND f0.i = c.i)), lack AS (SELECT u, x.i AS j, row_number() OVER (PARTITION BY u ORDER BY x.i) - 1 AS r, count(*) OVER (PARTITION BY u) AS n FROM (SELECT DISTINCT u FROM r0) y, ic x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.u = y.u AND c.i = x.i)),
+n0 AS (SELECT * FROM f0 UNION ALL SELECT r0.u, r0.i, l.j FROM r0 JOIN lack l ON l.u = r0.u AND l.r = {draw_int(42, '0', 'r0.u', 'r0.i', "'rest'")} % l.n)"""
+
+
+def _few_items(spark, d):
+    """Interactions with items folded to 60, so that there are users who have most of them."""
+    return rows_of(spark, d).withColumn("item", F.col("item") % 60)
+
+
+FEW = INTERACTIONS.replace("l_partkey AS item", "l_partkey % 60 AS item")
+
+
+@query(f"""WITH {FEW}, {CODED}, {DRAWN} SELECT "user", a.item, b.item AS negative FROM n0 JOIN uc USING (u) JOIN ic a ON a.i = n0.i JOIN ic b ON b.i = n0.j""")
+def pair_negatives(spark, d):
+    c = pairwise.coded(_few_items(spark, d))
+    found = pairwise.negatives(c.pairs, c.m)
+    return found.join(c.users, "u").join(c.items, "i").join(c.items.select(F.col("i").alias("j"), F.col("item").alias("negative")), "j").select("user", "item", "negative")
+
+
+@query(f"""{W}, {CODED}, d0 AS (SELECT u, i, turn, {_turn('turn')} AS j FROM c, (SELECT unnest(range(1, 11)) AS turn)),
+us AS (SELECT u, {FIXED.format(x='u')} AS f FROM uc), vs AS (SELECT i, {FIXED.format(x='i')} AS f FROM ic),
+sc AS (SELECT us.u, vs.i, {q('f1 + f2 + f3 + f4', 9)} AS s FROM (SELECT u, i, us.f[1] * vs.f[1] AS f1, us.f[2] * vs.f[2] AS f2, us.f[3] * vs.f[3] AS f3, us.f[4] * vs.f[4] AS f4 FROM us, vs) JOIN us USING (u) JOIN vs USING (i)),
+near AS (SELECT d0.* FROM d0 JOIN sc a ON a.u = d0.u AND a.i = d0.i JOIN sc b ON b.u = d0.u AND b.i = d0.j WHERE b.s > a.s - 0.1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.u = d0.u AND c.i = d0.j)),
+v AS (SELECT u, i, min(turn) AS trials, arg_min(j, turn) AS j FROM near GROUP BY 1, 2)
+SELECT "user", a.item, b.item AS negative, trials::INTEGER AS trials, {q('least(10.0, ln(greatest(1.0, floor(((SELECT m FROM m) - 1) / trials))))')} AS weight FROM v JOIN uc USING (u) JOIN ic a ON a.i = v.i JOIN ic b ON b.i = v.j""")
+def warp_violations(spark, d):
+    c = pairwise.coded(rows_of(spark, d))
+    side = lambda codes, key: codes.select(key, *[(((F.col(key) * j) % 7 - 3) / 10.0).alias(f"x{j}") for j in range(1, 5)])
+    found = pairwise.violations(c.pairs, side(c.users, "u"), side(c.items, "i"), [f"x{j}" for j in range(1, 5)], c.m, margin=0.1)
+    named = found.join(c.users, "u").join(c.items, "i").join(c.items.select(F.col("i").alias("j"), F.col("item").alias("negative")), "j")
+    return named.select("user", "item", "negative", "trials", S.quantised("weight").alias("weight"))
+
+
+def _smoothed(out: str, state: str) -> str:
+    """A relation (node, at_, x) smoothed over two layers with equal weights."""
+    layer = lambda name, of: f"{name} AS MATERIALIZED (SELECT src AS node, at_, sum(weight * x) AS x FROM g JOIN {of} ON dst = node GROUP BY 1, 2)"
+    return f"{layer(out + '1', state)}, {layer(out + '2', out + '1')}, {out} AS MATERIALIZED (SELECT node, at_, sum(x) / 3 AS x FROM (SELECT * FROM {state} UNION ALL SELECT * FROM {out}1 UNION ALL SELECT * FROM {out}2) GROUP BY 1, 2)"
+
+
+@query(f"""{W}, {CODED}, one AS (SELECT 2 * u AS src, 2 * i + 1 AS dst FROM c), both_ AS (SELECT * FROM one UNION ALL SELECT dst, src FROM one), deg AS (SELECT src, count(*)::DOUBLE AS d FROM both_ GROUP BY 1),
+g AS MATERIALIZED (SELECT b.src, b.dst, 1.0 / sqrt(x.d * y.d) AS weight FROM both_ b JOIN deg x ON x.src = b.src JOIN deg y ON y.src = b.dst),
+e0 AS MATERIALIZED (SELECT src AS node, unnest([1, 2, 3, 4]) AS at_, ((src * unnest([1, 2, 3, 4])) % 7 - 3) / 10.0::DOUBLE AS x FROM deg), {_smoothed('e', 'e0')},
+t AS MATERIALIZED (SELECT u, i, (7 * i + u + 1) % (SELECT m FROM m) AS j FROM c),
+dif AS MATERIALIZED (SELECT t.*, x.at_, x.x AS ux, y.x AS ix, z.x AS jx FROM t JOIN e x ON x.node = 2 * u JOIN e y ON y.node = 2 * i + 1 AND y.at_ = x.at_ JOIN e z ON z.node = 2 * j + 1 AND z.at_ = x.at_),
+sl AS MATERIALIZED (SELECT u, i, j, (1 / (1 + exp(-sum(ux * (ix - jx)))) - 1) / (SELECT count(*) FROM t) AS slope, ln(1 + exp(-sum(ux * (ix - jx)))) / (SELECT count(*) FROM t) AS loss FROM dif GROUP BY 1, 2, 3),
+gr AS MATERIALIZED (SELECT node, at_, sum(x) AS x FROM (SELECT 2 * u AS node, at_, slope * (ix - jx) AS x FROM dif JOIN sl USING (u, i, j) UNION ALL SELECT 2 * i + 1, at_, slope * ux FROM dif JOIN sl USING (u, i, j) UNION ALL SELECT 2 * j + 1, at_, -slope * ux FROM dif JOIN sl USING (u, i, j)) GROUP BY 1, 2), {_smoothed('b', 'gr')},
+n AS (SELECT node, count(*) AS n FROM (SELECT 2 * u AS node FROM t UNION ALL SELECT 2 * i + 1 FROM t UNION ALL SELECT 2 * j + 1 FROM t) GROUP BY 1), ls AS (SELECT 2 * u AS node, sum(loss) AS loss FROM sl GROUP BY 1),
+reg AS (SELECT node, at_, 0.5 / (SELECT count(*) FROM t) * n * x AS x FROM n JOIN e0 USING (node)), al AS (SELECT node, at_, sum(x) AS x FROM (SELECT * FROM b UNION ALL SELECT * FROM reg) GROUP BY 1, 2)
+SELECT node, {q('1e3 * coalesce(any_value(loss), 0)')} AS loss, {', '.join(f"{q(f'1e3 * sum(x) FILTER (WHERE at_ = {k})')} AS g{k}" for k in range(1, 5))} FROM al LEFT JOIN ls USING (node) GROUP BY node""")
+def graph_gradient(spark, d):
+    """A thousand times the gradient of the pairwise loss, by the vectors that two layers smooth."""
+    c = pairwise.coded(rows_of(spark, d))
+    names = [f"x{j}" for j in range(1, 5)]
+    edges = cut(pairwise.item_graph(c.pairs))
+    nodes = edges.select(F.col("src").alias("node")).distinct()
+    state = nodes.select("node", *[(((F.col("node") * j) % 7 - 3) / 10.0).alias(f"x{j}") for j in range(1, 5)])
+    triples = c.pairs.select(pairwise.user_node("u").alias("u"), pairwise.item_node("i").alias("i"), (((7 * F.col("i") + F.col("u") + 1) % c.m) * 2 + 1).alias("j"))
+    found = pairwise.state_gradient(cut(triples), cut(state), edges, names, [1 / 3] * 3, triples.count(), 0.5)
+    return found.select("node", *[S.quantised(F.col(x) * 1e3).alias(name) for x, name in [("loss", "loss"), *((f"g_x{j}", f"g{j}") for j in range(1, 5))]])
+
+
+@query(None)
+def graph_train(spark, d):
+    found = pairwise.train(rows_of(spark, d), dim=8, layers=2, epochs=4, rate=0.1, reg=1e-4)
+    return spark.createDataFrame(list(enumerate(found.losses, 1)), "epoch int, loss double")
+
+
+@query(None)
+def warp_train(spark, d):
+    found = pairwise.train(rows_of(spark, d), dim=8, epochs=3, loss="warp", optimiser="adagrad", bias=True)
+    return found.items
+
+
 @query(None)
 def bpr_train(spark, d):
-    users, items = factors.train_bpr(rows_of(spark, d), dim=8, epochs=1)
-    return users.select(F.lit("user").alias("kind"), F.col("user").alias("id"), "factors").unionByName(items.select(F.lit("item").alias("kind"), F.col("item").alias("id"), "factors"))
+    found = pairwise.train(rows_of(spark, d), dim=8, epochs=2)
+    return found.users.select(F.lit("user").alias("kind"), F.col("user").alias("id"), "factors").unionByName(found.items.select(F.lit("item").alias("kind"), F.col("item").alias("id"), "factors"))
 
 
 @query(f"""WITH f AS (SELECT event_id, [value / 100.0::DOUBLE, (user_id % 10) / 10.0::DOUBLE, (event_id % 3)::DOUBLE] AS x FROM events)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot
-from ..operators import factors, graph, interactions, neighbours
+from ..operators import factors, graph, interactions, neighbours, pairwise
 from ..operators.lineage import cut
 from ..sources.readers import plain_name
 
@@ -164,36 +164,50 @@ def _cold(params: Model, default: float = -1e9) -> float:
 
 @register_model("lightfm", "LightFMModel")
 class PairwiseFactors(Model):
-    """Factors by pairwise ranking of seen over drawn items; unknown users and items get the cold-start score."""
+    """Factors and item biases by pairwise ranking of seen over drawn items, by violations unless `loss` is bpr. A user or an
+    item without train rows gets minus infinity, or `cold_start_score`."""
 
-    tables = ("users", "items")
+    tables = ("users", "items", "losses")
 
     def fit(self, train):
-        p = self.positive(train)
-        users, items = factors.train_bpr(p, int(self.take("no_components", self.take("factors", 16))), int(self.take("epochs", 3)), float(self.take("learning_rate", 0.05)), float(self.take("reg", 1e-4)), int(self.take("seed", 42)))
-        zero = lambda f: f.withColumn("bias", F.lit(0.0))
-        return {"users": zero(users), "items": zero(items)}
+        found = pairwise.train(
+            self.positive(train), int(self.take("embedding_dim", self.take("no_components", 64))), 0, int(self.take("epochs", 10)), int(self.take("batches", 1)), float(self.take("learning_rate", 0.05)),
+            float(self.take("item_alpha", self.take("reg", 0.0))), str(self.take("loss", "warp")), "adagrad", None, True, int(self.take("seed", 42)), int(self.take("max_sampled", pairwise.MOST_DRAWS)),
+        )
+        return {"users": found.users, "items": found.items, "losses": _losses(train, found)}
 
     def score(self, pairs, tables, train):
-        met = pairs.join(tables["users"].select("user", F.col("factors").alias("__u")), "user", "left").join(tables["items"].select("item", F.col("factors").alias("__v")), "item", "left")
-        return met.select(*pairs.columns, F.coalesce(dot("__u", "__v"), F.lit(_cold(self))).alias("score"))
+        met = pairs.join(tables["users"].select("user", F.col("factors").alias("__u")), "user", "left").join(tables["items"].select("item", F.col("factors").alias("__v"), F.col("bias").alias("__b")), "item", "left")
+        cold = _cold(self) if "cold_start_score" in self.params else float("-inf")
+        return met.select(*pairs.columns, F.coalesce(dot("__u", "__v") + F.col("__b"), F.lit(cold)).alias("score"))
+
+
+def _losses(train: DataFrame, found: pairwise.Trained) -> DataFrame:
+    return train.sparkSession.createDataFrame(list(enumerate(found.losses, 1)), "epoch int, loss double")
 
 
 @register_model("lightgcn", "LightGCNModel")
 class GraphFactors(Model):
-    """Pairwise-ranked embeddings propagated over the graph of users and items; the mean of all layers scores. The
-    embeddings are trained before they are propagated, not through the layers."""
+    """Embeddings trained by pairwise ranking through the layers of the graph of users and items; the (weighted) mean of all layers
+    scores. An unknown user or item gets `cold_start_score`: neg_inf, zero, or popularity for a known item."""
 
-    tables = ("vectors",)
+    tables = ("users", "items", "popular", "losses")
 
     def fit(self, train):
         p = self.positive(train)
-        users, items = factors.train_bpr(p, int(self.take("embedding_dim", 32)), int(self.take("epochs", 1)), float(self.take("learning_rate", 0.05)), float(self.take("reg_weight", 1e-4)), int(self.take("seed", 42)))
-        node = lambda f, key: f.select(F.concat(F.lit(key[0]), F.col(key).cast("string")).alias("node"), F.col("factors").alias("vector"))
-        return {"vectors": graph.propagate(graph.edges(p), node(users, "user").unionByName(node(items, "item")), int(self.take("n_layers", 2)))}
+        found = pairwise.train(
+            p, int(self.take("embedding_dim", 64)), int(self.take("n_layers", 3)), int(self.take("epochs", 100)), int(self.take("batches", 1)), float(self.take("learning_rate", 1e-3)),
+            float(self.take("reg_weight", 1e-4)), "bpr", "adam", self.take("layer_weights", None), False, int(self.take("seed", 42)),
+        )
+        return {"users": found.users, "items": found.items, "popular": interactions.popularity(p.select("user", "item").distinct()), "losses": _losses(train, found)}
 
     def score(self, pairs, tables, train):
-        return graph.score(pairs, tables["vectors"], _cold(self))
+        met = pairs.join(tables["users"].select("user", F.col("factors").alias("__u")), "user", "left").join(tables["items"].select("item", F.col("factors").alias("__v")), "item", "left")
+        out = dot("__u", "__v")
+        if self.take("cold_start_score", "neg_inf") == "popularity":
+            met = met.join(tables["popular"].select("item", F.col("popularity").alias("__p")), "item", "left")
+            return met.select(*pairs.columns, F.coalesce(out, F.col("__p"), F.lit(0.0)).alias("score"))
+        return met.select(*pairs.columns, F.coalesce(out, F.lit(_cold(self))).alias("score"))
 
 
 @register_model("deepfm", "DeepFMModel", "fm")
