@@ -164,24 +164,10 @@ def reconstructed(coded: DataFrame, centroids: list[list[float]], means: list[li
 
 
 def fit_centroids(tokens: DataFrame, k: int, sample: int = 300_000, seed: int = 0, vector: str = "vector") -> list[list[float]]:
-    """k-means centres of at most `sample` tokens."""
+    """k-means centres of at most `sample` tokens, those of the least hashes: the same ones on any partitions."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = tokens.count()
-    rows = tokens.sample(fraction=min(1.0, sample / max(1, n)), seed=seed) if n > sample else tokens
+    rows = tokens.orderBy(F.xxhash64(F.lit(seed), *tokens.columns)).limit(sample)
     model = KMeans(k=k, seed=seed, featuresCol="f", maxIter=10).fit(rows.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("f")))
     return [list(map(float, c)) for c in model.clusterCenters()]
-
-
-def approximate(queries: DataFrame, docs: DataFrame, k: int, bucket: float = 2.0, tables: int = 6, threshold: float = 1.5, seed: int = 0) -> DataFrame:
-    """Approximate neighbours of normalised vectors by random projections, then exact cosines of those met."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    as_vector = lambda df, key: df.select(F.col(key).alias("id"), unit("vector").alias("v")).withColumn("f", array_to_vector("v"))
-    q, d = as_vector(queries, "qid"), as_vector(docs, "doc_id")
-    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(d)
-    near = model.approxSimilarityJoin(q, d, threshold, distCol="distance")
-    scored = near.select(F.col("datasetA.id").alias("qid"), F.col("datasetB.id").alias("doc_id"), quantised(1 - F.col("distance") * F.col("distance") / 2).alias("score"))
-    return best(scored, k)

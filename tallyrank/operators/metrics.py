@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,13 +85,34 @@ def evaluate(scored: DataFrame, ks: list[int], names: list[str] | None = None, g
     return rows.select(F.explode(F.array(*entries)).alias("e")).groupBy("e.K", "e.Metric").agg(F.avg("e.v").alias("Value"))
 
 
-def pooled(scored: DataFrame, ks: list[int]) -> DataFrame:
-    """Metrics of one list that all rows form, ranked without a window over all rows: only the best max(ks) are ordered."""
-    rows = scored.withColumn("y_true", finite("y_true", 0.0)).withColumn("y_pred", finite("y_pred", -1e30))
-    totals = rows.agg(F.count("*").alias("n"), F.sum((F.col("y_true") > 0).cast("int")).alias("hits")).first()
-    best = rows.orderBy(F.desc("y_pred"), "item").limit(max(ks)).withColumn("gid", F.lit(0))  # at most max(ks) rows
-    top = ranked(best)
-    out = [F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"h{k}") for k in ks]
-    row = top.agg(*out)
-    entries = [F.struct(F.lit(k).alias("K"), (F.col(f"h{k}") / min(k, max(1, totals["n"]))).alias("PRECISION"), (F.col(f"h{k}") / max(1, totals["hits"] or 0)).alias("RECALL")) for k in ks]
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+def pooled(scored: DataFrame, ks: list[int], names: list[str] | None = None) -> DataFrame:
+    """K, Metric, Value of the one list that all rows form, by score, then item, then group.
+
+    No window goes over all rows: the first max(ks) by score and by label are taken by partial sorts, and the rank of the first
+    hit is one more than the number of rows before it."""
+    wanted = [n for n in (x.upper() for x in (names or NAMES)) if n in NAMES]
+    tail = ["item", "gid"] if "gid" in scored.columns else ["item"]
+    rows = scored.withColumn("y_true", finite("y_true", 0.0)).withColumn("y_pred", finite("y_pred", -1e30)).withColumn("hit", (F.col("y_true") > 0).cast("int")).select("y_true", "y_pred", "hit", *tail)
+    n, every = rows.agg(F.count("*"), F.sum("hit")).first()
+    most = max(ks)
+    top = [(r["y_true"], r["hit"]) for r in rows.orderBy(F.desc("y_pred"), *tail).limit(most).collect()]  # max(ks) rows
+    ideal = [r["y_true"] for r in rows.orderBy(F.desc("y_true"), *tail).limit(most).collect()]
+    first = rows.where("hit = 1").orderBy(F.desc("y_pred"), *tail).limit(1).collect()
+    place = 0
+    if first:
+        before, same = F.col("y_pred") > F.lit(first[0]["y_pred"]), F.col("y_pred") == F.lit(first[0]["y_pred"])
+        for c in tail:
+            before, same = before | (same & (F.col(c) < F.lit(first[0][c]))), same & (F.col(c) == F.lit(first[0][c]))
+        place = rows.where(before).count() + 1
+    out = []
+    for k in ks:
+        hits = [h for _, h in top[:k]]
+        precise = [sum(hits[: i + 1]) / (i + 1) for i, h in enumerate(hits) if h]
+        gained = lambda labels: sum(y / math.log2(i + 2) for i, y in enumerate(labels[:k]))  # noqa: B023, E731
+        best = gained(ideal)
+        found = {
+            "PRECISION": sum(hits) / min(k, n) if n else 0.0, "RECALL": sum(hits) / every if every else 0.0, "MRR": 1.0 / place if place else 0.0,
+            "MAP": sum(precise) / len(precise) if precise else 0.0, "NDCG": gained([y for y, _ in top]) / best if best > 0 else 0.0,
+        }
+        out += [(k, name, float(found[name])) for name in wanted]
+    return scored.sparkSession.createDataFrame(out, "K int, Metric string, Value double")

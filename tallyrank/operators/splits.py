@@ -85,17 +85,20 @@ def capped(df: DataFrame, n: int, seed: int, group: str, *keys: str) -> DataFram
     return df.withColumn("__draw", F.row_number().over(order)).where(F.col("__draw") <= n).drop("__draw")
 
 
-def negatives(seen: DataFrame, items: DataFrame, n: int | None, seed: int, tries: int = 3) -> DataFrame:
+def negatives(seen: DataFrame, items: DataFrame, n: int | None, seed: int, tries: int = 3, exclude: bool = True) -> DataFrame:
     """n items for each user that the user has no row with, or all such items where there are fewer or n is None.
 
     Items are coded 0 .. m - 1; for each user tries * n hashed codes are drawn, repeats and seen items dropped, and
     the first n kept in the order of drawing. Users who are then short of n have seen most items, or there are few:
     theirs are filled up from all their unseen items in hashed order. So the cost is users * n, and for those users a
-    multiple of the rows they have or of n. Only n = None makes the product of users and items.
+    multiple of the rows they have or of n. Only n = None makes the product of users and items. Without `exclude` all items
+    count as such, also those that the user has.
     """
     m = items.count()
     users = seen.select("user").distinct()
     known = seen.select("user", "item").distinct()
+    if not exclude:
+        known = known.limit(0)
     hashed = [draw(seed, "user", "item"), F.col("item")]
 
     def unseen(of: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.text import tokens as tokens_of
 from ..functions.vectors import chunks, unit
-from ..operators import bm25, dense, factors, graph, history, metrics, neighbours, pairwise, significance
+from ..operators import alternating, ann, bm25, dense, factors, graph, history, metrics, neighbours, pairwise, significance
 from ..operators.lineage import cut
 from . import builders
 from .queries import query
@@ -245,10 +245,27 @@ def residual_quantise(spark, d):
     return rebuilt.select("doc_id", "place", "code", S.quantised(error).alias("error"))
 
 
+CELLS_SQL = f"""u AS MATERIALIZED (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings WHERE len(embedding) > 0),
+cell AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('0|' || doc_id::VARCHAR), doc_id) - 1 AS cell, v AS c FROM u ORDER BY md5('0|' || doc_id::VARCHAR), doc_id LIMIT 16),
+near AS MATERIALIZED (SELECT doc_id, v, cell, row_number() OVER (PARTITION BY doc_id ORDER BY floor(list_dot_product(v, c) * 1e9 + 0.5) DESC, cell) AS place FROM u, cell)"""
+
+
+@query(f"""WITH {CELLS_SQL}, met AS (SELECT a.doc_id AS qid, b.doc_id, {q('list_dot_product(a.v, b.v)')} AS score FROM near a JOIN near b ON a.cell = b.cell AND b.place = 1 WHERE a.place <= 5 AND a.doc_id % 20 = 0)
+SELECT qid, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM met) WHERE rank <= 10""")
+def dense_cells(spark, d):
+    """Search in the lists of the five nearest of sixteen cells, which are vectors of the table."""
+    rows = vectors(spark, d)
+    return ann.search(rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vector"), ann.build(rows, 16, 0), 10, 5)
+
+
 @query(None)
 def dense_approximate(spark, d):
+    """The ten nearest by the inverted file with as many probes as a sample of queries needs, and the share of each query's exact ten that is among them."""
     rows = vectors(spark, d)
-    return dense.approximate(rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vector"), rows, 10)
+    asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vector")
+    index = ann.build(rows)
+    found = ann.search(asked, index, 10, ann.tuned_probes(asked, index, rows, 10, 0.93))
+    return found.join(ann.recall(found, dense.search(asked, rows, 10)), "qid", "left")
 
 
 # --- factors and graphs ---------------------------------------------------------------------------------------------
@@ -296,9 +313,23 @@ def nmf_score(spark, d):
 
 @query(None)
 def als_train(spark, d):
-    rows = neighbours.merged(rows_of(spark, d)).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "label")
-    users, items, mean = factors.train_biased_als(rows, rank=8, iterations=5)
-    return factors.rmse(factors.score(rows, users, items, mean))
+    """The error of each sweep, and whether it is the one that is kept."""
+    found = alternating.fit(neighbours.merged(rows_of(spark, d)), rank=8, sweeps=4)
+    return spark.createDataFrame([(i, e, i == found.kept) for i, e in enumerate(found.errors, 1)], "sweep int, rmse double, kept boolean")
+
+
+TWO = "(({x} * {j}) % 7 - 3) / 10.0::DOUBLE"
+
+
+@query(f"""{W}, {MERGED}, mu AS (SELECT avg(label) AS mean FROM m), vf AS (SELECT item, {TWO.format(x='item', j=1)} AS a, {TWO.format(x='item', j=2)} AS b, (item % 3 - 1) / 5.0::DOUBLE AS bias FROM (SELECT DISTINCT item FROM m)),
+s AS (SELECT "user", 0.1::DOUBLE * count(*) AS reg, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * (label - mean - bias)) AS ya, sum(b * (label - mean - bias)) AS yb FROM m JOIN vf USING (item), mu GROUP BY 1)
+SELECT "user", {q('((bb + reg) * ya - ab * yb) / ((aa + reg) * (bb + reg) - ab * ab)')} AS f1, {q('((aa + reg) * yb - ab * ya) / ((aa + reg) * (bb + reg) - ab * ab)')} AS f2 FROM s""")
+def als_half_sweep(spark, d):
+    rows = neighbours.merged(rows_of(spark, d))
+    two = F.array(*[((F.col("item") * j) % 7 - 3) / 10.0 for j in (1, 2)])
+    items = rows.select("item").distinct().select("item", two.alias("factors"), ((F.col("item") % 3 - 1) / 5.0).alias("bias"))
+    found = alternating.half_sweep(rows, items, "user", "item", 2, factors.global_mean(rows), 0.1, True)
+    return found.select("user", S.quantised(F.col("factors")[0]).alias("f1"), S.quantised(F.col("factors")[1]).alias("f2"))
 
 
 @query(None)
@@ -310,9 +341,22 @@ def ridge_solve(spark, d):
 
 @query(None)
 def nmf_train(spark, d):
-    rows = factors.scaled_labels(neighbours.merged(rows_of(spark, d))).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "label")
-    users, _ = factors.train_als(rows, rank=8, iterations=5, nonnegative=True)
-    return users.select("user", F.size("factors").alias("rank"), (F.array_min("factors") >= 0).alias("nonnegative"))
+    rows = factors.scaled_labels(neighbours.merged(rows_of(spark, d)))
+    found = alternating.fit_nonnegative(rows, rank=8, iterations=4, tolerance=0.0)
+    return found.users.select("user", F.size("factors").alias("rank"), (F.array_min("factors") >= 0).alias("nonnegative"))
+
+
+ONES = "(({x} * {j}) % 7 + 1) / 10.0::DOUBLE"
+
+
+@query(f"""{W}, {MERGED}, w AS (SELECT "user", {ONES.format(x='"user"', j=1)} AS a, {ONES.format(x='"user"', j=2)} AS b FROM (SELECT DISTINCT "user" FROM m)), h AS (SELECT item, {ONES.format(x='item', j=1)} AS a, {ONES.format(x='item', j=2)} AS b FROM (SELECT DISTINCT item FROM m)),
+g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM h), x AS (SELECT "user", sum(label * a) AS a, sum(label * b) AS b FROM m JOIN h USING (item) GROUP BY 1)
+SELECT "user", {q('w.a * x.a / (w.a * aa + w.b * ab + 0.5 * w.a + 0.25)')} AS f1, {q('w.b * x.b / (w.a * ab + w.b * bb + 0.5 * w.b + 0.25)')} AS f2, {q('w.a * x.a + w.b * x.b')} AS cross_sum FROM w JOIN x USING ("user"), g""")
+def nmf_step(spark, d):
+    rows = neighbours.merged(rows_of(spark, d))
+    side = lambda k: rows.select(k).distinct().select(k, F.array(*[((F.col(k) * j) % 7 + 1) / 10.0 for j in (1, 2)]).alias("factors"))
+    found = alternating.multiplied(rows, side("user"), side("item"), "user", "item", alternating.gram(side("item"), 2), 0.25, 0.5)
+    return found.select("user", S.quantised(F.col("factors")[0]).alias("f1"), S.quantised(F.col("factors")[1]).alias("f2"), S.quantised("cross").alias("cross_sum"))
 
 
 # users' and items' codes, and an item that the user does not have for each pair

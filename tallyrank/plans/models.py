@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot
-from ..operators import factors, graph, interactions, neighbours, pairwise
+from ..operators import alternating, factors, graph, interactions, neighbours, pairwise
 from ..operators.lineage import cut
 from ..sources.readers import plain_name
 
@@ -43,18 +43,6 @@ class Model:
         return interactions.positives(train, float(self.take("positive_threshold", 0.0)), fallback=True)
 
 
-def coded(train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows with integer users and items, and the codes of both: ids may be of any type."""
-    users = interactions.encoded(train.select("user").distinct(), "user", "ucode").select("user", F.col("ucode").cast("int"))
-    items = interactions.encoded(train.select("item").distinct(), "item", "icode").select("item", F.col("icode").cast("int"))
-    rows = train.join(users, "user").join(items, "item").select(F.col("ucode").alias("user"), F.col("icode").alias("item"), "label")
-    return rows, users, items
-
-
-def named(found: DataFrame, codes: DataFrame, key: str, code: str) -> DataFrame:
-    return found.withColumnRenamed(key, code).join(codes, code).drop(code)
-
-
 MODELS: dict[str, type[Model]] = {}
 
 
@@ -105,30 +93,24 @@ class ItemNeighbours(Model):
 
 @register_model("als", "ALSModel")
 class Als(Model):
-    """Factors of what mean and biases leave over. Iterations double from `iterations` / 4 up; fitting stops when the error
-    on rows kept apart by hash no longer falls, and the best factors stay."""
+    """Factors and biases by alternating solutions. With `early_stopping` a twentieth of the rows, by hash, is kept apart, and the sweep
+    with the least error on it is kept; otherwise the one with the least error on the train rows."""
 
     tables = ("users", "items", "mean", "popular")
 
     def fit(self, train):
-        rows, users, items = coded(neighbours.merged(train))
-        rows = cut(rows)
-        kept, least = None, float("inf")
-        apart = F.pmod(F.xxhash64("user", "item"), F.lit(20)) == 0
-        inner, outer = rows.where(~apart), rows.where(apart)
-        most, seed = int(self.take("iterations", 20)), int(self.take("seed", 42))
-        steps = sorted({max(1, most // 4), max(1, most // 2), most}) if self.take("early_stopping", False) else [most]
-        for n in steps:
-            found = factors.train_biased_als(inner if len(steps) > 1 else rows, int(self.take("factors", 64)), n, float(self.take("regularization", 0.1)), seed)
-            error = (factors.rmse(factors.score(outer, *found)).first()[0] or 0.0) if len(steps) > 1 else 0.0
-            if kept is not None and error >= least:
-                break
-            kept, least = found, error
-        uf, vf, mean = kept
-        return {
-            "users": named(uf, users, "user", "ucode"), "items": named(vf, items, "item", "icode"), "mean": train.sparkSession.createDataFrame([(float(mean),)], "mean double"),
-            "popular": interactions.popularity(train).orderBy(F.desc("n"), "item").limit(int(self.take("popular", 100))).select("item"),
-        }
+        rows, apart = neighbours.merged(train), None
+        if self.take("early_stopping", False):
+            held = F.pmod(F.xxhash64("user", "item"), F.lit(20)) == 0
+            rows = cut(rows)
+            rows, apart = rows.where(~held), rows.where(held)
+        found = alternating.fit(
+            rows, int(self.take("n_factors", self.take("factors", 64))), int(self.take("n_iterations", self.take("iterations", 20))), float(self.take("lambda_", self.take("regularization", 0.1))),
+            bool(self.take("use_biases", True)), bool(self.take("weighted_regularization", False)), float(self.take("subsample_fraction", 1.0)), float(self.take("prune_threshold", 0.0) or 0.0),
+            apart, int(self.take("early_stopping_patience", 3)), int(self.take("seed", 42)),
+        )
+        popular = interactions.popularity(train).orderBy(F.desc("n"), "item").limit(int(self.take("popular", 100))).select("item")
+        return {"users": found.users, "items": found.items, "mean": train.sparkSession.createDataFrame([(found.mean,)], "mean double"), "popular": popular}
 
     def score(self, pairs, tables, train):
         mean = tables["mean"].first()["mean"]
@@ -138,21 +120,18 @@ class Als(Model):
 
 @register_model("nmf", "NMFRecommender")
 class Nmf(Model):
-    """Non-negative factors; the best of `runs` starts by error on the train rows."""
+    """Non-negative factors by multiplicative updates; the best of `runs` starts by error over all cells."""
 
     tables = ("users", "items", "popular")
 
     def fit(self, train):
-        rows, users, items = coded(factors.scaled_labels(neighbours.merged(train), float(self.take("positive_threshold", 0.0))))
-        rows, best = cut(rows), None
-        zero = lambda f: f.withColumn("bias", F.lit(0.0))
-        for run in range(int(self.take("runs", 1))):
-            uf, vf = (zero(cut(f)) for f in factors.train_als(rows, int(self.take("factors", 64)), int(self.take("iterations", 20)), float(self.take("regularization", 0.1)), int(self.take("seed", 42)) + run, nonnegative=True))
-            error = factors.rmse(factors.score(rows, uf, vf, 0.0)).first()[0] or 0.0
-            if best is None or error < best[0]:
-                best = error, uf, vf
+        rows = factors.scaled_labels(neighbours.merged(train), float(self.take("positive_threshold", 0.0)))
+        found = alternating.fit_nonnegative(
+            rows, int(self.take("n_components", self.take("factors", 64))), int(self.take("max_iter", self.take("iterations", 20))), float(self.take("tol", 1e-4)), 0.0,
+            float(self.take("alpha_W", 0.0)), int(self.take("random_state", self.take("seed", 42))), int(self.take("n_runs", self.take("runs", 1))),
+        )
         popular = interactions.popularity(train).orderBy(F.desc("n"), "item").limit(int(self.take("popular", 100))).select("item")
-        return {"users": named(best[1], users, "user", "ucode"), "items": named(best[2], items, "item", "icode"), "popular": popular}
+        return {"users": alternating.with_bias(found.users.select("user", "factors")), "items": alternating.with_bias(found.items.select("item", "factors")), "popular": popular}
 
     def score(self, pairs, tables, train):
         return factors.cold_start(factors.score(pairs, tables["users"], tables["items"], 0.0), tables["users"], tables["items"], tables["popular"], 0.0)

@@ -202,6 +202,14 @@ def negatives_per_user(spark, d):
     return _negatives(spark, d, rows_of(spark, d))
 
 
+@query(f"""{W}, {UNSEEN.replace('unseen AS', 'never AS')}, draws AS (SELECT u."user", {draw_int(SEED, 'u."user"', 't.turn')} % (SELECT count(*) FROM codes) AS code, min(t.turn) AS turn FROM (SELECT DISTINCT "user" FROM i) u, (SELECT unnest(range({3 * N})) AS turn) t GROUP BY 1, 2)
+SELECT "user", item, place FROM (SELECT "user", item, row_number() OVER (PARTITION BY "user" ORDER BY turn) AS place FROM draws JOIN codes USING (code)) WHERE place <= {N}""")
+def negatives_unfiltered(spark, d):
+    """Drawn from all items, whether the user has them or not."""
+    items = interactions.encoded(table(spark, d, "part").select(F.col("p_partkey").alias("item")), "item", "code")
+    return splits.negatives(rows_of(spark, d), items, N, SEED, exclude=False)
+
+
 @query(f"""{W}, {UNSEEN} SELECT "user", count(*) AS n, sum(item)::BIGINT AS items FROM unseen GROUP BY 1""")
 def negatives_all(spark, d):
     items = interactions.encoded(table(spark, d, "part").select(F.col("p_partkey").alias("item")), "item", "code")
@@ -316,6 +324,23 @@ def _long(ks: list[int]) -> str:
     return " UNION ALL ".join(out)
 
 
+def _pooled_sql(ks: list[int]) -> str:
+    value = {
+        "PRECISION": "sum(hit) FILTER (WHERE rank <= {k})::DOUBLE / least({k}, count(*))",
+        "RECALL": "sum(hit) FILTER (WHERE rank <= {k})::DOUBLE / sum(hit)",
+        "MRR": "1.0 / min(rank) FILTER (WHERE hit = 1)",
+        "MAP": "coalesce(sum(upto / rank) FILTER (WHERE hit = 1 AND rank <= {k}) / count(*) FILTER (WHERE hit = 1 AND rank <= {k}), 0)",
+        "NDCG": "(sum(y_true / log2(rank + 1)) FILTER (WHERE rank <= {k})) / (sum(y_true / log2(ideal + 1)) FILTER (WHERE ideal <= {k}))",
+    }
+    return " UNION ALL ".join(f"SELECT {k} AS K, '{n}' AS Metric, {q(x.format(k=k))} AS Value FROM one" for k in ks for n, x in value.items())
+
+
+@query(f"""{SCORED}, one AS (SELECT *, sum(hit) OVER (ORDER BY rank) AS upto FROM (SELECT y_true, hit, row_number() OVER (ORDER BY y_pred DESC, item, gid) AS rank, row_number() OVER (ORDER BY y_true DESC, item, gid) AS ideal FROM rk)) {_pooled_sql([5, 50, 500])}""")
+def pooled_metrics(spark, d):
+    """All rows of all users as one list."""
+    return metrics.pooled(scored(spark, d), [5, 50, 500]).withColumn("Value", S.quantised("Value"))
+
+
 @query(f"{SCORED}{UPTO} {_long([5, 10])}")
 def metrics_long(spark, d):
     return metrics.evaluate(scored(spark, d), [5, 10], skip_empty=True).withColumn("Value", S.quantised("Value"))
