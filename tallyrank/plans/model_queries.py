@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.text import tokens as tokens_of
 from ..functions.vectors import chunks, unit
-from ..operators import alternating, ann, bm25, dense, factors, graph, history, metrics, neighbours, pairwise, significance
+from ..operators import alternating, ann, bm25, dense, factors, graph, history, late, metrics, neighbours, pairwise, significance
 from ..operators.lineage import cut
 from . import builders
 from .queries import query
@@ -245,6 +245,60 @@ def residual_quantise(spark, d):
     return rebuilt.select("doc_id", "place", "code", S.quantised(error).alias("error"))
 
 
+# token vectors of the masked tables: four bytes of the token's hash
+PIECES = r"""regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"""
+TOKENS = f"""dt AS (SELECT doc_id, unnest(list_concat(['[D]'], {PIECES})[1:180]) AS token FROM documents WHERE text IS NOT NULL),
+dk AS MATERIALIZED (SELECT DISTINCT doc_id, token FROM dt WHERE token = '[D]' OR NOT regexp_matches(token, '^[^\\s\\p{{L}}\\p{{N}}]$')),
+qo AS (SELECT item_id AS qid, list_concat(['[Q]'], {PIECES})[1:32] AS t FROM benchmark WHERE text IS NOT NULL),
+qt AS MATERIALIZED (SELECT qid, token, count(*) AS n FROM (SELECT qid, unnest(list_concat(t, list_resize(['[MASK]'], 32 - len(t), '[MASK]'))) AS token FROM qo) GROUP BY 1, 2),
+vec AS MATERIALIZED (SELECT token, list_transform([1, 3, 5, 7], lambda j: (('0x' || substr(md5(token), j, 2))::INTEGER - 127.5) / 128.0::DOUBLE) AS v FROM (SELECT token FROM dk UNION SELECT token FROM qt))"""
+
+
+def _token_vector(token):
+    h = F.md5(token)
+    return F.array(*[(F.conv(F.substring(h, j, 2), 16, 10).cast("double") - 127.5) / 128.0 for j in (1, 3, 5, 7)])
+
+
+@query(f"""WITH {TOKENS}, pair AS MATERIALIZED (SELECT a.token AS qtoken, b.token, list_dot_product(a.v, b.v) AS s FROM (SELECT DISTINCT token FROM qt) x JOIN vec a USING (token), (SELECT DISTINCT token FROM dk) y JOIN vec b USING (token)),
+top AS (SELECT qtoken, doc_id, greatest(0, max(s)) AS s FROM dk JOIN pair USING (token) GROUP BY 1, 2), sc AS (SELECT qid, doc_id, {q('sum(n * s)')} AS score FROM qt JOIN top ON top.qtoken = qt.token GROUP BY 1, 2)
+SELECT qid, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 5""")
+def maxsim_masked(spark, d):
+    """Benchmark texts padded to 32 tokens against documents of 180 tokens whose signs are masked."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", late.document_tokens("text").alias("t"))
+    docs = docs.select("doc_id", late.unmasked(F.transform("t.token", _token_vector), "t.keep").alias("vector"))
+    asked = table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("qid"), F.transform(late.query_tokens("text"), _token_vector).alias("vector"))
+    return dense.search(asked, docs, 5, score="max_sim")
+
+
+EDGES, MEANS = [-0.1, 0.0, 0.1], [-0.15, -0.05, 0.05, 0.15]
+BOOK = [[(1.0 if c == k else 0.0) * (0.2 if k < 8 else -0.2) for c in range(8)] for k in range(8)] + [[(-0.2 if c == k else 0.0) for c in range(8)] for k in range(8)]
+PACKED = f"""u AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings WHERE len(embedding) > 0),
+tok AS MATERIALIZED (SELECT doc_id, place, v[8 * place + 1 : 8 * place + 8] AS v FROM u, (SELECT unnest(range(0, 8)) AS place)), book AS (SELECT unnest({BOOK}) AS c, unnest(range(0, 16)) AS code),
+own AS (SELECT doc_id, place, any_value(v) AS v, arg_max(c, -code + 1000 * s) AS c, arg_max(code, -code + 1000 * s) AS code FROM (SELECT tok.*, c, code, floor(list_dot_product(v, c) * 1e9 + 0.5) AS s FROM tok, book) GROUP BY 1, 2),
+b AS MATERIALIZED (SELECT doc_id, place, v, c, code, list_transform(list_zip(v, c), lambda z: CASE WHEN z[1] - z[2] > 0.1 THEN 3 WHEN z[1] - z[2] > 0.0 THEN 2 WHEN z[1] - z[2] > -0.1 THEN 1 ELSE 0 END) AS b FROM own)"""
+
+
+def _packed(spark, d):
+    rows = vectors(spark, d).where(F.size("vector") > 0).select("doc_id", F.posexplode(chunks(unit("vector"), 8, 8)).alias("place", "vector"))
+    book = late.Book(BOOK, [EDGES] * 8, [MEANS] * 8)
+    return late.encoded(rows, book), book
+
+
+@query(f"""WITH {PACKED} SELECT doc_id, place::INTEGER AS place, code::INTEGER AS code, printf('%02X%02X', b[1] + 4 * b[2] + 16 * b[3] + 64 * b[4], b[5] + 4 * b[6] + 16 * b[7] + 64 * b[8]) AS packed FROM b""")
+def packed_codes(spark, d):
+    return _packed(spark, d)[0].select("doc_id", "place", "code", F.hex("packed").alias("packed"))
+
+
+@query(f"""WITH {PACKED}, r AS MATERIALIZED (SELECT doc_id, place, list_transform(list_zip(c, b), lambda z: z[1] + CASE z[2]::INTEGER WHEN 3 THEN 0.15 WHEN 2 THEN 0.05 WHEN 1 THEN -0.05 ELSE -0.15 END::DOUBLE) AS r FROM b),
+top AS (SELECT a.doc_id AS qid, a.place, r.doc_id, greatest(0, max(list_dot_product(a.v, r.r))) AS s FROM tok a, r WHERE a.doc_id % 50 = 0 GROUP BY 1, 2, 3), sc AS (SELECT qid, doc_id, {q('sum(s)')} AS score FROM top GROUP BY 1, 2)
+SELECT qid, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 5""")
+def packed_search(spark, d):
+    """Scores from codes and tables alone; the SQL rebuilds the vectors."""
+    coded, book = _packed(spark, d)
+    asked = vectors(spark, d).where("doc_id % 50 = 0").where(F.size("vector") > 0).select(F.col("doc_id").alias("qid"), chunks(unit("vector"), 8, 8).alias("vector"))
+    return late.packed_search(asked, coded, book, 5)
+
+
 CELLS_SQL = f"""u AS MATERIALIZED (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings WHERE len(embedding) > 0),
 cell AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('0|' || doc_id::VARCHAR), doc_id) - 1 AS cell, v AS c FROM u ORDER BY md5('0|' || doc_id::VARCHAR), doc_id LIMIT 16),
 near AS MATERIALIZED (SELECT doc_id, v, cell, row_number() OVER (PARTITION BY doc_id ORDER BY floor(list_dot_product(v, c) * 1e9 + 0.5) DESC, cell) AS place FROM u, cell)"""
