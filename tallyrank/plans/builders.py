@@ -128,27 +128,29 @@ def limited(asked: DataFrame, limit: int | None, seed: int = 42) -> DataFrame:
     return asked.orderBy(draw(seed, "query"), "query").limit(limit)
 
 
+def _as_users(docs: DataFrame, asked: DataFrame, text: str, k: int, dense_label: bool) -> DataFrame:
+    """The k best hits of each query as the interactions of a user. `docs` has doc_id and text, `asked` query and `text`."""
+    return bm25.retrieval_as_user(bm25.search(bm25.build(docs), docs, asked, k, "query", text), k, "query", dense_label)
+
+
 def retrieval_by_tag(docs: DataFrame, tags: DataFrame, k: int = 100, per_doc: int = 30, dense_label: bool = False, query_limit: int | None = None, max_docs: int | None = None, seed: int = 42) -> DataFrame:
     """Documents (item, text) get their heaviest tags as text; each tag is a query; hits become the tag's interactions."""
     best = interactions.top_per(tags, "item", per_doc, F.desc("weight"), "tag").groupBy("item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "tag"))), lambda s: s["tag"]), " ").alias("t"))
     docs = docs if max_docs is None else docs.orderBy("item").limit(max_docs)
     enriched = docs.join(best, "item", "left").select(F.col("item").alias("doc_id"), F.concat_ws(" ", "text", "t").alias("text"))
-    asked = limited(tags.select(F.col("tag").alias("query")).distinct(), query_limit, seed)
-    return bm25.retrieval_as_user(bm25.scores(bm25.build(enriched), asked, "query", "query"), k, "query", dense_label)
+    return _as_users(enriched, limited(tags.select(F.col("tag").alias("query")).distinct(), query_limit, seed), "query", k, dense_label)
 
 
 def retrieval_by_profile(df: DataFrame, docs: DataFrame, k: int = 100, items: int = 50, dense_label: bool = False, query_limit: int | None = None, seed: int = 42) -> DataFrame:
     """Each user's last items' texts are the query."""
     profiles = limited(history.profile_text(df, docs, items).select(F.col("user").alias("query"), "search_query"), query_limit, seed)
-    index = bm25.build(docs.select(F.col("item").alias("doc_id"), "text"))
-    return bm25.retrieval_as_user(bm25.scores(index, profiles, "query", "search_query"), k, "query", dense_label)
+    return _as_users(docs.select(F.col("item").alias("doc_id"), "text"), profiles, "search_query", k, dense_label)
 
 
 def retrieval_by_category(docs: DataFrame, categories: DataFrame, k: int = 100, least: int = 10, dense_label: bool = False, query_limit: int | None = None, seed: int = 42) -> DataFrame:
     """Categories with enough documents are the queries. `docs` has item and text, `categories` item and category."""
     asked = limited(interactions.min_count(categories, "category", least, distinct="item").select(F.col("category").alias("query")).distinct(), query_limit, seed)
-    index = bm25.build(docs.select(F.col("item").alias("doc_id"), "text"))
-    return bm25.retrieval_as_user(bm25.scores(index, asked, "query", "query"), k, "query", dense_label)
+    return _as_users(docs.select(F.col("item").alias("doc_id"), "text"), asked, "query", k, dense_label)
 
 
 def retrieval_by_relative_tag(docs: DataFrame, weights: DataFrame, least: float = 0.8, k: int = 100, per_doc: int = 30, min_items: int = 1, query_limit: int | None = None, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.text import STOP_WORDS
 from ..functions.text import tokens as tokens_of
 from ..functions.vectors import chunks, unit
 from ..operators import alternating, ann, bm25, dense, factors, graph, history, late, metrics, neighbours, pairwise, significance
@@ -51,7 +52,23 @@ def bm25_stats(spark, d):
 
 @query(f"{BM25} SELECT * FROM ranked WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return bm25.top_k(_bm25(spark, d), 10)
+    return bm25.search(bm25.build(corpus(spark, d)), corpus(spark, d), passages(spark, d), 10)
+
+
+STOPPED = "list_filter({x}, lambda t: NOT list_contains(" + str(STOP_WORDS) + ", t))"
+
+
+@query(f"{BM25.replace(tokens('text'), STOPPED.format(x=tokens('text')))} SELECT * FROM ranked WHERE rank <= 10")
+def bm25_stop_words(spark, d):
+    """Stop words left out of documents and queries."""
+    return bm25.search(bm25.build(corpus(spark, d), STOP_WORDS), corpus(spark, d), passages(spark, d), 10, stop_words=STOP_WORDS)
+
+
+@query(None)
+def bm25_stemmed(spark, d):
+    """As the search scorer does: without stop words, then stems. A test compares it with a plain loop."""
+    how = {"stop_words": STOP_WORDS, "stems": True}
+    return bm25.search(bm25.build(corpus(spark, d), **how), corpus(spark, d), passages(spark, d), 10, **how)
 
 
 # relevant: the document has the passage's first eight tokens in a row
@@ -81,7 +98,8 @@ SELECT k AS K, 'NDCG' AS Metric, {q('avg(v)')} AS Value FROM (SELECT gid, k, CAS
 UNION ALL SELECT k, 'PRECISION', {q('avg(v)')} FROM (SELECT gid, k, sum(CASE WHEN rank <= k THEN hit ELSE 0 END) / least(k, count(*)) AS v FROM rk, (VALUES (5), (10)) ks(k) GROUP BY 1, 2) GROUP BY 1
 UNION ALL SELECT k, 'RECALL', {q('avg(v)')} FROM (SELECT gid, k, CASE WHEN sum(hit) > 0 THEN sum(CASE WHEN rank <= k THEN hit ELSE 0 END) / sum(hit) ELSE 0 END AS v FROM rk, (VALUES (5), (10)) ks(k) GROUP BY 1, 2) GROUP BY 1""")
 def bm25_full_eval(spark, d):
-    rows = bm25.full_rows(_bm25(spark, d), _relevant(spark, d)).withColumnRenamed("qid", "gid")
+    hits = bm25.search(bm25.build(corpus(spark, d)), corpus(spark, d), passages(spark, d), 50)
+    rows = bm25.full_rows(hits, _relevant(spark, d)).withColumnRenamed("qid", "gid")
     return metrics.evaluate(rows, [5, 10], ["NDCG", "PRECISION", "RECALL"]).withColumn("Value", S.quantised("Value"))
 
 

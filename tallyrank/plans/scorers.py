@@ -77,10 +77,11 @@ class Bm25(Scorer):
         return {"stop_words": STOP_WORDS if self.take("stop_words", True) else None, "stems": bool(self.take("stemmer", True))}
 
     def index(self, docs):
+        self.docs = docs
         return bm25.build(docs, **self._how())
 
     def full(self, index, queries, k):
-        return bm25.top_k(bm25.scores(index, queries, k1=float(self.take("k1", bm25.K1)), b=float(self.take("b", bm25.B)), **self._how()), k)
+        return bm25.search(index, self.docs, queries, k, k1=float(self.take("k1", bm25.K1)), b=float(self.take("b", bm25.B)), **self._how())
 
     def candidates(self, index, queries, rows):
         return bm25.candidates(bm25.scores(index, queries, k1=float(self.take("k1", bm25.K1)), b=float(self.take("b", bm25.B)), **self._how()), rows, int(self.take("cutoff", 1000)))
