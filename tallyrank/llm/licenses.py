@@ -3,8 +3,8 @@
 A text is brought to a canonical form: letters A-Z in lower case, copyright lines and "all rights reserved" dropped,
 equivalent spellings made one, everything but letters and digits turned into single spaces. The sha256 of that form is
 hash-joined with the digests of known licences. A document is looked up whole, and by each of its lines for notices
-of one line. Only texts with a word that every known licence has one of are brought to canonical form: a text without
-any cannot equal one.
+of one line. Only texts with a word that every known licence has one of are brought to canonical form: a text that has
+none once the phrases are gone that the form leaves out cannot equal one.
 
 A null or empty text has no licence. Lines that repeat count once each; repeated rows each get the result. Columns
 other than doc_id and text are not read.
@@ -56,6 +56,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*"
 
 
+def _plain(text: Column) -> Column:
+    """In lower case, without what may stand within a word and is left out of the canonical form."""
+    return F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), r"all rights reserved", ""), r"https?://", "")
+
+
 def canonical(text: Column) -> Column:
     out = F.translate(text, UPPER, LOWER)
     out = F.regexp_replace(out, COPYRIGHT, "$1")
@@ -82,7 +87,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     own = known is None
     known = spark.createDataFrame(KNOWN, "license string, text string") if own else known.where("license is not null and text is not null")
     known = known.select("license", canonical(F.col("text")).alias("form")).where("form != ''").select("license", F.sha2("form", 256).alias("digest")).distinct()
-    trigger = (lambda text: F.lower(text).rlike(TRIGGER)) if own else lambda text: text.isNotNull()
+    trigger = (lambda text: _plain(text).rlike(TRIGGER)) if own else lambda text: text.isNotNull()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     likely = rows.where(trigger(F.col("text")))
     # position -1 is the whole text

@@ -59,7 +59,7 @@ SCORE = "__toxicity_score"
 FOLD = np.full(256, 32, np.uint8)
 FOLD[48:58], FOLD[97:123], FOLD[65:91], FOLD[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 SETTINGS = zstandard.ZstdCompressionParameters(
-    window_log=17, hash_log=16, chain_log=16, search_log=6, min_match=6, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False
+    window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=6, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False
 )
 
 
@@ -106,14 +106,12 @@ class Model:
         return out
 
     def evidence(self, pieces: list[bytes], compressors) -> np.ndarray:
-        """Bytes that the toxic dictionary saves, for each window. Where the first pair of dictionaries saves any, it is
-        the mean over all pairs: they are fitted apart, so that chance matches of one are seldom those of the others."""
-        (toxic, ordinary), *others = compressors
-        out = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in pieces), np.float64, len(pieces))
-        for i in np.flatnonzero(out > 0).tolist() if others else ():
-            w = pieces[i]
-            out[i] = (out[i] + sum(len(ordinary(w)) - len(toxic(w)) for toxic, ordinary in others)) / len(compressors)
-        return out
+        """Bytes that the toxic dictionary saves, for each window: the mean over all pairs of dictionaries, which are
+        fitted apart, so that chance matches of one are seldom those of the others."""
+        out = np.zeros(len(pieces))
+        for toxic, ordinary in compressors:
+            out += np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in pieces), np.float64, len(pieces))
+        return out / len(compressors)
 
     def features(self, data: bytes, both) -> np.ndarray:
         """Of a whole text; the windows of a long one are looked at in turns of bounded size."""

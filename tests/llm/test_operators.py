@@ -36,12 +36,15 @@ def rows_of(df):
 
 
 # --- 1, 2, 4: classifiers -------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("name,label,threshold", [("op1_quality", "quality", 0.95), ("op2_toxicity", "toxic", 0.85)])
-def test_held_out_labels(spark, name, label, threshold):
+@pytest.mark.parametrize("name,label,threshold,recall,precision", [("op1_quality", "quality", 0.95, 0.95, 0.95), ("op2_toxicity", "toxic", 0.85, 0.55, 0.7)])
+def test_held_out_labels(spark, name, label, threshold, recall, precision):
+    """At this size there are some 30 toxic texts to learn from; the README has the figures of larger tables."""
     folder = SMALL.replace("0.001", "0.01")
     out = queries.queries()[name](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
     held = [r for r in out if r["held_out"]]
     assert sum(r["predicted"] == r[label] for r in held) / len(held) >= threshold
+    hits = sum(r["predicted"] == 1 == r[label] for r in held)
+    assert hits >= recall * sum(r[label] == 1 for r in held) and hits >= precision * sum(r["predicted"] for r in held)
     limit = 0.3 if label == "quality" else 0.7
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= limit) for r in out)
 
@@ -449,6 +452,11 @@ def test_licenses(spark):
     assert len(licenses.scan(documents(spark, ["x"] * 2, [1, 1])).collect()) == 2
 
 
+def test_words_that_the_canonical_form_joins(spark):
+    texts = ["Released under the MIT Licall rights reservedense.", "Released under the MIT Lichttp://ense.", "Released under the MIT Li cense.", None]
+    assert [x[1:3] for _, x in sorted(by_id(licenses.scan(documents(spark, texts))).items())] == [("MIT", 1), ("MIT", 1), ("", 0), ("", 0)]
+
+
 def test_licenses_of_a_given_table(spark):
     known = spark.createDataFrame([("GPL-2.0", "GNU General Public License,\nversion 2"), ("Own", "Free to use."), ("None", " ")], "license string, text string")
     texts = ["gnu general public license version 2", "a\nFREE to use\n\nReleased under the MIT License", " ", None]
