@@ -1,7 +1,9 @@
-"""Cutting the lineage of iterations with reliable checkpoints."""
+"""Cutting the lineage of iterations with tables in the shared folder."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in tests on one machine.
@@ -20,8 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, which survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """The same rows from a table in the shared folder, which survives lost executors.
+
+    A table rather than a checkpoint, as it has the size that its files have: a checkpoint keeps the estimate of the plan that
+    made it, which joins multiply, round after round."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Deletes the tables of what `cut` gave. Nothing may read them any more."""
+    for frame in frames:
+        path = getattr(frame, "cut_path", None)
+        if path:
+            place = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import factors, interactions, neighbours, significance
-from ..operators.lineage import LOCAL_FOLDER
+from ..operators.lineage import shared_folder
 from ..sources import readers
 from . import builders
 from .model_queries import _fixed, _near, runs
@@ -20,7 +20,7 @@ from .tables import interactions as rows_of
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_FOLDER).rstrip('/')}/sources-{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}/{name}"
 
 
 def lines(df: DataFrame, name: str, sep: str = ",", header: bool = True, quote: str = '"') -> str:
