@@ -45,13 +45,13 @@ def activity_quantile_filter(spark, d):
     return interactions.activity_between(rows_of(spark, d))
 
 
-def _core_sql(rounds: int, k: int) -> str:
-    steps, at = [], "i"
+def _core_sql(rounds: int, k: int, lead: str = W, at: str = "i") -> str:
+    steps = []
     for r in range(rounds):
         steps.append(f"a{r} AS (SELECT * FROM {at} WHERE item IN (SELECT item FROM {at} GROUP BY 1 HAVING count(*) >= {k}))")
         steps.append(f'b{r} AS (SELECT * FROM a{r} WHERE "user" IN (SELECT "user" FROM a{r} GROUP BY 1 HAVING count(*) >= {k}))')
         at = f"b{r}"
-    return f"{W}, {', '.join(steps)} SELECT * FROM {at}"
+    return f"{lead}, {', '.join(steps)} SELECT * FROM {at}"
 
 
 @query(_core_sql(5, 18))

@@ -13,8 +13,8 @@ from ..operators.lineage import shared_folder
 from ..sources import readers
 from . import builders
 from .model_queries import _fixed, _near, runs
-from .queries import HALF, W, query
-from .tables import PART_TAGS, draw, part_tags, q, table
+from .queries import HALF, W, _core_sql, query
+from .tables import PART_DOCS, PART_TAGS, draw, draw_int, part_docs, part_tags, q, table
 from .tables import interactions as rows_of
 
 
@@ -128,6 +128,35 @@ def build_movie_ratings(spark, d):
     return builders.movie_ratings(ratings, parts(spark, d).select(F.col("p_partkey").alias("movieId"), F.col("p_name").alias("title"), F.col("p_type").alias("genres"))).select("user", "item", "label", "time", "title", "genres")
 
 
+@query(_core_sql(5, 9, f"{W}, half AS (SELECT * FROM i WHERE {draw_int(42, '\"user\"', 'item', 'time')} < 2147483648)", "half"))
+def build_product_ratings(spark, d):
+    """Half of the ratings, and of these the users and items with nine or more."""
+    return builders.product_ratings(rows_of(spark, d), 0.5, 9)
+
+
+@query(f"""{W}, p AS (SELECT "user", item, sum(label) AS label FROM i GROUP BY 1, 2), n AS (SELECT "user", count(*) AS n FROM p GROUP BY 1), s AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS r, count(*) OVER () AS c FROM n),
+b AS (SELECT min(n) FILTER (WHERE r = floor((c - 1) * 0.1 + 0.5)) AS lo, min(n) FILTER (WHERE r = floor((c - 1) * 0.9 + 0.5)) AS hi FROM s)
+SELECT "user", item, label, row_number() OVER (PARTITION BY "user" ORDER BY label DESC, item) AS time FROM p JOIN n USING ("user"), b WHERE n > lo AND n < hi""")
+def build_artist_plays(spark, d):
+    plays = rows_of(spark, d).groupBy("user", "item").agg(F.sum("label").alias("plays"))
+    return builders.artist_plays(plays, ascending=False).select("user", "item", "label", "time")
+
+
+def _relative_sql() -> str:
+    from .model_queries import _as_user, index_sql, scores_sql
+
+    return f"""WITH {PART_DOCS}, {PART_TAGS}, r AS (SELECT item, tag, CASE WHEN max(weight) OVER (PARTITION BY item) > 0 THEN weight / max(weight) OVER (PARTITION BY item) ELSE 0 END AS weight FROM pt),
+k AS (SELECT * FROM r WHERE weight >= 0.8), kt AS (SELECT * FROM k WHERE tag IN (SELECT tag FROM k GROUP BY 1 HAVING count(*) >= 2)), best AS (SELECT item, string_agg(tag, ' ' ORDER BY weight DESC, tag) AS t FROM kt GROUP BY 1),
+ds AS (SELECT item AS doc_id, concat_ws(' ', text, t) AS text FROM pd LEFT JOIN best USING (item)), qs AS (SELECT DISTINCT tag AS query FROM kt), {index_sql('ds')}, {scores_sql('qs', 'query', 'query')}, {_as_user(20)}"""
+
+
+@query(_relative_sql())
+def build_relative_tag_users(spark, d):
+    """Tags with a weight near the greatest of their item, as users of the documents that they retrieve."""
+    found = builders.retrieval_by_relative_tag(part_docs(spark, d), part_tags(spark, d), k=20, min_items=2)
+    return found.withColumn("score", S.quantised("score"))
+
+
 SCORES = "sc AS (SELECT l_partkey AS movieId, l_suppkey AS tagId, max(l_discount) * 10 AS relevance FROM lineitem GROUP BY 1, 2)"
 
 
