@@ -17,15 +17,6 @@ from ..functions.vectors import cosine, dot, max_sim, unit
 QUERY_BLOCK, DOC_BLOCK = 256, 2048
 
 
-def _blocked(queries: DataFrame, docs: DataFrame, qid: str, columns: list[str]) -> DataFrame:
-    """Documents with whole blocks of queries: a stated query set against all rows, in blocks."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    packed = queries.withColumn("block", F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct(qid, *columns)).alias("asked"))
-    spread = docs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return spread.join(packed, "block")
-
-
 def _packed(df: DataFrame, key: str, size: int, names: tuple[str, str, str]) -> DataFrame:
     """Blocks of about `size` rows: number, ids, vectors."""
     blocks = max(1, -(-df.count() // size))
