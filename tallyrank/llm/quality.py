@@ -11,7 +11,7 @@ They know no vocabulary, so they carry over to any language with an alphabet.
 
 Null and empty texts get the features of no words: all zero. Repeated rows are scored alike. A document as strong as the
 cut is kept; the cut is halfway between the two neighbours in the order of strengths, so where these tie, all that tie
-are kept. Only doc_id and text are read. Weights are fitted on at most SAMPLE rows of each label, a documented bound. Features are those of
+are kept. A doc_id with two different labels counts under both, with all its rows. Only doc_id and text are read. Weights are fitted on at most SAMPLE rows of each label, a documented bound. Features are those of
 whole texts, in fitting as in scoring, and are taken by the executors.
 """
 

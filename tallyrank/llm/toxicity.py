@@ -15,7 +15,7 @@ the next one, up to PARTS. The windows that all parts find are the start of a la
 
 Letters A-Z are lower-cased and ASCII signs and white space become spaces. Windows overlap. Null and empty texts have
 no window with anything in it and get the score of no evidence. Texts with equal windows, repeated rows among them, get
-equal scores; a score at the threshold counts as toxic. Only doc_id and text are read. Fitting takes at most SAMPLE rows
+equal scores; a score at the threshold counts as toxic. A doc_id with two different labels is a sample of both. Only doc_id and text are read. Fitting takes at most SAMPLE rows
 of each label, a documented bound, and like scoring all windows of their whole texts, which the driver holds; which
 windows a dictionary is trained on, of those, follows from a fixed seed.
 """
