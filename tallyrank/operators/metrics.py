@@ -86,7 +86,7 @@ def evaluate(scored: DataFrame, ks: list[int], names: list[str] | None = None, g
 
 
 def pooled(scored: DataFrame, ks: list[int], names: list[str] | None = None) -> DataFrame:
-    """K, Metric, Value of the one list that all rows form, by score, then item, then group.
+    """K and a column for each metric, of the one list that all rows form, by score, then item, then group.
 
     No window goes over all rows: the first max(ks) by score and by label are taken by partial sorts, and the rank of the first
     hit is one more than the number of rows before it."""
@@ -114,5 +114,5 @@ def pooled(scored: DataFrame, ks: list[int], names: list[str] | None = None) ->
             "PRECISION": sum(hits) / min(k, n) if n else 0.0, "RECALL": sum(hits) / every if every else 0.0, "MRR": 1.0 / place if place else 0.0,
             "MAP": sum(precise) / len(precise) if precise else 0.0, "NDCG": gained([y for y, _ in top]) / best if best > 0 else 0.0,
         }
-        out += [(k, name, float(found[name])) for name in wanted]
-    return scored.sparkSession.createDataFrame(out, "K int, Metric string, Value double")
+        out.append((k, *[float(found[name]) for name in wanted]))
+    return scored.sparkSession.createDataFrame(out, ", ".join(["K int", *[f"{name} double" for name in wanted]]))

@@ -338,7 +338,8 @@ def _pooled_sql(ks: list[int]) -> str:
 @query(f"""{SCORED}, one AS (SELECT *, sum(hit) OVER (ORDER BY rank) AS upto FROM (SELECT y_true, hit, row_number() OVER (ORDER BY y_pred DESC, item, gid) AS rank, row_number() OVER (ORDER BY y_true DESC, item, gid) AS ideal FROM rk)) {_pooled_sql([5, 50, 500])}""")
 def pooled_metrics(spark, d):
     """All rows of all users as one list."""
-    return metrics.pooled(scored(spark, d), [5, 50, 500]).withColumn("Value", S.quantised("Value"))
+    found = metrics.pooled(scored(spark, d), [5, 50, 500])
+    return found.select("K", F.explode(F.array(*[F.struct(F.lit(n).alias("Metric"), S.quantised(n).alias("Value")) for n in metrics.NAMES])).alias("m")).select("K", "m.*")
 
 
 @query(f"{SCORED}{UPTO} {_long([5, 10])}")
