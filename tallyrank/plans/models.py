@@ -79,8 +79,8 @@ class ItemNeighbours(Model):
 
     def fit(self, train):
         own = self._own(train)
-        sims = neighbours.similarities(own, self.take("similarity", "cosine"), float(self.take("shrinkage", 0.0)))
-        found = neighbours.top_neighbours(sims, int(self.take("k", self.take("k_neighbors", 200))), float(self.take("min_similarity", 0.0)))
+        least = float(self.take("min_similarity", 0.0))
+        found = neighbours.nearest(own, self.take("similarity", "cosine"), float(self.take("shrinkage", 0.0)), int(self.take("k", self.take("k_neighbors", 200))), least if least > 0 else None)
         return {"neighbours": found, "items": interactions.popularity(train), "means": own.groupBy("item").agg(F.avg("label").alias("mean"))}
 
     def score(self, pairs, tables, train):
