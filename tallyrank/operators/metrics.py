@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import finite
+from .lineage import cut, release
 
 NAMES = ("PRECISION", "RECALL", "MRR", "MAP", "NDCG")
 
@@ -93,6 +94,7 @@ def pooled(scored: DataFrame, ks: list[int], names: list[str] | None = None) ->
     wanted = [n for n in (x.upper() for x in (names or NAMES)) if n in NAMES]
     tail = ["item", "gid"] if "gid" in scored.columns else ["item"]
     rows = scored.withColumn("y_true", finite("y_true", 0.0)).withColumn("y_pred", finite("y_pred", -1e30)).withColumn("hit", (F.col("y_true") > 0).cast("int")).select("y_true", "y_pred", "hit", *tail)
+    rows = cut(rows)  # read five times
     n, every = rows.agg(F.count("*"), F.sum("hit")).first()
     most = max(ks)
     top = [(r["y_true"], r["hit"]) for r in rows.orderBy(F.desc("y_pred"), *tail).limit(most).collect()]  # max(ks) rows
@@ -104,6 +106,7 @@ def pooled(scored: DataFrame, ks: list[int], names: list[str] | None = None) ->
         for c in tail:
             before, same = before | (same & (F.col(c) < F.lit(first[0][c]))), same & (F.col(c) == F.lit(first[0][c]))
         place = rows.where(before).count() + 1
+    release(rows)
     out = []
     for k in ks:
         hits = [h for _, h in top[:k]]
