@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from ..functions.scalars import draw, draw_int
+from .lineage import cut
 
 
 @dataclass(frozen=True)
@@ -89,35 +91,51 @@ def negatives(seen: DataFrame, items: DataFrame, n: int | None, seed: int, tries
     """n items for each user that the user has no row with, or all such items where there are fewer or n is None.
 
     Items are coded 0 .. m - 1; for each user tries * n hashed codes are drawn, repeats and seen items dropped, and
-    the first n kept in the order of drawing. Users who are then short of n have seen most items, or there are few:
+    the first n kept in the order of drawing. A draw is shuffled twice, to its item and back to its user's list. Users who are then short of n have seen most items, or there are few:
     theirs are filled up from all their unseen items in hashed order. So the cost is users * n, and for those users a
     multiple of the rows they have or of n. Only n = None makes the product of users and items. Without `exclude` all items
     count as such, also those that the user has.
     """
     m = items.count()
     users = seen.select("user").distinct()
-    known = seen.select("user", "item").distinct()
-    if not exclude:
-        known = known.limit(0)
     hashed = [draw(seed, "user", "item"), F.col("item")]
 
     def unseen(of: DataFrame) -> DataFrame:
         """All items without a row of the user, by codes in runs of bounded length."""
+        known = seen.select("user", "item").distinct()
         runs = of.select("user", F.explode(F.sequence(F.lit(0), F.lit(max(m - 1, 0)), F.lit(4096))).alias("low"))
         coded = runs.select("user", F.explode(F.sequence("low", F.least(F.col("low") + 4095, F.lit(max(m - 1, 0))))).alias("code"))
-        return coded.join(items.select("code", "item"), "code").join(known, ["user", "item"], "left_anti").select("user", "item")
+        every = coded.join(items.select("code", "item"), "code")
+        return (every.join(known, ["user", "item"], "left_anti") if exclude else every).select("user", "item")
 
     if n is None:
         return unseen(users).withColumn("place", F.row_number().over(Window.partitionBy("user").orderBy(*hashed)))
-    order = F.explode(F.sequence(F.lit(0), F.lit(tries * n - 1))).alias("turn")
-    drawn = users.select("user", order).withColumn("code", draw_int(seed, "user", "turn") % max(m, 1))
-    first = drawn.groupBy("user", "code").agg(F.min("turn").alias("turn"))
-    found = first.join(items.select("code", "item"), "code").join(known, ["user", "item"], "left_anti").select("user", "item", "turn")
-    counted = users.withColumn("one", F.lit(0)).unionByName(found.select("user", F.lit(1).alias("one"))).groupBy("user").agg(F.sum("one").alias("n"))
-    rest = unseen(counted.where(F.col("n") < n))
-    pool = found.unionByName(rest.withColumn("turn", F.lit(tries * n))).groupBy("user", "item").agg(F.min("turn").alias("turn"))
+    own = seen.groupBy("user").agg(F.collect_set("item").alias("own")) if exclude else users.withColumn("own", F.array().cast(ArrayType(items.schema["item"].dataType)))
+    codes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(tries * n - 1)), lambda t: draw_int(seed, "user", t) % max(m, 1)))
+    drawn = users.select("user", F.posexplode(codes).alias("turn", "code")).join(items.select("code", "item"), "code")
+    listed = drawn.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("turn", "item"))).alias("drawn"))
+    fresh = F.array_except(F.transform(F.coalesce("drawn", F.array()), lambda d: d["item"]), "own")  # distinct, in the order of drawing
+    lists = cut(own.join(listed, "user", "left").select("user", F.slice(fresh, 1, n).alias("items")))
+    full, short = lists.where(F.size("items") == n), lists.where(F.size("items") < n)
+    filled = full.select("user", F.posexplode("items").alias("place", "item")).select("user", "item", (F.col("place") + 1).alias("place"))
+    if short.limit(1).count() == 0:
+        return filled
+    rest = unseen(short.select("user"))
+    pool = short.select("user", F.posexplode("items").alias("turn", "item")).unionByName(rest.withColumn("turn", F.lit(n))).groupBy("user", "item").agg(F.min("turn").alias("turn"))
     place = F.row_number().over(Window.partitionBy("user").orderBy("turn", *hashed))
-    return pool.withColumn("place", place).where(F.col("place") <= n).select("user", "item", "place")
+    return filled.unionByName(pool.withColumn("place", place).where(F.col("place") <= n).select("user", "item", "place"))
+
+
+def unseen_totals(seen: DataFrame, items: DataFrame) -> DataFrame:
+    """user, n, items: how many items each user has no row with, and the sum of their ids.
+
+    What `negatives` gives without n, counted and summed, but by what all items sum up to less the user's own: no row for
+    each user and item. Users who have all items have no row here, as there."""
+    every = items.agg(F.count("*").alias("n"), F.coalesce(F.sum("item"), F.lit(0)).alias("s")).first()
+    times = items.groupBy("item").agg(F.count("*").alias("c"))
+    known = seen.select("user", "item").distinct().join(times, "item", "left").groupBy("user").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("item") * F.col("c")), F.lit(0)).alias("s"))
+    left = F.lit(every["n"]) - F.col("n")
+    return known.select("user", left.alias("n"), (F.lit(every["s"]) - F.col("s")).alias("items")).where("n > 0")
 
 
 def evaluation_rows(test: DataFrame, sampled: DataFrame) -> DataFrame:
