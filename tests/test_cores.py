@@ -21,7 +21,14 @@ def test_cores_are_those_of_a_loop(spark, k, rounds):
         for at in (1, 0):
             n = Counter(r[at] for r in x)
             x = [r for r in x if r[at] is not None and n[r[at]] >= k]
-    assert sorted(map(tuple, interactions.k_core(df, k, rounds).collect())) == sorted(x)
+    found = interactions.k_core(df, k, rounds)
+    assert found.columns == df.columns and sorted(map(tuple, found.collect())) == sorted(x)
+
+
+def test_columns_where_only_items_go(spark):
+    df = spark.createDataFrame([(u, i, 1.0, 2) for u in range(5) for i in range(4)] + [(0, 9, 1.0, 2)], "user long, item long, label double, time long")
+    found = interactions.k_core(df, 3, 4)
+    assert found.columns == df.columns and found.count() == 20 and found.where("item = 9").count() == 0
 
 
 def test_three_parts_read_once_and_sort_once(spark):
