@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrank.operators import interactions
+from tallyrank.operators import graph, interactions, pairwise
 from tallyrank.plans import builders
 
 
@@ -50,3 +50,25 @@ def test_three_parts_read_once_and_sort_once(spark):
                 if part != "truth" or place < int(n * 0.8) + 2:
                     expected.add((u, item, time, part, place, n))
     assert {tuple(r) for r in found.select("user", "item", "time", "part", "place", F.col("size")).collect()} == expected
+
+
+def counted(spark, df):
+    """The rows, and a count of how often each is made: that of each reading of the source."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), made
+
+
+def test_codes_and_layers_read_their_source_once(spark):
+    _, df = rows(spark)
+    n = df.count()
+    source, made = counted(spark, df)
+    assert pairwise.coded(source).m == 60 and made.value == n
+    edges = graph.edges(df.where("user is not null and item is not null"))
+    nodes, made = counted(spark, edges.select(F.col("src").alias("node")).distinct().withColumn("vector", F.array(F.lit(1.0), F.lit(2.0))))
+    assert graph.propagate(edges, nodes, 3).count() == 100 == made.value
