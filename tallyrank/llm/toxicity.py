@@ -13,6 +13,12 @@ part's next samples are the ordinary windows that came nearest to toxic text, so
 toxic part are in it too. One such part seldom has room for all: texts that are not told by it are mined again for
 the next one, up to PARTS. The windows that all parts find are the start of a last search, MEMBERS times over.
 
+A dictionary's own part can only shorten a window that has a run of SHORTEST bytes or more from it which the common part
+has not: any other run the common part offers too, at the same distance in all dictionaries. All windows are looked
+through for such runs of every own part. Where there is none, a dictionary gives what the common part alone gives, so a
+window is compressed with those dictionaries that have a run in it, and once with the common part where one dictionary of
+a pair has and the other has not.
+
 Letters A-Z are lower-cased and ASCII signs and white space become spaces. Windows overlap. Null and empty texts have
 no window with anything in it and get the score of no evidence. Texts with equal windows, repeated rows among them, get
 equal scores; a score at the threshold counts as toxic. A doc_id with two different labels is a sample of both. Only doc_id and text are read. Fitting takes at most SAMPLE rows
@@ -23,8 +29,9 @@ windows a dictionary is trained on, of those, follows from a fixed seed.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +60,15 @@ FAR = 0.1
 HEADER, PASSES = 200, 4
 #: Bytes of a text whose windows are held at once (a multiple of STEP).
 TURN = STEP << 14
+#: The least match of the compressor; windows that are looked through together; bits of a table's places.
+SHORTEST, TOGETHER, PLACES = 6, 4_096, 20
 SEED = 1
 SCORE = "__toxicity_score"
 
 FOLD = np.full(256, 32, np.uint8)
 FOLD[48:58], FOLD[97:123], FOLD[65:91], FOLD[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 SETTINGS = zstandard.ZstdCompressionParameters(
-    window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=6, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False
+    window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=SHORTEST, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False
 )
 
 
@@ -90,28 +99,143 @@ def dictionary(size: int, samples: list[bytes], segment: int = SEGMENT, first: l
     return out[-size:].rjust(size, b"\0")
 
 
+class Common:
+    """The common part alone: its runs by their length, and how long windows become with it, kept if told so."""
+
+    def __init__(self, data: bytes, own: int, keep: bool = False):
+        self.data, self.runs, self.sizes = data, {}, {} if keep else None
+        self.alone = measure(b"\0" * own + data)
+
+    def size(self, window: bytes) -> int:
+        if self.sizes is None:
+            return self.alone(window)
+        if window not in self.sizes:
+            self.sizes[window] = self.alone(window)
+        return self.sizes[window]
+
+    def has(self, run: bytes) -> bool:
+        n = len(run)
+        if n not in self.runs:
+            self.runs[n] = {self.data[j : j + n] for j in range(len(self.data) - n + 1)}
+        return run in self.runs[n]
+
+    def new(self, own: bytes) -> set[bytes]:
+        """The shortest run from each place of an own part, into the common part where it is near its end, that has at
+        least SHORTEST bytes and is not in the common part."""
+        whole, out = own + self.data[: WINDOW - 1], set()
+        for i in range(len(own)):
+            out.update(islice((run for n in range(SHORTEST, min(WINDOW, len(whole) - i) + 1) if not self.has(run := whole[i : i + n])), 1))
+        return out
+
+
+def measure(data: bytes) -> Callable[[bytes], int]:
+    """How long a window becomes with a dictionary of this content."""
+    known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(compression_params=SETTINGS)
+    compress = zstandard.ZstdCompressor(dict_data=known, compression_params=SETTINGS).compress
+    return lambda window: len(compress(window))
+
+
+def _eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    padded = np.frombuffer(data + bytes(WINDOW + 8), np.uint8)
+    out = np.empty(len(data) + WINDOW, np.uint64)
+    for j in range(8):
+        out[j::8] = padded[j : j + len(out[j::8]) * 8].view("<u8")
+    return out
+
+
+def _keys(eights: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarray:
+    """Of the runs of n bytes from `at` on; equal runs have equal keys."""
+    key = eights[at] & np.uint64((1 << 8 * min(n, 8)) - 1)
+    key *= np.uint64(0x9E3779B97F4A7C15)
+    for j in (*range(8, n - 8, 8), n - 8) if n > 8 else ():
+        key ^= key >> np.uint64(29)
+        key += eights[at + j]
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+    return key
+
+
+def _place(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - PLACES)).view(np.int64)
+
+
+def _second(keys: np.ndarray) -> np.ndarray:
+    """Another place, which runs that share the first one seldom share."""
+    return _place((keys ^ keys >> np.uint64(31)) * np.uint64(0x94D049BB133111EB))
+
+
+class _Runs:
+    """Finds the windows that have one of a part's new runs, for up to eight parts. Runs may share their places in the
+    tables, so a few other windows are found with them, but none is missed."""
+
+    def __init__(self, runs: list[set[bytes]]):
+        self.begin, self.tables = np.zeros(1 << PLACES, bool), {}
+        for part, own in enumerate(runs):
+            for n in sorted({len(x) for x in own}):
+                same = [x for x in own if len(x) == n]
+                eights, at = _eights(b"".join(same)), np.arange(len(same)) * n
+                keys = _keys(eights, at, n)
+                self.begin[_place(_keys(eights, at, SHORTEST))] = True
+                for table, place in zip(self.tables.setdefault(n, [np.zeros(1 << PLACES, np.uint8) for _ in range(2)]), (_place, _second), strict=True):
+                    table[place(keys)] |= np.uint8(1 << part)
+
+    def found(self, pieces: list[bytes]) -> np.ndarray:
+        """For each window the parts, as bits, that have a run in it."""
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        eights, out = _eights(b"".join(pieces)), np.zeros(len(pieces), np.uint8)
+        at = np.flatnonzero(self.begin[_place(_keys(eights, slice(0, int(ends[-1])), SHORTEST))])
+        piece = np.searchsorted(ends, at, "right")
+        left = ends[piece] - at
+        for n, (first, second) in self.tables.items():
+            keys = _keys(eights, at, n)
+            hit = np.flatnonzero((first[_place(keys)] > 0) & (left >= n))
+            np.bitwise_or.at(out, piece[hit], first[_place(keys[hit])] & second[_second(keys[hit])])
+        return out
+
+
+def _sizes(pieces: list[bytes], which: np.ndarray, size: Callable[[bytes], int], out: np.ndarray) -> np.ndarray:
+    """`out`, with the sizes of the windows that are marked."""
+    at, out = np.flatnonzero(which), out.copy()
+    out[at] = np.fromiter(map(size, map(pieces.__getitem__, at.tolist())), np.int64, len(at))
+    return out
+
+
+@dataclass
+class Compressors:
+    pairs: list[tuple]  # measures of the toxic and of the ordinary dictionary
+    runs: _Runs
+    common: Common
+
+
 @dataclass
 class Model:
     pairs: list[tuple[bytes, bytes]]  # toxic and ordinary parts
     common: bytes
     weights: np.ndarray
 
-    def compressors(self) -> list[tuple]:
-        out = []
-        for pair in self.pairs:
-            known = [zstandard.ZstdCompressionDict(own + self.common, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for own in pair]
-            for x in known:
-                x.precompute_compress(compression_params=SETTINGS)
-            out.append(tuple(zstandard.ZstdCompressor(dict_data=x, compression_params=SETTINGS).compress for x in known))
-        return out
+    def compressors(self, common: Common | None = None) -> Compressors:
+        common = common or Common(self.common, len(self.pairs[0][0]))
+        return Compressors([tuple(measure(own + self.common) for own in pair) for pair in self.pairs], _Runs([common.new(own) for pair in self.pairs for own in pair]), common)
 
-    def evidence(self, pieces: list[bytes], compressors) -> np.ndarray:
+    def evidence(self, pieces: list[bytes], compressors: Compressors) -> np.ndarray:
         """Bytes that the toxic dictionary saves, for each window: the mean over all pairs of dictionaries, which are
         fitted apart, so that chance matches of one are seldom those of the others."""
         out = np.zeros(len(pieces))
-        for toxic, ordinary in compressors:
-            out += np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in pieces), np.float64, len(pieces))
-        return out / len(compressors)
+        for first in range(0, len(pieces), TOGETHER):
+            some = pieces[first : first + TOGETHER]
+            found = compressors.runs.found(some)
+            has = [found >> np.uint8(i) & np.uint8(1) for i in range(2 * len(compressors.pairs))]
+            either = np.any([a != b for a, b in zip(has[::2], has[1::2], strict=True)], axis=0)
+            common = _sizes(some, either, compressors.common.size, np.zeros(len(some), np.int64))
+            for (toxic, ordinary), a, b in zip(compressors.pairs, has[::2], has[1::2], strict=True):
+                out[first : first + len(some)] += _sizes(some, b, ordinary, common) - _sizes(some, a, toxic, common)
+        return out / len(compressors.pairs)
+
+    def evidences(self, texts: list[list[bytes]], compressors: Compressors) -> list[np.ndarray]:
+        """The same for the windows of several texts, which are looked at together."""
+        saved = self.evidence([w for t in texts for w in t], compressors)
+        return np.split(saved, np.cumsum([len(t) for t in texts])[:-1]) if texts else []
 
     def features(self, data: bytes, both) -> np.ndarray:
         """Of a whole text; the windows of a long one are looked at in turns of bounded size."""
@@ -150,17 +274,17 @@ class _Mine:
         self.plain = list(dict.fromkeys(w for t in ordinary for w in windows(t)))
         self.random.shuffle(self.plain)
         self.common = dictionary(COMMON, self.plain[:PLAIN])
-        self.first = self.plain[::-1]
+        self.first, self.alone = self.plain[::-1], Common(self.common, WHOLE, keep=True)
         # each text's windows farthest from ordinary text
-        ordinary = Model([(b"", b"")], self.common, np.zeros(0)).compressors()[0][1]
+        ordinary = measure(self.common)
         self.far = []
         for own in self.toxic:
-            sizes = np.fromiter((len(ordinary(w)) - len(w) for w in own), np.int64, len(own))
+            sizes = np.fromiter((ordinary(w) - len(w) for w in own), np.int64, len(own))
             self.far.append([own[i] for i in np.argsort(-sizes, kind="stable")[: max(BEST, int(len(own) * FAR))]])
 
-    def model(self, toxic: bytes, ordinary: bytes) -> tuple[Model, tuple]:
+    def model(self, toxic: bytes, ordinary: bytes) -> tuple[Model, Compressors]:
         out = Model([(toxic, ordinary)], self.common, np.zeros(0))
-        return out, out.compressors()
+        return out, out.compressors(self.alone)
 
     def hard(self, size: int, near: np.ndarray, segment: int = SEGMENT) -> bytes:
         return dictionary(size, [self.plain[i] for i in np.argsort(-near, kind="stable")[:HARD]], segment, self.first)
@@ -171,8 +295,8 @@ class _Mine:
         saved, seen = {i: np.zeros(len(self.toxic[i])) for i in rows}, dict.fromkeys(rows, 0.0)
         near, sizes = np.zeros(len(self.plain)), MINED
         if first:
-            both, sizes = first.compressors(), (WHOLE,)
-            saved, seen = {i: first.evidence(self.toxic[i], both).astype(float) for i in rows}, dict.fromkeys(rows, 1.0)
+            both, sizes = first.compressors(self.alone), (WHOLE,)
+            saved, seen = dict(zip(rows, first.evidences([self.toxic[i] for i in rows], both), strict=True)), dict.fromkeys(rows, 1.0)
             near = first.evidence(self.plain, both).astype(float)
 
         def best(own: list[int]) -> list[bytes]:
@@ -188,8 +312,9 @@ class _Mine:
             half = sorted(self.random.sample(rows, len(rows) // 2))
             toxic = dictionary(size, best(half) if turn or first else [w for i in half for w in self.far[i]], first=self.first)
             model, both = self.model(toxic, ordinary)
-            for i in set(rows) - set(half):
-                saved[i] = saved[i] * 0.7 + model.evidence(self.toxic[i], both)
+            others = sorted(set(rows) - set(half))
+            for i, own in zip(others, model.evidences([self.toxic[i] for i in others], both), strict=True):
+                saved[i] = saved[i] * 0.7 + own
                 seen[i] = seen[i] * 0.7 + 1
             near = near * 0.5 + model.evidence(self.plain, both)
             ordinary = self.hard(after, near)
@@ -207,7 +332,7 @@ class _Mine:
             near = near * 0.5 + model.evidence(self.plain, both)
             ordinary = ordinary[:-OWN] + self.hard(OWN, near, 14)
             model, both = self.model(toxic, ordinary)
-            left = [i for i in left if (model.evidence(self.toxic[i], both) >= TOLD).sum() < 2]
+            left = [i for i, own in zip(left, model.evidences([self.toxic[i] for i in left], both), strict=True) if (own >= TOLD).sum() < 2]
             if len(left) < 20:
                 break
         pairs = []
@@ -258,7 +383,10 @@ def score(docs: DataFrame, model: Model, keep_text: bool = True, name: str = SCO
         for batch in slices(batches):
             buf, offsets = texts(batch.column(batch.schema.get_field_index("text")))
             data, bounds = FOLD[buf].tobytes(), offsets.tolist()
-            x = np.array([model.features(b" " + data[a:b] + b" ", both) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+            folded = [b" " + data[a:b] + b" " for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            short = [i for i, t in enumerate(folded) if len(t) <= TURN]
+            found = dict(zip(short, map(summary, model.evidences([windows(folded[i]) for i in short], both)), strict=True))
+            x = np.array([found[i] if i in found else model.features(t, both) for i, t in enumerate(folded)])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(model.probability(x), pa.float64())], names=[*[batch.schema.names[i] for i in kept], name])
 
     return docs.mapInArrow(run, StructType([fields[i] for i in kept]).add(name, DoubleType()))

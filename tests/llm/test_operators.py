@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from cases import ODD, documents, passages
 from oracle import SMALL
 from pyspark.sql import functions as F
@@ -102,6 +103,28 @@ def test_toxic_dictionaries_are_trained_and_told_apart():
     assert sum(caught[:50]) >= 45 and sum(caught[50:]) <= 5
 
 
+def test_windows_are_compressed_only_where_a_dictionary_has_a_new_run():
+    rng = random.Random(8)
+    plain = lambda n: " ".join(f"{rng.choice('bcdfgh')}a{rng.choice('lmnprst')}e{rng.choice('kvz')}o" for _ in range(n))
+    insults, kind = ["you grumblewort", "what a snivelcrank"], ["dear neighbour", "thank you very"]
+    common = toxicity.fold(plain(2_000))
+    pairs = [tuple(toxicity.fold(f"{plain(20)} {x[i]} {plain(20)} {x[i][4:]}").ljust(400) for x in (insults, kind)) for i in (0, 1)]
+    model = toxicity.Model(pairs, common, np.zeros(14))
+    # the runs lie at any place of a window, over its borders, and in the last, shorter windows
+    texts = [toxicity.fold(f"{plain(60)} {'x' * (i % 40)} {rng.choice(insults + kind)} {plain(i % 7)}") for i in range(300)]
+    pieces = [w for t in texts for w in toxicity.windows(t)] + toxicity.windows(pairs[0][0] + common[:60])
+    compress = []
+    for pair in pairs:
+        known = [zstandard.ZstdCompressionDict(own + common, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for own in pair]
+        compress.append([zstandard.ZstdCompressor(dict_data=x, compression_params=toxicity.SETTINGS).compress for x in known])
+    expected = [sum(len(ordinary(w)) - len(toxic(w)) for toxic, ordinary in compress) / len(pairs) for w in pieces]
+    both, calls = model.compressors(), []
+    both.pairs = [tuple((lambda w, f=f: calls.append(w) or f(w)) for f in pair) for pair in both.pairs]
+    assert model.evidence(pieces, both).tolist() == expected
+    assert max(expected) > 3 and min(expected) < -3 and 0 < len(calls) < len(pieces)
+    assert [x.tolist() for x in model.evidences([toxicity.windows(t) for t in texts[:9]], both)] == [model.evidence(toxicity.windows(t), both).tolist() for t in texts[:9]]
+
+
 def test_classifiers_take_odd_texts(spark):
     docs = documents(spark, ODD)
     plain, junk = ["A quiet day by the sea. It was fine and they went home."] * 5, ["BUY!! NOW!! BUY!! NOW!!"] * 5
