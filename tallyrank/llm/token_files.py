@@ -23,6 +23,8 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -253,16 +255,18 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*pieces).difference(self.known)
-        learned = self._learn(new)
+        words = set().union(*pieces)
+        # difference() would go over all that is known, as it is no plain dict
+        learned = self._learn(set(filterfalse(self.known.__contains__, words)))
         short = {w: x for w, x in learned.items() if len(w) <= self.SHORT}
-        known, old = self.known, {}
-        if len(known) + len(short) > REMEMBERED:  # the memory starts anew
-            old, self.known = known, _Words(short)
+        known = self.known
+        if len(known) + len(short) > REMEMBERED:  # the memory starts anew, from the words of these texts
+            self.known = _Words((w, known[w]) for w in words if w in known)
             known = self.known
+            known.update(short)
         else:
             known.update(short)
-        known.rest = {w: x for w, x in learned.items() if len(w) > self.SHORT} | (dict(old) if old else {})
+        known.rest = {w: x for w, x in learned.items() if len(w) > self.SHORT}
         out = [b"".join(map(known.__getitem__, p)) for p in pieces]
         known.rest = {}
         return out
@@ -281,6 +285,12 @@ class WordEncoder:
         return self.encode(texts) if sum(map(len, texts)) <= 16 * CHUNK else list(map(self.whole, texts))
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """One for each worker process: the tasks that it runs one after the other read the tokenizer and learn words once."""
+    return WordEncoder(path)
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, wide: bool = False) -> DataFrame:
     """Writes files for each range of doc_id and returns their list: part, file, uri, n_docs, n_tokens."""
     spark = docs.sparkSession
@@ -289,7 +299,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     store.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         out, made, end = None, 0, np.array([end_id], "<u4").tobytes()
 
         def done() -> pa.RecordBatch:

@@ -103,6 +103,21 @@ def test_toxic_dictionaries_are_trained_and_told_apart():
     assert sum(caught[:50]) >= 45 and sum(caught[50:]) <= 5
 
 
+def test_word_memory_outlasts_tasks_and_restarts(monkeypatch):
+    encoder = token_files.worker_encoder(WORDS)
+    assert token_files.worker_encoder(WORDS) is encoder
+    monkeypatch.setattr(token_files, "REMEMBERED", 30)
+    encoder, learned = token_files.WordEncoder(WORDS), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: learned.extend(words) or learn(words))
+    texts = [" ".join(["the", "sea", "extraordinarinesses", *(f"w{i}x{j}" for j in range(20))]) for i in range(6)]
+    for text in texts:
+        assert encoder.encode([text]) == [np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert len(encoder.known) <= 30
+    assert learned.count("the") == learned.count("sea") == 1  # met in all texts, so kept when the memory starts anew
+    assert learned.count("extraordinarinesses") == 6
+
+
 def test_windows_are_compressed_only_where_a_dictionary_has_a_new_run():
     rng = random.Random(8)
     plain = lambda n: " ".join(f"{rng.choice('bcdfgh')}a{rng.choice('lmnprst')}e{rng.choice('kvz')}o" for _ in range(n))
