@@ -3,6 +3,8 @@
 import math
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyrank.operators import neighbours
@@ -54,3 +56,24 @@ def test_blocks(spark, monkeypatch, kind, named):
     again = sorted((r["item"], r["place"], r["other"]) for r in neighbours.top_neighbours(spark.createDataFrame([(*x, *v) for x, v in found.items()], "item {0}, other {0}, sim double, common long".format("string" if named else "long")), 5, 0.02).collect())
     assert best == again
     assert "Join" not in nearest._jdf.queryExecution().executedPlan().toString()  # no row for a pair of items is shuffled
+
+
+def test_lists_are_sent_packed():
+    """Lists that go to blocks together take few bytes an item."""
+    draw = np.random.default_rng(1)
+    lists = [sorted(draw.choice(20_000, 60, replace=False).tolist()) for _ in range(500)]
+    column = lambda rows: pa.array(rows, pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64())), column([[float(i % 5 + 1) for i in h] for h in lists]), column([[float(i % 300) for i in h] for h in lists]), pa.array([0.0] * 500)], names=["items", "xs", "stats", "mean"])
+    sent = list(neighbours._sent(neighbours._block_of([10_000], 2), 2)(iter([batch])))
+    assert sum(b.num_rows for b in sent) == 2
+    assert sum(b.nbytes for b in sent) < 8 * sum(map(len, lists)) * 2
+
+
+def test_ratings_are_read_once(spark):
+    """Neighbours and scores come of the same histories."""
+    from oracle import SMALL
+
+    from tallyrank.plans import registry
+
+    for name in ("knn_score", "knn_recommend", "knn_score_centred"):
+        assert "lineitem" not in registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
