@@ -1,8 +1,8 @@
 """Approximate nearest vectors by an inverted file, its recall, and indexes kept by their corpus' signature.
 
 Cells are unit vectors: those of least hash, moved to the means of a bounded sample. Every document is put into the list of
-its nearest cell; a query looks into the lists of its `probes` nearest cells, where all documents are scored exactly, in
-blocks of queries against blocks of documents. There are at most CELLS cells, so what every task is given is bounded;
+its nearest cell; a query looks into the lists of its `probes` nearest cells, where all documents are scored exactly, runs
+of queries against blocks of documents. There are at most CELLS cells, so what every task is given is bounded;
 a cell of many documents has many blocks. The sample serves the cells alone: every document is in the index.
 """
 
@@ -21,11 +21,13 @@ from pyspark.sql.types import IntegerType
 
 from ..functions.scalars import draw
 from ..functions.vectors import unit
-from .dense import DOC_BLOCK, QUERY_BLOCK, _products, best
+from .dense import DOC_BLOCK, best, k_best, plain, tiles
 from .dense import search as exact_search
 
 #: Cells, and documents that they are fitted on, at most.
 CELLS, SAMPLE = 4096, 100_000
+#: Products with cells that are held at once, and rows that are sent at once.
+PRODUCTS, ROWS = 1 << 20, 4096
 
 
 @dataclass
@@ -35,6 +37,7 @@ class Index:
     cells: np.ndarray
     lists: DataFrame
     kind: str
+    n: int
 
 
 def _units(rows: DataFrame, key: str, name: str, vector: str = "vector") -> DataFrame:
@@ -67,14 +70,14 @@ def nearest_cells(rows: DataFrame, key: str, cells: np.ndarray, probes: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = np.array(batch.column("v").flatten(), np.float64).reshape(n, -1)
-            products = np.floor(x @ cells.T * 1e9 + 0.5)
-            near = np.argsort(-products, axis=1, kind="stable")[:, :probes]
-            out = batch.take(pa.array(np.repeat(np.arange(n), near.shape[1])))
-            yield pa.RecordBatch.from_arrays([out.column(key), out.column("v"), pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(1, near.shape[1] + 1, dtype=np.int32), n))], names=[key, "v", "cell", "place"])
+            step = max(1, min(PRODUCTS // max(1, len(cells)), ROWS // max(1, min(probes, len(cells)))))  # not all rows' cells at once
+            for part in (batch.slice(low, step) for low in range(0, batch.num_rows, step)):
+                n = part.num_rows
+                x = np.array(part.column("v").flatten(), np.float64).reshape(n, -1)
+                products = np.floor(x @ cells.T * 1e9 + 0.5)
+                near = np.argsort(-products, axis=1, kind="stable")[:, :probes]
+                out = part.take(pa.array(np.repeat(np.arange(n), near.shape[1])))
+                yield pa.RecordBatch.from_arrays([out.column(key), out.column("v"), pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(1, near.shape[1] + 1, dtype=np.int32), n))], names=[key, "v", "cell", "place"])
 
     return rows.select(key, "v").mapInArrow(run, kind.add("cell", IntegerType()).add("place", IntegerType()))
 
@@ -90,18 +93,55 @@ def _blocked(rows: DataFrame, key: str, size: int, names: tuple[str, str]) -> Da
 def build(docs: DataFrame, cells: int | None = None, rounds: int = 4, seed: int = 0, vector: str = "vector") -> Index:
     """The index of documents (doc_id, vector); the square root of their number of cells unless told."""
     rows = _units(docs, "doc_id", "doc_id", vector)
-    cells = min(CELLS, cells or max(1, round(rows.count() ** 0.5)))
+    n = rows.count()
+    cells = min(CELLS, cells or max(1, round(n**0.5)))
     centres = fit_cells(rows, cells, rounds, seed=seed)
-    return Index(centres, _blocked(nearest_cells(rows, "doc_id", centres, 1), "doc_id", DOC_BLOCK, ("dids", "ds")), docs.schema["doc_id"].dataType.simpleString())
+    return Index(centres, _blocked(nearest_cells(rows, "doc_id", centres, 1), "doc_id", DOC_BLOCK, ("dids", "ds")), docs.schema["doc_id"].dataType.simpleString(), n)
 
 
 def search(queries: DataFrame, index: Index, k: int, probes: int = 8, vector: str = "vector", exclude_self: bool = False) -> DataFrame:
-    """qid, doc_id, score, rank: the k best by cosine in the lists of each query's nearest cells; ties to the lesser doc_id."""
+    """qid, doc_id, score, rank: the k best by cosine in the lists of each query's nearest cells; ties to the lesser doc_id.
+
+    Lists are dealt over tiles, and a query is sent once to each tile, not to each of its cells; there it meets the lists of its cells."""
     asked = _units(queries, "qid", "qid", vector)
-    q = _blocked(nearest_cells(asked, "qid", index.cells, min(probes, max(1, len(index.cells)))), "qid", QUERY_BLOCK, ("qids", "qs"))
-    met = index.lists.join(q, "cell").select("qids", "qs", "dids", "ds")
-    kind = queries.schema["qid"].dataType.simpleString()
-    return best(met.mapInArrow(_products(k, False, exclude_self), f"qid {kind}, doc_id {index.kind}, score double"), k)
+    cells, kind = index.cells, queries.schema["qid"].dataType.simpleString()
+    dim = cells.shape[1]
+    nq, nd = tiles(asked.count() * dim, index.n * dim, index.n, queries.sparkSession.sparkContext.defaultParallelism)
+    probes = min(probes, max(1, len(cells)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("db", every(nd))
+    d = index.lists.withColumn("db", F.pmod(F.xxhash64("cell", F.element_at("dids", 1)), F.lit(nd)).cast("int")).withColumn("qb", every(nq))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        qids, x = left.column("qid").combine_chunks(), np.array(left.column("v").combine_chunks().flatten(), np.float64).reshape(len(left), -1) if len(left) else np.zeros((0, dim))
+        own, names, vectors = np.array(right.column("cell")), right.column("dids").combine_chunks(), right.column("ds").combine_chunks()
+        asking, out = plain(qids), []
+        step = max(1, PRODUCTS // max(1, len(cells)))
+        for low in range(0, len(x), step):
+            part = x[low : low + step]
+            near = np.argsort(-np.floor(part @ cells.T * 1e9 + 0.5), axis=1, kind="stable")[:, :probes]
+            asks = np.zeros((len(part), len(cells)), bool)
+            np.put_along_axis(asks, near, True, axis=1)
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for i in range(len(right)):
+                some = np.flatnonzero(asks[:, own[i]])
+                if len(some):
+                    first = names.offsets[i].as_py() - names.offsets[0].as_py()
+                    docs = np.array(vectors[i].values.flatten(), np.float64).reshape(-1, dim)
+                    rows, cols, values = k_best(asking[low + some], (part[some], None), plain(names[i].values), (docs, None), k, False, exclude_self)
+                    found.append((some[rows], cols + first, values))
+                if sum(len(f[0]) for f in found) > PRODUCTS or i == len(right) - 1:  # the k best so far
+                    rows, cols, values = (np.concatenate(f) for f in zip(*found, strict=True))
+                    ids = plain(names.flatten().take(pa.array(cols)))
+                    at = np.lexsort((ids, -values, rows))
+                    rows, cols, values = rows[at], cols[at], values[at]
+                    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                    found = [(rows[kept], cols[kept], values[kept])]
+            out.append((found[0][0] + low, *found[0][1:]))
+        rows, cols, values = (np.concatenate(f) for f in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"qid": qids.take(pa.array(rows)), "doc_id": names.flatten().take(pa.array(cols)), "score": pa.array(values, pa.float64())})
+
+    return best(q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(run, f"qid {kind}, doc_id {index.kind}, score double"), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -182,7 +222,8 @@ def kept_index(shelf: Shelf, docs: DataFrame, name: str | None = None, cells: in
 
     def make() -> tuple[DataFrame, dict]:
         made = build(docs, cells, rounds, seed, vector)
-        return made.lists, {"cells": made.cells.tolist(), "kind": made.kind}
+        return made.lists, {"cells": made.cells.tolist(), "kind": made.kind, "n": made.n}
 
     lists, note = shelf.kept(name, make)
-    return Index(np.array(note["cells"], np.float64), lists, note["kind"])
+    n = note["n"] if "n" in note else lists.agg(F.sum(F.size("dids"))).first()[0] or 0  # folders of before have none
+    return Index(np.array(note["cells"], np.float64), lists, note["kind"], n)

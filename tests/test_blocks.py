@@ -38,3 +38,25 @@ def test_centroid_in_blocks(spark, monkeypatch):
         assert np.allclose(found[u], np.mean(mine, axis=0) if mine else [0.0] * 3, atol=1e-6)
     plan = dense.centroid(spark.createDataFrame(histories, "user long, item long"), known, "user", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan  # no row for each component of each row
+
+
+def test_search_in_tiles(spark, monkeypatch):
+    """Many tiles and parts, ties, ids that are texts, token vectors; no row of blocks with blocks is made."""
+    for name, value in (("TILE", 90), ("LEAST", 10), ("QUERY_PART", 4), ("DOC_PART", 7)):
+        monkeypatch.setattr(dense, name, value)
+    draw = np.random.default_rng(4)
+    x = draw.integers(-2, 3, (80, 3)) + 0.5
+    docs = spark.createDataFrame([(f"d{i:02}", v.tolist()) for i, v in enumerate(x)], "doc_id string, vector array<float>")
+    asked = docs.where("doc_id < 'd30'").select(F.col("doc_id").alias("qid"), "vector")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.floor(unit @ unit.T * 1e6 + 0.5) / 1e6
+    found = dense.search(asked, docs, 6, exclude_self=True)
+    want = {(f"d{a:02}", f"d{b:02}", n) for a in range(30) for n, b in enumerate(sorted((b for b in range(80) if b != a), key=lambda b: (-scores[a, b], b))[:6], 1)}
+    assert {(r["qid"], r["doc_id"], r["rank"]) for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    tokens = lambda rows, key: spark.createDataFrame([(i, [v.tolist() for v in t]) for i, t in rows], f"{key} long, vector array<array<double>>")
+    sets = [(i, x[i : i + 1 + i % 4]) for i in range(60)]
+    late = lambda q, d: float(np.floor(np.maximum((q @ d.T).max(1), 0.0).sum() * 1e6 + 0.5) / 1e6)
+    found = dense.search(tokens(sets[:20], "qid"), tokens(sets, "doc_id"), 5, score="max_sim")
+    want = {(a, b, n) for a, q in sets[:20] for n, b in enumerate(sorted(range(60), key=lambda b: (-late(q, sets[b][1]), b))[:5], 1)}
+    assert {(r["qid"], r["doc_id"], r["rank"]) for r in found.collect()} == want
